@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,14 +26,20 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def stage(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
+def stage(df: DataFrame, label: str, codec: str = "snappy", batch_rows: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back; ``batch_rows`` holds for this write's Arrow batches.
 
     Cuts the lineage: a lost executor costs no recomputation of what lies before, and values that depend on how
     rows are dealt out (row addresses) are fixed from here on. The reader sees the schema of ``df``, even when empty.
     """
     path = f"{shared_root(df.sparkSession)}/treesync/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = df.sparkSession.conf.get(key)
+    df.sparkSession.conf.set(key, str(batch_rows or before))
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        df.sparkSession.conf.set(key, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -51,6 +60,25 @@ def with_row_address(df: DataFrame, block: str = "block", pos: str = "pos") -> D
     return df.withColumn("__address", address).withColumns({block: F.shiftright("__address", 33).cast("int"), pos: F.col("__address").bitwiseAND((1 << 33) - 1)}).drop("__address")
 
 
+def sum_vectors(parts: DataFrame) -> DataFrame:
+    """Sum ``parts(key int, vec binary)``, vectors of 64-bit integers, by key. Streams: memory is one vector a key in a task, however many parts there are."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for key, vec in zip(batch["key"], batch["vec"], strict=True):
+                new = np.frombuffer(vec, np.int64)
+                sums[key] = sums[key] + new if key in sums else new
+        yield pd.DataFrame({"key": list(sums), "vec": [v.tobytes() for v in sums.values()]}).astype({"key": "int32"})
+
+    return parts.select("key", "vec").repartition("key").mapInPandas(add, "key int, vec binary")
+
+
+def bounded(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has no more than ``rows`` rows (it should be narrow and staged), else as it is, for a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a long, b long)``: one row ``(id, component_id)`` per node, the smallest id reachable.
 

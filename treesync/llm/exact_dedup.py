@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treesync.llm.common import small_batches, stage, table, with_row_address
+from treesync.llm.common import bounded, small_batches, stage, table, with_row_address
 
 #: The code points that normalisation deletes: space, and tab to carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -131,7 +131,7 @@ def exact_dedup(docs: DataFrame, owners: int | None = None) -> DataFrame:
     marked = stage(marked.drop("fp"), "suspects")
     suspects = marked.where("suspect")
     wanted = stage(suspects.select(fingerprint(F.col("text_sha256")).alias("fp")).distinct(), "suspect-fingerprints")
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    wanted = bounded(wanted, BROADCAST_ROWS)
 
     # Verification: suspects' texts, grouped by their bytes; equal texts meet in the map tasks first.
     texts = docs.select(normalised(F.col("text")).alias("bytes")).withColumn("text_sha256", F.sha2("bytes", 256))

@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treesync.llm import bpe, exact_dedup, packing, shuffle
+from treesync.llm import bpe, embed_dedup, exact_dedup, jaccard_join, packing, shuffle
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op3_sharding": shuffle.op3_sharding,
+        "op4_embedding_dedup": embed_dedup.op4_embedding_dedup,
+        "op6_jaccard_join": jaccard_join.op6_jaccard_join,
         "op7_bpe": bpe.op7_bpe,
         "op9_packing": packing.op9_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.SQL}
+    return {"op2_exact_dedup": exact_dedup.SQL, "op4_embedding_dedup": embed_dedup.SQL}
