@@ -158,6 +158,15 @@ def exact_dedup(docs: DataFrame, owners: int | None = None) -> DataFrame:
     )
 
 
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """``docs`` without the rows that ``exact_dedup`` drops; columns kept. The text decides, so repeated rows and null ids are handled as there."""
+    groups = exact_dedup(docs).where("group_size > 1 and kept").select(F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep"), F.col("n_chars").alias("__chars"))
+    rows = docs.withColumn("__sha", F.sha2(normalised(F.col("text")), 256)).join(bounded(stage(groups, "groups")), "__sha", "left")
+    alone = rows.where("__chars is null")
+    best = rows.where(F.col("__chars").isNotNull() & F.col("doc_id").eqNullSafe(F.col("__keep")) & (F.length(F.coalesce("text", F.lit(""))) == F.col("__chars")))
+    return alone.unionByName(best.dropDuplicates(["__sha"])).select(*(f"`{c}`" for c in docs.columns))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 

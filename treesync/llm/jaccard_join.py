@@ -242,5 +242,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFr
     )
 
 
+def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """``docs`` with the document of smallest id of each component; columns kept. Rows with a null id stay."""
+    gone = stage(near_duplicates(docs, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-copies")
+    return docs.join(bounded(gone), docs["doc_id"] == F.col("__gone"), "left_anti")
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

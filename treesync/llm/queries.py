@@ -6,17 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treesync.llm import bpe, embed_dedup, exact_dedup, jaccard_join, packing, shuffle
+from treesync.llm import bpe, embed_dedup, exact_dedup, jaccard_join, langid, packing, pii, quality, shuffle, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": quality.op1_quality,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op3_sharding": shuffle.op3_sharding,
         "op4_embedding_dedup": embed_dedup.op4_embedding_dedup,
+        "op5_language": langid.op5_language,
         "op6_jaccard_join": jaccard_join.op6_jaccard_join,
         "op7_bpe": bpe.op7_bpe,
+        "op8_pii": pii.op8_pii,
         "op9_packing": packing.op9_packing,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
