@@ -146,6 +146,16 @@ def _passes(percent: int):
     return (100 * low >= percent * high) & (most * (100 + percent) >= percent * (F.col("n") + F.col("n2")))
 
 
+def _least_shared(percent: int):
+    """Prefix tokens that two sets of n and n2 must share to link.
+
+    In the common order, tokens up to the end of the prefix that ends first are in both prefixes or not shared at all, so
+    the intersection is at most the shared prefix tokens plus what follows that prefix in its set.
+    """
+    behind = F.greatest(*(F.ceil(percent * F.col(c) / 100) - 1 for c in ("n", "n2")))
+    return F.ceil(percent * (F.col("n") + F.col("n2")) / (100 + percent)) - behind
+
+
 def _verify(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, mine = None, None
@@ -196,7 +206,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFr
     lists = stage(dealt.mapInArrow(_neighbours, "token long, n long, doc long, pos long, n2 long, doc2 long, pos2 long"), "lists", batch_rows=50_000)
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     inside = members.where("doc <> grp").select(F.col("grp").alias("a"), F.col("doc").alias("b"))
-    pairs = lists.where("doc2 is not null and doc <> doc2").where(_passes(percent)).select(*ordered("doc", "doc2")).unionByName(inside).distinct()
+    pairs = lists.where("doc2 is not null and doc <> doc2").where(_passes(percent))
+    # round one may choose: pairs that are neighbours for a quarter of the tokens that they need to share
+    pairs = pairs.select(*ordered("doc", "doc2"), "n", "n2").groupBy("a", "b").agg(F.count("*").alias("met"), F.first("n").alias("n"), F.first("n2").alias("n2"))
+    pairs = pairs.where(4 * F.col("met") >= _least_shared(percent)).select("a", "b").unionByName(inside).distinct()
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = stage(pairs, "pairs")
@@ -218,7 +231,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFr
         of = stage(of.join(mixed, "token", "left_semi"), "mixed")
         right = of.select("token", *(F.col(c).alias(f"{c}2") for c in ("n", "doc", "pos", "low", "high")))
         met = of.join(right, "token").where("doc < doc2 and not (low = high and low2 = high2 and low = low2)").where(_passes(percent))
-        met = met.groupBy(F.col("doc").alias("ga"), F.col("doc2").alias("gb")).agg(F.count("*").alias("shared"))
+        met = met.groupBy(F.col("doc").alias("ga"), F.col("doc2").alias("gb")).agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("n2").alias("n2"))
+        met = met.where(F.col("shared") >= _least_shared(percent)).drop("n", "n2")
         same = root.where("members > 1").select(F.col("grp").alias("ga"), F.col("grp").alias("gb"), F.lit(0).cast("long").alias("shared")).distinct()
         ma, mb = (root.select(F.col("grp").alias(f"g{s}"), F.col("doc").alias(s), F.col("root").alias(f"r{s}")) for s in "ab")
         full = met.unionByName(same).join(ma, "ga").join(mb, "gb").where("ra <> rb")
