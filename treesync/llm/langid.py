@@ -115,7 +115,7 @@ def fit(docs: DataFrame, sample: int = 400, clusters: int = 3, margin: float = 0
     if len(known):  # shorter texts than any learnt from have the least floor, longer ones that of the longest
         floors = np.minimum.accumulate(np.where(np.isnan(floors), np.interp(np.arange(64), known, floors[known]), floors)[::-1])[::-1]
         floors[: known[0]] = 0.0
-    return Model([r["lang"] for r in fitted], np.array([np.frombuffer(r["centroid"], np.float32) for r in fitted]).reshape(len(fitted), -1), idf, floors)
+    return Model([r["lang"] for r in fitted], np.array([np.frombuffer(r["centroid"], np.float32) for r in fitted]).reshape(len(fitted), DIMS), idf, floors)
 
 
 def _predict(model):
