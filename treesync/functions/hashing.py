@@ -5,19 +5,20 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 #: Bytes of each digest.
 LENGTHS = {"xxhash128": 16, "blake3": 32, "sha256": 32}
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def _xxh3(content: pd.Series) -> pd.Series:
     import xxhash
 
     return content.map(lambda x: None if x is None else xxhash.xxh3_128_digest(x))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def _blake3(content: pd.Series) -> pd.Series:
     from blake3 import blake3
 
