@@ -220,6 +220,8 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 4000, other_rows:
     sample = stage(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxicity-sample")  # bounded by toxic_rows + other_rows
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
+    if not n1 or not n0:
+        return Model(Lexicon([], []), np.array([-3.0, 0.0, 0.0, 0.0]))
     bad, good = sample.where("toxic = 1"), sample.where("toxic = 0")
     total = lambda df, f, least: {r["term"]: r["n"] for r in df.select("text").mapInPandas(f, "term string, rows long").groupBy("term").agg(F.sum("rows").alias("n")).where(F.col("n") >= least).collect()}
     often = total(bad, _count(None), max(5, int(least_share * n1)))
