@@ -40,16 +40,19 @@ class Trie:
                 node = node.setdefault(c, {})
             node[""] = w
 
-    def near(self, word: str, errors: int) -> str | None:
-        """A term within so many insertions, deletions and substitutions of the word, the one of fewest errors."""
+    def near(self, word: str, errors: int, same: int = 0) -> str | None:
+        """A term within so many insertions, deletions and substitutions of the word, the one of fewest errors; the first ``same`` characters are alike."""
         masks: dict[str, int] = {}
         for i, c in enumerate(word):
             masks[c] = masks.get(c, 0) | 1 << i
         n, last = len(word), 1 << len(word)
         full = (1 << (n + 1)) - 1
-        start = tuple((1 << (e + 1)) - 1 for e in range(errors + 1))
+        start = tuple(((1 << (e + 1)) - 1) << same & full for e in range(errors + 1))
         best, found = errors + 1, None
-        todo = [(self.root, start)]
+        node: dict | None = self.root
+        for c in word[:same]:
+            node = node.get(c) if node else None
+        todo = [(node, start)] if node else []
         while todo:
             node, states = todo.pop()
             for c, child in node.items():
@@ -74,23 +77,34 @@ class Lexicon:
     benign: set[str] = field(default_factory=set)  # close to a term, yet usual in rows that aren't toxic
 
     def __post_init__(self) -> None:
-        self.exact, self.trie = set(self.words), Trie(self.words)
+        self.exact = set(self.words)
         self.by_size = {n: {s for s in self.stems if len(s) == n} for n in {len(s) for s in self.stems}}
         long = [w for w in self.words if len(w) >= 5]
-        # one error leaves the first or the second half of a term as it is
-        self.heads = {k: {w[:k] for w in long if len(w) // 2 == k} for k in {len(w) // 2 for w in long}}
-        self.tails = {k: {w[-k:] for w in long if len(w) - len(w) // 2 == k} for k in {len(w) - len(w) // 2 for w in long}}
-        self.sizes = {len(w) + d for w in long for d in (-1, 0, 1)}
+        self.trie, self.backward = Trie(long), Trie([w[::-1] for w in long])
+        # one error leaves the first or the second half of a term as it is: lengths of those halves, by the length of the word
+        self.heads: dict[int, dict[int, set[str]]] = {}
+        self.tails: dict[int, dict[int, set[str]]] = {}
+        for w in long:
+            k = len(w) // 2
+            for n in (len(w) - 1, len(w), len(w) + 1):
+                self.heads.setdefault(n, {}).setdefault(k, set()).add(w[:k])
+                self.tails.setdefault(n, {}).setdefault(len(w) - k, set()).add(w[k:])
+
+    def near(self, word: str) -> bool:
+        """Whether a term of five letters or more is within one error of the word: from each half that it shares with one, the automaton runs over the rest."""
+        n = len(word)
+        if any(word[:k] in halves and self.trie.near(word, 1, k) for k, halves in self.heads.get(n, {}).items()):
+            return True
+        return any(word[-k:] in halves and self.backward.near(word[::-1], 1, k) for k, halves in self.tails.get(n, {}).items())
 
     def kind(self, word: str) -> int:
         if word in self.exact:
             return EXACT
-        if any(word[:n] in s for n, s in self.by_size.items()):
-            return STEM
-        if len(word) in self.sizes and word not in self.benign and (any(word[:k] in h for k, h in self.heads.items()) or any(word[-k:] in t for k, t in self.tails.items())):
-            near = self.trie.near(word, 1)
-            if near is not None and len(near) >= 5:
-                return FUZZY
+        for n, stems in self.by_size.items():
+            if word[:n] in stems:
+                return STEM
+        if word not in self.benign and self.near(word):
+            return FUZZY
         return NONE
 
 
@@ -196,9 +210,10 @@ def _features(lexicon):
 def _fuzzy(lexicon):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
+        kinds = _Kinds(lexicon.value)
         for batch in batches:
             for text in batch["text"]:
-                seen.update({w for w in (c.strip(EDGE) for c in (text or "").lower().split()) if lexicon.value.kind(w) == FUZZY})
+                seen.update({c.strip(EDGE) for c in (text or "").lower().split() if kinds[c] == FUZZY})
         yield pd.DataFrame({"term": list(seen.keys()), "rows": list(seen.values())}).astype({"term": "object", "rows": "int64"})
 
     return run
