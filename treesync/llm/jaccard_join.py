@@ -4,11 +4,14 @@ Exactly, for a threshold of 75 in 100: two sets that link share a token among th
 order that is the same for all documents. The order here is rare first, by a counting sketch over all documents.
 
 1. Documents with equal sets are one class; classes of equal prefix and size are one group.
-2. Group prefixes are dealt out by ranges of (token, size, id), so that a token of very many groups is spread over tasks.
-3. Round one verifies the neighbours in these lists and the members of each group against its first one: enough to connect
-   what is alike. Then components are known, and later rounds verify every pair of groups (expanded to their members)
-   that shares a prefix token, passes the size and position filters, and is not connected yet. No such pair is
-   left out, so components are those of the complete join, while large groups of near copies cost no square of pairs.
+2. Group prefixes are dealt out by ranges of (token, a hash, id), so that a token of very many groups is spread over tasks.
+3. Pairs are looked at if they share a prefix token that may be their first (sizes and positions), and enough prefix
+   tokens. Round one verifies neighbours in these lists, which are in a chance order, so that a document meets other
+   ones in each list, and the members of each group against its first one. Then components are known. Per list, most
+   entries are of one component as a rule; round two verifies the others with a few partners from it by chance. The
+   last round verifies every pair of groups (expanded to their members) that passes the filters and is not connected
+   yet. No such pair is left out, so components are those of the complete join, while large groups of near copies cost
+   no square of pairs.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from treesync.llm.common import bounded, components, small_batches, stage, sum_v
 BUCKETS, CHUNK = 1 << 20, 1 << 12
 #: Most entries of a worker's cache of word hashes.
 CACHE_ROWS = 400_000
+#: Partners of an entry of a list in round two.
+PARTNERS = 4
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -107,7 +112,7 @@ def _prefixes(size: int, percent: int, order):
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (token, n, doc): those whose token another row has, or may have in the next task, with the row that follows in its list."""
+    """From rows sorted by token: those whose token another row has, or may have in the next task, with the row that follows in its list."""
     names = ["token", "n", "doc", "pos"]
     held = None
     first = True
@@ -139,11 +144,11 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(held, np.array([False]), np.array([True]))
 
 
-def _passes(percent: int):
-    """Filters on a shared token of two prefixes: sizes, and the most that can match given its positions."""
+def _may_be_first(percent: int):
+    """Filters on a shared token as the first that two sets share: sizes, and what can match from its positions on. Sets that link pass at their first."""
     low, high = F.least("n", "n2"), F.greatest("n", "n2")
-    most = F.least("pos", "pos2") + 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("n2") - F.col("pos2") - 1)
-    return (100 * low >= percent * high) & (most * (100 + percent) >= percent * (F.col("n") + F.col("n2")))
+    rest = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
+    return (100 * low >= percent * high) & (rest * (100 + percent) >= percent * (F.col("n") + F.col("n2")))
 
 
 def _least_shared(percent: int):
@@ -202,14 +207,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFr
 
     # Lists of groups by prefix token, and the neighbours in them.
     entries = heads.select("doc", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "n", "doc", F.col("pos").cast("long").alias("pos"))
-    dealt = entries.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "token", "n", "doc").sortWithinPartitions("token", "n", "doc")
+    by_chance = (F.col("token"), F.xxhash64("token", "doc"), F.col("doc"))
+    dealt = entries.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *by_chance).sortWithinPartitions(*by_chance)
     lists = stage(dealt.mapInArrow(_neighbours, "token long, n long, doc long, pos long, n2 long, doc2 long, pos2 long"), "lists", batch_rows=50_000)
+    in_order = lambda x, y: (F.least(x, y).alias("ga"), F.greatest(x, y).alias("gb"), *(F.when(F.col(x) < F.col(y), F.col(c)).otherwise(F.col(d)).alias(c) for c, d in (("n", "n2"), ("n2", "n"))))
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    inside = members.where("doc <> grp").select(F.col("grp").alias("a"), F.col("doc").alias("b"))
-    pairs = lists.where("doc2 is not null and doc <> doc2").where(_passes(percent))
-    # round one may choose: pairs that are neighbours for a quarter of the tokens that they need to share
-    pairs = pairs.select(*ordered("doc", "doc2"), "n", "n2").groupBy("a", "b").agg(F.count("*").alias("met"), F.first("n").alias("n"), F.first("n2").alias("n2"))
-    pairs = pairs.where(4 * F.col("met") >= _least_shared(percent)).select("a", "b").unionByName(inside).distinct()
+    near = lists.where("doc2 is not null and doc <> doc2").where(_may_be_first(percent)).select(*in_order("doc", "doc2")).distinct()
+
+    def may_link(met: DataFrame) -> DataFrame:
+        """Those of ``met(ga, gb, n, n2)`` that share enough prefix tokens to link."""
+        met = stage(met, "met")
+        wanted = stage(met.select(F.explode(F.array("ga", "gb")).alias("doc")).distinct(), "met-groups")
+        prefixes = rows.select(F.col("doc_id").alias("doc"), "prefix").join(bounded(wanted), "doc", "left_semi").dropDuplicates(["doc"])
+        a, b = (prefixes.select(F.col("doc").alias(f"g{s}"), F.col("prefix").alias(f"p{s}")) for s in "ab")
+        met = met.join(a, "ga").join(b, "gb").withColumn("shared", F.size(F.array_intersect("pa", "pb")).cast("long"))
+        return met.where(F.col("shared") >= _least_shared(percent)).select("ga", "gb")
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = stage(pairs, "pairs")
@@ -219,33 +231,37 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFr
         both = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
         return pairs, stage(both.mapInArrow(_verify(size, percent), "a long, b long"), "links")
 
-    tried, links = verified(pairs)
+    inside = members.where("doc <> grp").select(F.col("grp").alias("a"), F.col("doc").alias("b"))
+    tried, links = verified(may_link(near).select(F.col("ga").alias("a"), F.col("gb").alias("b")).unionByName(inside))
     linked = components(links)
 
-    def apart() -> DataFrame:
-        """Pairs of documents that may link, share a token or group, and are neither connected nor tried, with the tokens they share."""
+    def apart(partners: int | None) -> DataFrame:
+        """Pairs (a, b) of documents that may link, share a token or group, and are neither connected nor tried; with about so many partners for each entry of a list, or all."""
         root = stage(members.join(linked.withColumnRenamed("id", "doc"), "doc", "left").withColumn("root", F.coalesce("component_id", "doc")).drop("component_id"), "roots")
         by_group = root.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-        of = lists.select("token", "n", "doc", "pos").join(by_group.withColumnRenamed("grp", "doc"), "doc")
-        mixed = of.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("token")
+        of = stage(lists.select("token", "n", "doc", "pos").join(by_group.withColumnRenamed("grp", "doc"), "doc"), "listed")
+        # Most entries of a token are of one component as a rule; pairs within it need no look, so only the others look for partners.
+        sums = of.where("low = high").groupBy("token", F.col("low").alias("most")).agg(F.count("*").alias("c"))
+        most = sums.groupBy("token").agg(F.max_by("most", "c").alias("most"), F.max("c").alias("c"))
+        of = of.join(most, "token", "left").withColumn("minor", ~F.coalesce((F.col("low") == F.col("high")) & (F.col("low") == F.col("most")), F.lit(False))).drop("most")
+        if partners:  # those of the largest component chosen by chance, as many for each token
+            of = of.where(F.col("minor") | (F.pmod(F.xxhash64("doc", "token"), F.greatest("c", F.lit(partners))) < partners))
+        mixed = of.groupBy("token").agg(F.max("minor").alias("any")).where("any").select("token")
         of = stage(of.join(mixed, "token", "left_semi"), "mixed")
-        right = of.select("token", *(F.col(c).alias(f"{c}2") for c in ("n", "doc", "pos", "low", "high")))
-        met = of.join(right, "token").where("doc < doc2 and not (low = high and low2 = high2 and low = low2)").where(_passes(percent))
-        met = met.groupBy(F.col("doc").alias("ga"), F.col("doc2").alias("gb")).agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("n2").alias("n2"))
-        met = met.where(F.col("shared") >= _least_shared(percent)).drop("n", "n2")
-        same = root.where("members > 1").select(F.col("grp").alias("ga"), F.col("grp").alias("gb"), F.lit(0).cast("long").alias("shared")).distinct()
+        right = of.select("token", *(F.col(c).alias(f"{c}2") for c in ("n", "doc", "pos", "low", "high", "minor")))
+        met = of.where("minor").join(right, "token").where("doc <> doc2 and (doc < doc2 or not minor2) and not (low = high and low2 = high2 and low = low2)")
+        met = may_link(met.where(_may_be_first(percent)).select(*in_order("doc", "doc2")).distinct())
+        same = by_group.where("low <> high").select(F.col("grp").alias("ga"), F.col("grp").alias("gb"))
         ma, mb = (root.select(F.col("grp").alias(f"g{s}"), F.col("doc").alias(s), F.col("root").alias(f"r{s}")) for s in "ab")
         full = met.unionByName(same).join(ma, "ga").join(mb, "gb").where("ra <> rb")
-        full = full.select(*ordered("a", "b"), "shared", F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb")).dropDuplicates(["a", "b"])
+        full = full.select(*ordered("a", "b")).distinct()
         return stage(full.join(tried, ["a", "b"], "left_anti"), "apart")
 
-    for best_first in (True, False):
-        rest = apart()
+    for partners in (PARTNERS, None):
+        rest = apart(partners)
         if rest.isEmpty():
-            break
-        if best_first:  # one pair of each two components first; what that connects needs no more pairs
-            rest = rest.groupBy("ra", "rb").agg(F.max(F.struct("shared", "a", "b")).alias("best")).select("best.a", "best.b")
-        more, new = verified(rest.select("a", "b"))
+            continue
+        more, new = verified(rest)
         tried, links = tried.unionByName(more), links.unionByName(new)
         if not new.isEmpty():
             linked = components(links)
