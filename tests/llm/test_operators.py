@@ -227,3 +227,11 @@ def test_pipeline(spark):
 
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(out.columns)
+
+
+def test_toxicity_errors_anywhere():
+    lexicon = toxicity.Lexicon(["idiot", "scum", "disgusting"], ["moron"], {"sum", "moton*"}, ["moronic"])
+    kinds = [lexicon.kind(w) for w in ("idoit", "scvm", "sucm", "disgsutnig", "disgutin", "sum")]
+    assert kinds == [toxicity.FUZZY] * 5 + [toxicity.NONE]
+    # inside a stem, whatever follows, and of a word that the stem stands for
+    assert [lexicon.kind(w) for w in ("mroonish", "m0ronic", "motonic", "motonish", "plain")] == [toxicity.FUZZY] * 3 + [toxicity.NONE] * 2

@@ -2,14 +2,15 @@
 
 Lexicon: words and word beginnings (stems) of toxic learning rows that other learning rows hardly have. A word is matched by
 the Levenshtein automaton of that word, simulated with one bit mask of states per number of errors, which is run
-over the trie of the lexicon at once for all terms. A window around each hit tells quotation from abuse: hits between
+over the trie of the lexicon at once for all terms; a swap of neighbours is one error. Any term may have one error, long
+ones two, and a word may begin with a stem that has one. A window around each hit tells quotation from abuse: hits between
 quotation marks count apart. A logistic model of the two kinds of hits gives the score.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,17 +23,19 @@ from treesync.llm.common import small_batches, stage, table
 from treesync.llm.langid import held_out, learning
 
 NONE, EXACT, FUZZY, STEM = 0, 1, 2, 3
-#: What a hit of each kind counts.
+#: What a hit of each kind counts; a misspelling less where other rows have that term's misspellings too.
 WEIGHT = (0.0, 1.0, 0.8, 1.0)
 OPENING, CLOSING = tuple("\"'“«„‘‹"), tuple("\"'”»“’›")
 EDGE = ".,;:!?()[]{}<>\"'“”«»„‘’‹›…|%&$*#@-_/\\"
 CACHE_ROWS = 400_000
+#: Terms from this length on may have two errors.
+LONG = 9
 
 
 class Trie:
     """Terms of a lexicon; ``near`` intersects it with the Levenshtein automaton of a word."""
 
-    def __init__(self, words: list[str]) -> None:
+    def __init__(self, words: Iterable[str]) -> None:
         self.root: dict = {}
         for w in words:
             node = self.root
@@ -41,7 +44,7 @@ class Trie:
             node[""] = w
 
     def near(self, word: str, errors: int, same: int = 0) -> str | None:
-        """A term within so many insertions, deletions and substitutions of the word, the one of fewest errors; the first ``same`` characters are alike."""
+        """A term within so many insertions, deletions, substitutions and swaps of neighbours of the word, the one of fewest errors; the first ``same`` characters are alike."""
         masks: dict[str, int] = {}
         for i, c in enumerate(word):
             masks[c] = masks.get(c, 0) | 1 << i
@@ -52,9 +55,10 @@ class Trie:
         node: dict | None = self.root
         for c in word[:same]:
             node = node.get(c) if node else None
-        todo = [(node, start)] if node else []
+        # with each node: its states, those of its parent, and where the word has the letter between them
+        todo = [(node, start, (0,) * (errors + 1), 0)] if node else []
         while todo:
-            node, states = todo.pop()
+            node, states, above, letter = todo.pop()
             for c, child in node.items():
                 if c == "":
                     e = next((e for e, s in enumerate(states) if s & last), best)
@@ -64,56 +68,137 @@ class Trie:
                 mask = masks.get(c, 0)
                 new = [(states[0] & mask) << 1]
                 for e in range(1, errors + 1):
-                    new.append((((states[e] & mask) << 1) | states[e - 1] | states[e - 1] << 1 | new[e - 1] << 1) & full)
-                if new[-1]:
-                    todo.append((child, tuple(new)))
+                    swapped = ((above[e - 1] & mask) << 1 & letter) << 1
+                    new.append((((states[e] & mask) << 1) | states[e - 1] | states[e - 1] << 1 | new[e - 1] << 1 | swapped) & full)
+                # a swap may still begin in the states before
+                if new[-1] or (errors and states[errors - 1] & mask):
+                    todo.append((child, tuple(new), states, mask))
         return found
 
 
-@dataclass
-class Lexicon:
-    words: list[str]
-    stems: list[str]
-    benign: set[str] = field(default_factory=set)  # close to a term, yet usual in rows that aren't toxic
+class Near:
+    """A term within one error of a word: from each half that they share, the automaton runs over the rest; a swap of the two middle letters is looked up."""
 
-    def __post_init__(self) -> None:
-        self.exact = set(self.words)
-        self.by_size = {n: {s for s in self.stems if len(s) == n} for n in {len(s) for s in self.stems}}
-        long = [w for w in self.words if len(w) >= 5]
-        self.trie, self.backward = Trie(long), Trie([w[::-1] for w in long])
+    def __init__(self, terms: Iterable[str]) -> None:
+        self.terms = set(terms)
+        self.trie, self.backward = Trie(sorted(self.terms)), Trie(sorted(w[::-1] for w in self.terms))
         # one error leaves the first or the second half of a term as it is: lengths of those halves, by the length of the word
         self.heads: dict[int, dict[int, set[str]]] = {}
         self.tails: dict[int, dict[int, set[str]]] = {}
-        for w in long:
+        for w in self.terms:
             k = len(w) // 2
             for n in (len(w) - 1, len(w), len(w) + 1):
                 self.heads.setdefault(n, {}).setdefault(k, set()).add(w[:k])
                 self.tails.setdefault(n, {}).setdefault(len(w) - k, set()).add(w[k:])
 
-    def near(self, word: str) -> bool:
-        """Whether a term of five letters or more is within one error of the word: from each half that it shares with one, the automaton runs over the rest."""
-        n = len(word)
-        if any(word[:k] in halves and self.trie.near(word, 1, k) for k, halves in self.heads.get(n, {}).items()):
-            return True
-        return any(word[-k:] in halves and self.backward.near(word[::-1], 1, k) for k, halves in self.tails.get(n, {}).items())
+    def __call__(self, word: str) -> str | None:
+        n, k = len(word), len(word) // 2
+        if n not in self.heads:
+            return None
+        if (swapped := word[: k - 1] + word[k : k + 1] + word[k - 1 : k] + word[k + 1 :]) in self.terms:
+            return swapped
+        for k, halves in self.heads[n].items():
+            if word[:k] in halves and (found := self.trie.near(word, 1, k)):
+                return found
+        for k, halves in self.tails[n].items():
+            if word[-k:] in halves and (found := self.backward.near(word[::-1], 1, k)):
+                return found[::-1]
+        return None
+
+
+class NearLong:
+    """A long term within two errors of a word. An error takes one letter and three pairs of neighbours at most, so the automaton runs only for words that share enough of both with a term of about their length."""
+
+    def __init__(self, terms: Iterable[str]) -> None:
+        self.terms = sorted(w for w in set(terms) if len(w) >= LONG)
+        self.trie = Trie(self.terms)
+        # one counter of 8 bits a term, all in one number; its highest bit is set from the shared parts needed on
+        self.shared: dict[str, int] = {}
+        self.letters = self.pairs = 0
+        self.sizes: dict[int, int] = {}
+        for i, w in enumerate(self.terms):
+            letters, pairs = set(w), {w[j : j + 2] for j in range(len(w) - 1)}
+            for part in letters | pairs:
+                self.shared[part] = self.shared.get(part, 0) + (1 << 8 * i)
+            self.letters += (128 - max(len(letters) - 2, 0)) << 8 * i
+            self.pairs += (128 - max(len(pairs) - 6, 0)) << 8 * i
+            for n in range(len(w) - 2, len(w) + 3):
+                self.sizes[n] = self.sizes.get(n, 0) | 128 << 8 * i
+
+    def __call__(self, word: str) -> str | None:
+        enough = self.sizes.get(len(word))
+        if not enough:
+            return None
+        enough &= self.letters + sum([self.shared.get(x, 0) for x in set(word)])
+        if not enough or not enough & self.pairs + sum([self.shared.get(x, 0) for x in {word[j : j + 2] for j in range(len(word) - 1)}]):
+            return None
+        return self.trie.near(word, 2)
 
-    def kind(self, word: str) -> int:
+
+@dataclass
+class Lexicon:
+    words: list[str]
+    stems: list[str]
+    benign: set[str] = field(default_factory=set)  # close to a term, yet usual in rows that aren't toxic; beginnings close to a stem end in *
+    members: list[str] = field(default_factory=list)  # words that a stem stands for
+    weights: dict[str, float] = field(default_factory=dict)  # what a misspelling of a term or stem (with *) counts
+
+    def __post_init__(self) -> None:
+        self.exact = set(self.words)
+        self.by_size = {n: {s for s in self.stems if len(s) == n} for n in {len(s) for s in self.stems}}
+        whole = [*self.words, *self.members]
+        self.near, self.near_long, self.near_stem = Near(whole), NearLong(whole), Near(self.stems)
+        # what a beginning close to a stem has at which place: a half of the stem, or all of it with the middle letters swapped
+        gates: dict[tuple[int, int], set[str]] = {}
+        for s in self.stems:
+            k, n = len(s) // 2, len(s)
+            for at, part in ((0, s[:k]), (k - 1, s[k:]), (k, s[k:]), (k + 1, s[k:]), (0, s[: k - 1] + s[k] + s[k - 1] + s[k + 1 :])):
+                gates.setdefault((at, at + len(part)), set()).add(part)
+        self.gates = [(*k, v) for k, v in gates.items()]
+        self.begins = sorted({n + d for n in self.by_size for d in (-1, 0, 1)})
+
+    def close(self, word: str) -> list[tuple[str, str]]:
+        """What of the word is close to which term: all of it to a term, or beginnings of it (with *) to a stem, with anything behind."""
+        whole = self.near(word) or self.near_long(word)
+        found = [(word, whole)] if whole else []
+        for a, b, parts in self.gates:
+            if word[a:b] in parts:
+                break
+        else:
+            return found
+        for n in self.begins:
+            if n <= len(word) and (stem := self.near_stem(word[:n])):
+                found.append((word[:n] + "*", stem + "*"))
+        return found
+
+    def hit(self, word: str) -> tuple[int, float]:
+        """Kind of hit and what it counts."""
         if word in self.exact:
-            return EXACT
+            return EXACT, WEIGHT[EXACT]
         for n, stems in self.by_size.items():
             if word[:n] in stems:
-                return STEM
-        if word not in self.benign and self.near(word):
-            return FUZZY
-        return NONE
+                return STEM, WEIGHT[STEM]
+        if word in self.benign:
+            return NONE, 0.0
+        found = self.close(word)
+        if any(part in self.benign for part, _ in found):
+            found = [x for x in found if x[0] == word]
+        if not found:
+            return NONE, 0.0
+        return FUZZY, max(self.weights.get(term, WEIGHT[FUZZY]) for _, term in found)
+
+    def kind(self, word: str) -> int:
+        return self.hit(word)[0]
 
 
 class _Kinds(dict):
+    """What each chunk of text counts as a hit."""
+
     def __init__(self, lexicon: Lexicon) -> None:
         self.lexicon = lexicon
 
-    def __missing__(self, chunk: str) -> int:
-        out = self.lexicon.kind(chunk.strip(EDGE))
+    def __missing__(self, chunk: str) -> float:
+        out = self.lexicon.hit(chunk.strip(EDGE))[1]
         if len(chunk) < 32:
             if len(self) >= CACHE_ROWS:
                 self.clear()
@@ -142,17 +227,17 @@ def features(text: str | None, kinds: _Kinds, window: int = 12) -> tuple[float,
     if not any(found):
         return 0.0, 0.0
     direct = inside = 0.0
-    for at, kind in enumerate(found):
-        if kind:
+    for at, weight in enumerate(found):
+        if weight:
             if quoted(words, at, window):
-                inside += WEIGHT[kind]
+                inside += weight
             else:
-                direct += WEIGHT[kind]
+                direct += weight
     return direct, inside
 
 
 def design(direct: np.ndarray, inside: np.ndarray) -> np.ndarray:
-    return np.stack([np.ones(len(direct)), direct > 0, np.log1p(direct), np.log1p(inside)], axis=1).astype(float)
+    return np.stack([np.ones(len(direct)), np.minimum(direct, 1), np.log1p(direct), np.log1p(inside)], axis=1).astype(float)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
@@ -208,13 +293,20 @@ def _features(lexicon):
 
 
 def _fuzzy(lexicon):
+    """Rows of each label with each part of a word that is close to a term, by that term."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
-        kinds = _Kinds(lexicon.value)
+        close: dict[str, list] = {}
         for batch in batches:
-            for text in batch["text"]:
-                seen.update({c.strip(EDGE) for c in (text or "").lower().split() if kinds[c] == FUZZY})
-        yield pd.DataFrame({"term": list(seen.keys()), "rows": list(seen.values())}).astype({"term": "object", "rows": "int64"})
+            for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
+                words = {c.strip(EDGE) for c in (text or "").lower().split()}
+                for w in words.difference(close):
+                    close[w] = lexicon.value.close(w) if lexicon.value.kind(w) == FUZZY else []
+                seen.update({(*x, toxic) for w in words for x in close[w]})
+                if len(close) > CACHE_ROWS:
+                    close.clear()
+        yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["part", "term", "toxic", "rows"]).astype({"part": "object", "term": "object", "toxic": "int32", "rows": "int64"})
 
     return run
 
@@ -247,10 +339,19 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 4000, other_rows:
     # a stem is kept if it stands for several words, and no shorter stem stands for it
     several = {s for s in stems if often[s + "*"] > 1.3 * max((often.get(w, 0) for w in words if w.startswith(s)), default=0)}
     stems = sorted(s for s in several if not any(s[:n] in several for n in range(4, len(s))))
-    words = [w for w in words if not any(w.startswith(s) for s in stems)]
-    lexicon = Lexicon(words, stems)
-    benign = total(good, _fuzzy(spark.sparkContext.broadcast(lexicon)), 2)
-    lexicon = Lexicon(words, stems, set(benign))
+    members = [w for w in words if any(w.startswith(s) for s in stems)]
+    words = sorted(set(words).difference(members))
+    lexicon = Lexicon(words, stems, members=members)
+    parts = sample.select("text", "toxic").mapInPandas(_fuzzy(spark.sparkContext.broadcast(lexicon)), "part string, term string, toxic int, rows long")
+    parts = parts.groupBy("part", "term", "toxic").agg(F.sum("rows").alias("n")).collect()  # of the bounded sample
+    benign = {r["part"] for r in parts if not r["toxic"] and r["n"] >= 2}
+    # a term's misspellings count by how seldom other rows have them
+    by_label = (Counter(), Counter())
+    for r in parts:
+        if r["part"] not in benign:
+            by_label[r["toxic"]][r["term"]] += r["n"]
+    weights = {t: WEIGHT[FUZZY] * (by_label[1][t] + 1) / (by_label[1][t] + by_label[0][t] + 1) for t in {r["term"] for r in parts}}
+    lexicon = Lexicon(words, stems, benign, members, weights)
     rows = sample.mapInPandas(_features(spark.sparkContext.broadcast(lexicon)), "toxic int, direct double, inside double").toPandas()
     # the sample's rates back to those of all labelled rows
     weights = logistic(design(rows["direct"].to_numpy(), rows["inside"].to_numpy()), rows["toxic"].to_numpy(float))
