@@ -107,32 +107,37 @@ class Near:
 
 
 class NearLong:
-    """A long term within two errors of a word. An error takes one letter and three pairs of neighbours at most, so the automaton runs only for words that share enough of both with a term of about their length."""
+    """A long term within two errors of a word. Two errors leave one third of a term as it is, moved by two places at most, so the automaton runs only for terms of which the word has the begin of a third."""
 
     def __init__(self, terms: Iterable[str]) -> None:
-        self.terms = sorted(w for w in set(terms) if len(w) >= LONG)
-        self.trie = Trie(self.terms)
-        # one counter of 8 bits a term, all in one number; its highest bit is set from the shared parts needed on
-        self.shared: dict[str, int] = {}
-        self.letters = self.pairs = 0
-        self.sizes: dict[int, int] = {}
-        for i, w in enumerate(self.terms):
-            letters, pairs = set(w), {w[j : j + 2] for j in range(len(w) - 1)}
-            for part in letters | pairs:
-                self.shared[part] = self.shared.get(part, 0) + (1 << 8 * i)
-            self.letters += (128 - max(len(letters) - 2, 0)) << 8 * i
-            self.pairs += (128 - max(len(pairs) - 6, 0)) << 8 * i
-            for n in range(len(w) - 2, len(w) + 3):
-                self.sizes[n] = self.sizes.get(n, 0) | 128 << 8 * i
+        self.tries: dict[str, tuple[Trie, frozenset[str]]] = {}
+        self.at: dict[int, dict[str, set[str]]] = {}
+        for w in sorted(w for w in set(terms) if len(w) >= LONG):
+            self.tries[w] = Trie([w]), frozenset(w)
+            a, b = len(w) // 3, 2 * len(w) // 3
+            swap = lambda x, k: x[: k - 1] + x[k] + x[k - 1] + x[k + 1 :]
+            # a swap over a border takes a letter of two thirds
+            for x in (w, swap(w, a), swap(w, b), swap(swap(w, a), b)):
+                for start in (0, a, b):
+                    for j in range(max(start - 2, 0), start + 3):
+                        self.at.setdefault(j, {}).setdefault(x[start : start + 3], set()).add(w)
 
     def __call__(self, word: str) -> str | None:
-        enough = self.sizes.get(len(word))
-        if not enough:
+        n = len(word)
+        if n < LONG - 2 or not self.tries:
             return None
-        enough &= self.letters + sum([self.shared.get(x, 0) for x in set(word)])
-        if not enough or not enough & self.pairs + sum([self.shared.get(x, 0) for x in {word[j : j + 2] for j in range(len(word) - 1)}]):
-            return None
-        return self.trie.near(word, 2)
+        terms: set[str] = set()
+        for j in range(n - 2):
+            found = self.at.get(j)
+            if found and (some := found.get(word[j : j + 3])):
+                terms |= some
+        if terms:
+            letters = set(word)
+            for w in sorted(w for w in terms if abs(len(w) - n) <= 2):
+                trie, own = self.tries[w]
+                if len(own - letters) <= 2 and trie.near(word, 2):
+                    return w
+        return None
 
 
 @dataclass
