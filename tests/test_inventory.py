@@ -96,3 +96,10 @@ def test_plan_index(spark):
     out = plan.with_index(files(spark, *[(f"/s/{i}", 1, "x", None if i % 3 == 0 else 100 - i, 1) for i in range(20)])).collect()
     want = sorted(out, key=lambda r: (r["physical_offset"] is None, r["physical_offset"] or 0, r["path"]))
     assert [r["plan_idx"] for r in want] == list(range(20))
+
+
+def test_group_chunks_keep_large_groups(spark):
+    rows = [(f"/s/{i:03}", 5, "x", None, 1) for i in range(121)] + [("/s/y", 6, "y", None, 1), ("/s/z", 6, "y", None, 1)]
+    out = {(r["canonical"], r["chunk"]): r["duplicates"] for r in dedup.group_chunks(dedup.plan(files(spark, *rows), "/s", "/d"), 50).collect()}
+    assert {k: len(v) for k, v in out.items()} == {("/s/000", 0): 50, ("/s/000", 1): 50, ("/s/000", 2): 20, ("/s/y", 0): 1}
+    assert [p for k in range(3) for p in out["/s/000", k]] == [f"/s/{i:03}" for i in range(1, 121)]

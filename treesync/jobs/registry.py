@@ -331,6 +331,9 @@ _over("src_files", "basename_dirname", "SELECT path, string_split(path, '/')[5]
 query("nested_group_export", PLAN + "SELECT canonical_path AS canonical, string_agg(path, ',' ORDER BY path) AS duplicates FROM p WHERE role = 'duplicate' GROUP BY canonical_path HAVING count(*) < 50")(
     lambda spark, d: dedup.nested_groups(_plan(spark, d), 50).select("canonical", F.array_join("duplicates", ",").alias("duplicates"))
 )
+query("nested_group_chunks", PLAN + ", n AS (SELECT canonical_path, path, (row_number() OVER (PARTITION BY canonical_path ORDER BY path) - 1) // 50 AS chunk FROM p WHERE role = 'duplicate') SELECT canonical_path AS canonical, cast(chunk AS bigint) AS chunk, string_agg(path, ',' ORDER BY path) AS duplicates FROM n GROUP BY canonical_path, chunk")(
+    lambda spark, d: dedup.group_chunks(_plan(spark, d), 50).select("canonical", "chunk", F.array_join("duplicates", ",").alias("duplicates"))
+)
 
 # Streams: the rows arrive as files, and the final state is what the batch operator gives
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treesync.functions.paths import relative, to_dest
+from treesync.operators.plan import index_within
 from treesync.schemas import LAST
 
 KEY = ["size", "hash_algo", "hash"]
@@ -58,7 +59,7 @@ def stats(planned: DataFrame) -> DataFrame:
 
 
 def nested_groups(planned: DataFrame, max_members: int | None = None) -> DataFrame:
-    """canonical, duplicates (ordered array) of each group, for export; groups above ``max_members`` are left to the long form."""
+    """canonical, duplicates (ordered array) of each group, for export; groups of ``max_members`` or more are left to ``group_chunks``."""
     members = planned.where("role = 'duplicate'")
     out = members.groupBy(F.col("canonical_path").alias("canonical")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("path")).alias("duplicates"))
     if max_members is not None:
@@ -66,3 +67,10 @@ def nested_groups(planned: DataFrame, max_members: int | None = None) -> DataFra
         rest = members.withColumn("canonical", F.col("canonical_path")).join(small, "canonical", "left_semi")
         out = rest.groupBy("canonical").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("path")).alias("duplicates"))
     return out.drop("n")
+
+
+def group_chunks(planned: DataFrame, chunk_size: int = 50) -> DataFrame:
+    """canonical, chunk, duplicates (ordered array of at most ``chunk_size``) of every group, however large."""
+    members = planned.where("role = 'duplicate'").select(F.col("canonical_path").alias("canonical"), "path")
+    chunk = F.floor(F.col("at") / chunk_size).alias("chunk")
+    return index_within(members, "canonical", "path", "at").groupBy("canonical", chunk).agg(F.array_sort(F.collect_list("path")).alias("duplicates"))

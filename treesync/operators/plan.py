@@ -72,6 +72,20 @@ def with_index(files: DataFrame, name: str = "plan_idx") -> DataFrame:
     return ranged.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__before") + inside - 1).drop("__at", "__part", "__before")
 
 
+def index_within(rows: DataFrame, group: str, order: str, name: str) -> DataFrame:
+    """``rows`` with their 0-based position in their group; a large group is spread over range partitions, whose counts give the offsets."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shared_folder(rows.sparkSession)
+    ranged = rows.repartitionByRange(n, group, order).withColumn("__part", F.spark_partition_id()).checkpoint()
+    sizes = ranged.groupBy(F.col(group).alias("__group"), "__part").agg(F.count("*").alias("__n"))
+    w = Window.partitionBy("__group").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__group", F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__part", group).orderBy(order))
+    numbered = ranged.withColumn("__i", inside)
+    found = numbered.join(offsets, F.col(group).eqNullSafe(F.col("__group")) & (F.col("__part") == F.col("__p")))
+    return found.withColumn(name, F.col("__before") + F.col("__i") - 1).drop("__part", "__i", "__group", "__p", "__before")
+
+
 def links(planned: DataFrame, src_root: str, dst_root: str) -> DataFrame:
     """Each duplicate with the destination of its canonical file and the relative link target."""
     target = to_dest(F.col("canonical_path"), src_root, dst_root)
