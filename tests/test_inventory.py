@@ -103,3 +103,9 @@ def test_group_chunks_keep_large_groups(spark):
     out = {(r["canonical"], r["chunk"]): r["duplicates"] for r in dedup.group_chunks(dedup.plan(files(spark, *rows), "/s", "/d"), 50).collect()}
     assert {k: len(v) for k, v in out.items()} == {("/s/000", 0): 50, ("/s/000", 1): 50, ("/s/000", 2): 20, ("/s/y", 0): 1}
     assert [p for k in range(3) for p in out["/s/000", k]] == [f"/s/{i:03}" for i in range(1, 121)]
+
+
+def test_manifest_documents_are_bounded(spark):
+    rows = spark.range(1000).selectExpr("concat('s/', id) AS rel_path", "id AS size", "'h' AS source_hash", "'done' AS status", "'s' AS shard")
+    out = manifest.documents(rows, "shard", entries=100).select(F.size("files").alias("n")).collect()
+    assert sum(r["n"] for r in out) == 1000 and len(out) == 10 and max(r["n"] for r in out) < 200

@@ -82,10 +82,8 @@ _over(
 @query("manifest_load", "SELECT rel_path, size, source_hash, status FROM manifest")
 def manifest_load(spark: SparkSession, d: str) -> DataFrame:
     folder = _folder(spark, "manifest-json")
-    rows = view(spark, d, "manifest").withColumn("shard", F.split("rel_path", "/")[0])  # one document per source
-    entry = F.struct(F.col("rel_path").alias("key"), F.struct(F.col("rel_path").alias("relative_path"), "size", "source_hash", "status").alias("value"))
-    docs = rows.groupBy("shard").agg(F.map_from_entries(F.collect_list(entry)).alias("files")).select(F.lit(1).alias("version"), "files")
-    docs.write.json(folder)
+    rows = view(spark, d, "manifest").withColumn("shard", F.split("rel_path", "/")[0])
+    manifest.documents(rows, "shard").write.json(folder)
     return manifest.load(spark, folder, lines=True).select("rel_path", "size", "source_hash", "status")
 
 

@@ -34,6 +34,13 @@ def export_json(manifest: DataFrame) -> DataFrame:
     return manifest.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("rel_path"), value.alias("value")))))).alias("files"))
 
 
+def documents(rows: DataFrame, shard: str, entries: int = 10_000) -> DataFrame:
+    """version, files: JSON documents of ``rows(rel_path, size, source_hash, status)`` by shard, of about ``entries`` entries at most each; their number grows with the rows."""
+    salt = F.pmod(F.xxhash64("rel_path"), F.lit(max(1, -(-rows.count() // entries))))
+    entry = F.struct(F.col("rel_path").alias("key"), F.struct(F.col("rel_path").alias("relative_path"), "size", "source_hash", "status").alias("value"))
+    return rows.groupBy(shard, salt.alias("salt")).agg(F.map_from_entries(F.collect_list(entry)).alias("files")).select(F.lit(1).alias("version"), "files")
+
+
 def pending(planned: DataFrame, manifest: DataFrame) -> DataFrame:
     """Planned rows still to do: not in the manifest with equal size and, where both are known, equal hash. Its status doesn't matter."""
     done = manifest.select(F.col("rel_path").alias("__rel"), F.col("size").alias("__size"), "source_hash")
