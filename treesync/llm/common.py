@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,13 +17,14 @@ BATCH_ROWS = 500
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where it is unset, a temporary one, on a local master only."""
+    conf = spark.sparkContext.getConf()
+    root = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir") or spark.conf.get("treesync.test.shared", None)
     if not root:
-        root = spark.conf.get("treesync.test.shared", None)
-        if not root:
-            root = "file://" + tempfile.mkdtemp(prefix="spark-")
-            spark.conf.set("treesync.test.shared", root)
+        if not re.match(r"local(\[[^\]]*\])?$", conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("treesync.test.shared", root)
     return root.rstrip("/")
 
 
@@ -37,7 +39,7 @@ def stage(df: DataFrame, label: str, codec: str = "snappy", batch_rows: int | No
     before = df.sparkSession.conf.get(key)
     df.sparkSession.conf.set(key, str(batch_rows or before))
     try:
-        df.write.option("compression", codec).parquet(path)
+        df.write.option("compression", codec).option("parquet.block.size", 16 << 20).parquet(path)
     finally:
         df.sparkSession.conf.set(key, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -74,18 +76,31 @@ def sum_vectors(parts: DataFrame) -> DataFrame:
     return parts.select("key", "vec").repartition("key").mapInPandas(add, "key int, vec binary")
 
 
-def bounded(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+def bounded(df: DataFrame, rows: int = 400_000) -> DataFrame:
     """``df`` with a broadcast hint if it has no more than ``rows`` rows (it should be narrow and staged), else as it is, for a shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], how: str = "left", most: int = 500) -> DataFrame:
+    """``rows`` joined with ``classes(*keys, weight, ...)``, weight being the number of rows of a class; drops weight.
+
+    Classes of more than ``most`` rows, or of more than 1 in 50,000 of all rows, are broadcast: there are at most 50,000
+    of them whatever the input. So no task gets a hot class. Keys are not null, or have no class.
+    """
+    total = classes.agg(F.sum("weight")).first()[0] or 0
+    hot = F.col("weight") > max(most, total // 50_000)
+    heavy = F.broadcast(classes.where(hot).drop("weight"))
+    light = rows.join(heavy.select(*keys), keys, "left_anti").join(classes.where(~hot).drop("weight"), keys, how)
+    return rows.join(heavy, keys).unionByName(light)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a long, b long)``: one row ``(id, component_id)`` per node, the smallest id reachable.
 
     Rounds of hooking every node onto its smallest neighbour, following the pointers to their roots by doubling, and
     contracting the edges to roots. Each round at least halves the nodes that still have edges. Counts and minima
     combine before they shuffle, joins are on one pointer row per node, so a node with very many edges is no hot group.
-    Nothing but row counts reaches the driver. Empty input gives an empty result.
+    Nothing but row counts reaches the driver. Empty input gives an empty result. Edges left after ``max_rounds`` are an error.
     """
     spark = edges.sparkSession
     live = stage(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
@@ -111,6 +126,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .distinct(),
             "edges",
         )
+    if not live.isEmpty():
+        raise RuntimeError(f"edges are left after {max_rounds} rounds")
     if not maps:
         return spark.createDataFrame([], "id long, component_id long")
     out = maps[0]

@@ -1,13 +1,19 @@
 """Information-theoretic sanitisation, with DataFrame functions only.
 
-Base: e-mail addresses, IP addresses, card and phone numbers are found by patterns. They are the protected entities.
+Base: e-mail addresses, IP addresses, card and phone numbers are found by patterns. They are the protected entities, each
+also at a coarser level that recurs where the exact value doesn't: mail domain, first half of the address, issuer
+digits, dialling prefix.
 
-Terms: words near an entity (in the same passage, within ``REACH`` characters) may reveal it after it is masked. From all
-documents come the number N, those with the entity n(e), with the term n(t), and with the term near the entity n(t,e):
+Terms: words of a text that holds an entity may reveal it after it is masked. From all documents come the number N, those
+with the entity n(e), with the term n(t), and with both n(t,e), anywhere in the whole text:
     PMI(t; e) = log2(N * n(t,e) / (n(t) * n(e)))      IC(e) = log2(N / n(e))
 A term discloses the share PMI / IC of what the entity says. Beyond one threshold it is generalised, beyond a higher one
-removed. Evidence is counted by distinct passages, so copies of one passage prove nothing; a pair needs ``support`` of them, in as many documents.
-Documents without an entity are left alone.
+removed, wherever it occurs in the documents that hold the entity. Copies prove nothing: the two must meet in two
+different texts at least. Nor does chance: with L = n(t) n(e) / N documents expected, the Poisson (Chernoff) bound for as
+many as n(t,e) must lie below one over the number of pairs that are compared. Documents without an entity are left alone.
+
+Work. A share s of PMI to IC needs n(t) <= n(e)^s N^(1-s), so frequent words drop out once the document frequencies are
+counted, before any pair is made.
 """
 
 from __future__ import annotations
@@ -25,17 +31,23 @@ CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 TERM = r"\p{L}{3,}+"
-#: Characters on either side of an entity in which terms are looked for, and elements of a block of prefix sums.
-REACH, BLOCK = 160, 128
+#: Elements of a block of prefix sums.
+BLOCK = 128
+TERMS = "array<struct<start int, end int, removed boolean>>"
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)``, with the value computed once however often the body, or a lambda in it, reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def located(text: Column, pattern: str) -> tuple[Column, Column, Column]:
-    """(matches, pieces between them, starts of the matches in code points); prefix sums by blocks, so long texts cost no square."""
+def located(text: Column, pattern: str) -> tuple[Column, Column]:
+    """(matches, their starts in code points); prefix sums by blocks, so long texts cost no square."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.split(text, pattern, -1)
     none = F.array().cast("array<int>")
     steps = F.zip_with(F.slice(pieces, F.lit(1), F.size(matches)), matches, lambda p, m: F.struct(F.length(p).alias("gap"), (F.length(p) + F.length(m)).alias("step")))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / BLOCK).cast("int")), lambda b: F.slice(steps, b * BLOCK + 1, F.lit(BLOCK)))
+    blocks = let(steps, lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int")), lambda b: F.slice(x, b * BLOCK + 1, F.lit(BLOCK))))
     # per block: starts from the block's own begin, and its length
     local = F.transform(
         blocks,
@@ -53,7 +65,7 @@ def located(text: Column, pattern: str) -> tuple[Column, Column, Column]:
             F.concat(acc["starts"], F.array(F.transform(b["starts"], lambda s: s + acc["at"]))).alias("starts"),
         ),
     )
-    return matches, pieces, F.when(F.size(matches) > 0, F.flatten(joined["starts"])).otherwise(none)
+    return matches, F.when(F.size(matches) > 0, F.flatten(joined["starts"])).otherwise(none)
 
 
 def digits(x: Column) -> Column:
@@ -81,27 +93,33 @@ def _entity(kind: str, m: Column) -> Column:
     return F.lower(m) if kind in ("email", "ip") else digits(m)
 
 
+def _level(kind: str, m: Column) -> Column:
+    """What many entities share: mail domain, first two parts of an address, six digits of a card number, three of a phone number."""
+    if kind == "email":
+        return F.lower(F.substring_index(m, "@", -1))
+    return F.substring_index(m, ".", 2) if kind == "ip" else F.left(digits(m), F.lit(6 if kind == "card" else 3))
+
+
 def _maybe(kind: str, text: Column) -> Column:
     """A cheap test that every text with such a match passes."""
     return F.contains(text, F.lit({"email": "@", "phone": "+", "ip": "."}[kind])) if kind != "card" else text.rlike("[0-9][ -]?[0-9]")
 
 
-SPAN = "struct<start int, rank int, kind string, end int, entity string, left string, right string>"
+SPAN = "struct<start int, rank int, kind string, end int, entity string, level string>"
 
 
 def _spans(kind: str, pattern: str, text: Column) -> Column:
-    matches, pieces, starts = located(text, pattern)
-    span = lambda m, i: F.struct(
-        F.get(starts, i).alias("start"),
+    matches, starts = located(text, pattern)
+    span = lambda m, start: F.struct(
+        start.alias("start"),
         F.lit(KINDS.index(kind)).alias("rank"),
         F.lit(kind).alias("kind"),
-        (F.get(starts, i) + F.length(m)).alias("end"),
+        (start + F.length(m)).alias("end"),
         F.concat(F.lit(f"{kind}:"), _entity(kind, m)).alias("entity"),
-        F.right(F.get(pieces, i), F.lit(REACH)).alias("left"),
-        F.left(F.get(pieces, i + 1), F.lit(REACH)).alias("right"),
+        F.concat(F.lit(f"{kind} level:"), _level(kind, m)).alias("level"),
     )
     empty = F.array().cast(f"array<{SPAN}>")
-    good = F.filter(F.transform(matches, lambda m, i: F.struct(_valid(kind, m).alias("ok"), span(m, i).alias("span"))), lambda x: x["ok"])
+    good = F.filter(F.zip_with(matches, starts, lambda m, start: F.struct(_valid(kind, m).alias("ok"), span(m, start).alias("span"))), lambda x: x["ok"])
     return F.when(_maybe(kind, text), F.transform(good, lambda x: x["span"])).otherwise(empty)
 
 
@@ -112,53 +130,54 @@ def base_spans(df: DataFrame, text: str, out: str = "base") -> DataFrame:
     return df.withColumn(out, F.array_sort(F.concat(*found)))
 
 
-def _near(side: str) -> Column:
-    """The words of one side of a span with their places; a word that the reach cuts is left out."""
-    text = F.lower(F.col(f"span.{side}"))
-    matches, _, starts = located(text, TERM)
-    begin = F.col("span.start") - F.length(text) if side == "left" else F.col("span.end")
-    whole = lambda s, m: (s > 0) | (F.length(text) < REACH) if side == "left" else (s + F.length(m) < REACH)
-    words = F.transform(matches, lambda m, i: F.struct(m.alias("term"), F.get(starts, i).alias("s")))
-    words = F.filter(words, lambda w: whole(w["s"], w["term"]))
-    return F.transform(words, lambda w: F.struct(w["term"].alias("term"), (begin + w["s"]).alias("start"), (begin + w["s"] + F.length(w["term"])).alias("end")))
+def _words(text: Column) -> Column:
+    """The distinct terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
-def sanitise(docs: DataFrame, generalise_at: float = 0.75, remove_at: float = 0.95, support: int = 3) -> DataFrame:
+def sanitise(docs: DataFrame, generalise_at: float = 0.75, remove_at: float = 0.95) -> DataFrame:
     """One row per row of ``docs(doc_id, text, ...)``: doc_id, text_hash (of the whole text), base (array of spans), terms (array of struct<start, end, removed>).
 
-    Null text counts as empty and has no spans; null ids and repeated rows are rows like any other, as evidence too, but equal
-    passages count once. An empty table gives no rows; other columns are not read.
+    Null text counts as empty and has no spans; null ids and repeated rows are rows like any other, but equal texts are
+    evidence once. Terms never overlap base spans. Very long texts are one row, worked through in blocks of ``BLOCK`` matches.
+    An empty table gives no rows; other columns are not read.
     """
     rows = with_row_address(docs.select("doc_id", F.col("text").cast("string").alias("text")))
-    rows = stage(base_spans(rows, "text").withColumn("text_hash", F.xxhash64("text")).drop("text"), "spans")
-    near = rows.select("block", "pos", F.explode("base").alias("span")).withColumn("word", F.explode(F.concat(_near("left"), _near("right"))))
-    near = stage(
-        near.select("block", "pos", F.col("span.entity").alias("entity"), F.xxhash64("span.left", "span.right").alias("passage"), "word.term", "word.start", "word.end"), "near"
-    )
-    pairs = near.groupBy("entity", "term").agg(F.min("passage").alias("low"), F.max("passage").alias("high")).where("low <> high").select("entity", "term")
-    met = near.join(pairs, ["entity", "term"], "left_semi")
-    passages = met.select("entity", "term", "passage").distinct().groupBy("entity", "term").agg(F.count("*").alias("passages")).where(F.col("passages") >= support)
-    together = met.select("entity", "term", "block", "pos").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te"))
-    candidates = stage(passages.join(together.where(F.col("n_te") >= support), ["entity", "term"]).select("entity", "term", "n_te"), "candidates")
-    terms = stage(candidates.select("term").distinct(), "terms")
+    rows = base_spans(rows, "text").withColumn("text_hash", F.xxhash64("text"))
+    # of texts with an entity the rest, at its places, is kept for the terms
+    rows = stage(rows.withColumn("rest", F.when(F.size("base") > 0, replaced(F.col("text"), F.col("base"), blank))).drop("text"), "spans")
     total = rows.count()
-    # how many documents have the term, over all whole texts
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term"))
-    n_t = words.join(bounded(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t")) if not terms.isEmpty() else terms.select("term", F.lit(1).cast("long").alias("n_t"))
-    holders = rows.select("block", "pos", F.explode(F.array_distinct(F.transform("base", lambda s: s["entity"]))).alias("entity"))
-    n_e = holders.join(candidates.select("entity").distinct(), "entity", "left_semi").groupBy("entity").agg(F.count("*").alias("n_e"))
     n = F.lit(float(max(total, 1)))
-    disclosed = (
-        candidates.join(n_t, "term").join(n_e, "entity")
-        .withColumn("pmi", F.log2(n * F.col("n_te") / (F.col("n_t") * F.col("n_e")))).withColumn("ic", F.log2(n / F.col("n_e")))
-        .where((F.col("ic") > 0) & (F.col("pmi") >= generalise_at * F.col("ic")))
-        .select("entity", "term", (F.col("pmi") >= remove_at * F.col("ic")).alias("removed"))
+    held = rows.where("rest is not null")
+    different = F.min("text_hash") != F.max("text_hash")
+    holders = held.select("block", "pos", "text_hash", F.explode(F.array_distinct(F.concat(F.transform("base", lambda s: s["entity"]), F.transform("base", lambda s: s["level"])))).alias("entity"))
+    entities = holders.groupBy("entity").agg(F.count("*").alias("n_e"), different.alias("different")).where("different").drop("different")
+    # a term of more documents can't disclose the share generalise_at
+    entities = stage(entities.withColumn("most", F.pow("n_e", F.lit(generalise_at)) * F.pow(n, F.lit(1 - generalise_at))), "entities")
+    most, n_entities = entities.agg(F.max("most"), F.count("*")).first()
+    words = held.select("block", "pos", "text_hash", F.explode(_words(F.col("rest"))).alias("term"))
+    here = stage(words.groupBy("term").agg(different.alias("different")).where("different").select("term"), "terms-here")
+    n_t = docs.select(F.explode(_words(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t").between(2, most or 0))
+    terms = stage(n_t.join(bounded(here), "term", "left_semi"), "terms")
+    met = (
+        words.join(bounded(terms), "term")
+        .join(holders.drop("text_hash").join(bounded(entities), "entity"), ["block", "pos"])
+        .where("n_t <= most").select("block", "pos", "text_hash", "entity", "term", "n_t", "n_e")
     )
-    hit = near.join(disclosed, ["entity", "term"]).groupBy("block", "pos", "start", "end").agg(F.max("removed").alias("removed"))
-    found = hit.groupBy("block", "pos").agg(F.array_sort(F.collect_list(F.struct("start", "end", "removed"))).alias("terms"))
-    out = rows.join(found, ["block", "pos"], "left")
-    free = F.filter(F.coalesce("terms", F.array().cast("array<struct<start int, end int, removed boolean>>")), lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return out.select("doc_id", "text_hash", "base", free.alias("terms"))
+    pairs = met.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.max("n_t").alias("n_t"), F.max("n_e").alias("n_e"), different.alias("different")).where("different")
+    compared = max(1, n_entities * terms.count())
+    expected = F.col("n_t") * F.col("n_e") / n
+    bits = (F.col("n_te") * F.log(F.col("n_te") / expected) - F.col("n_te") + expected) / F.log(F.lit(2.0))
+    ic, pmi = F.log2(n / F.col("n_e")), F.log2(n * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
+    disclosed = pairs.where((ic > 0) & (F.col("n_te") > expected) & (bits >= F.log2(F.lit(float(compared)))) & (pmi >= generalise_at * ic))
+    disclosed = stage(disclosed.select("entity", "term", (pmi >= remove_at * ic).alias("removed")), "disclosed")
+    hit = met.join(bounded(disclosed), ["entity", "term"]).groupBy("block", "pos", "term").agg(F.max("removed").alias("removed"))
+    hit = stage(hit.groupBy("block", "pos").agg(F.map_from_entries(F.collect_list(F.struct("term", "removed"))).alias("hit")), "hit")  # of one document's words
+    out = rows.join(bounded(hit), ["block", "pos"], "left")
+    matches, starts = located(F.col("rest"), TERM)
+    places = F.zip_with(matches, starts, lambda m, start: F.struct(start.alias("start"), (start + F.length(m)).alias("end"), F.try_element_at("hit", F.lower(m)).alias("removed")))
+    found = F.when(F.col("hit").isNotNull(), F.filter(places, lambda t: t["removed"].isNotNull()))
+    return out.select("doc_id", "text_hash", "base", F.coalesce(found, F.array().cast(TERMS)).alias("terms"))
 
 
 def listed(spans: Column) -> Column:
@@ -175,23 +194,44 @@ def all_spans() -> Column:
     return F.array_sort(F.concat(base, terms))
 
 
-def masked(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets, and disclosing terms removed or generalised; overlapping spans are one."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    label = lambda s: F.when(s["kind"] == "removed", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-    step = lambda acc, s: F.when(
-        s["end"] > acc["at"],
-        F.struct(
-            s["end"].alias("at"),
-            F.concat(acc["parts"], F.array(F.when(s["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), label(s))).otherwise(F.lit("")))).alias("parts"),
-        ),
-    ).otherwise(acc)
-    done = F.aggregate(spans, start, step)
-    return F.when(F.size(spans) > 0, F.concat(F.array_join(done["parts"], ""), F.substring(text, done["at"] + 1, F.length(text)))).otherwise(text)
+def blank(span: Column, begin: Column, first: Column) -> Column:
+    """As many spaces, so that places stay."""
+    return F.repeat(F.lit(" "), span["end"] - begin)
+
+
+def label(span: Column, begin: Column, first: Column) -> Column:
+    """The kind in brackets, nothing for removed terms; overlapping spans are one."""
+    return F.when(first & (span["kind"] != "removed"), F.concat(F.lit("["), F.upper(span["kind"]), F.lit("]"))).otherwise(F.lit(""))
+
+
+def replaced(text: Column, spans: Column, by) -> Column:
+    """The text with each of the spans, which are sorted by start, replaced by ``by(span, begin, first)``; begin is its first place that no span before it covers.
+
+    Works in blocks of spans, each on its own piece of the text, so that many spans of a long text cost no square.
+    """
+    return let(F.struct(text.alias("text"), spans.alias("spans")), lambda x: _replaced(x["text"], x["spans"], by))
+
+
+def _replaced(text: Column, spans: Column, by) -> Column:
+    ends = F.transform(spans, lambda s: s["end"])
+    cut = lambda b: F.struct(F.slice(spans, b * BLOCK + 1, F.lit(BLOCK)).alias("spans"), F.coalesce(F.array_max(F.slice(ends, F.lit(1), b * BLOCK)), F.lit(0)).alias("at"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / BLOCK).cast("int")), cut)
+    blocks = F.transform(blocks, lambda b: F.struct(b["spans"], b["at"], F.substring(text, b["at"] + 1, F.array_max(F.transform(b["spans"], lambda s: s["end"])) - b["at"]).alias("text")))
+
+    def parts(b: Column) -> Column:
+        def step(acc: Column, s: Column) -> Column:
+            begin = F.greatest(s["start"], acc["at"])
+            piece = F.concat(F.substring(b["text"], acc["at"] - b["at"] + 1, begin - acc["at"]), by(s, begin, s["start"] >= acc["at"]))
+            return F.when(s["end"] > acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["parts"], F.array(piece)).alias("parts"))).otherwise(acc)
+
+        return F.aggregate(b["spans"], F.struct(b["at"].alias("at"), F.array().cast("array<string>").alias("parts")), step)["parts"]
+
+    tail = F.substring(text, F.array_max(ends) + 1, F.length(text))
+    return F.when(F.size(spans) > 0, F.concat(F.array_join(F.flatten(F.transform(blocks, parts)), ""), tail)).otherwise(text)
 
 
 def mask(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with masked texts, all columns and rows kept; null texts stay null.
+    """``docs`` with masked texts, all columns and rows kept, whatever their names; null texts stay null, odd rows as in ``sanitise``.
 
     Base spans are found again while the texts are read; only the few rows with disclosing terms are joined.
     """
@@ -199,11 +239,12 @@ def mask(docs: DataFrame, text: str = "text") -> DataFrame:
     terms = stage(terms.dropDuplicates(["__id", "__hash"]), "disclosing")
     named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.xxhash64(F.col(text).cast("string")).alias("__h"), F.col(text).cast("string").alias("__text"))
     found = base_spans(named, "__text").join(bounded(terms, 100_000), F.col("__row.doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")), "left")
-    found = found.withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start int, end int, removed boolean>>")))
-    return found.withColumn("__text", masked(F.col("__text"), all_spans())).select(*(F.col("__text").alias(c) if c == text else F.col(f"__row.`{c}`") for c in docs.columns))
+    found = found.withColumn("terms", F.coalesce("terms", F.array().cast(TERMS)))
+    return found.withColumn("__text", replaced(F.col("__text"), all_spans(), label)).select(*(F.col("__text").alias(c) if c == text else F.col(f"__row.`{c}`") for c in docs.columns))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of the base spans, and all spans, of all documents; odd rows as in ``sanitise``."""
     out = sanitise(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return out.select("doc_id", *(count(k) for k in KINDS), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(all_spans()).alias("spans"))
