@@ -101,6 +101,15 @@ def test_jaccard_join(spark, odd, none):
                 root[max(a, b)] = min(a, b)
     out = jaccard_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in out} == {(i, len(sets[i]), find(i)) for i in sets}
+    links, classes = jaccard_join.similar_pairs(spark.createDataFrame(docs, "doc_id long, text string"))
+    members = {}
+    for i, x in sets.items():
+        if x:
+            members.setdefault(frozenset(x), []).append(i)
+    named = {i: min(ids) for ids in members.values() for i in ids}
+    assert {(r["doc_id"], r["class_id"]) for r in classes.collect()} == set(named.items())
+    want = {tuple(sorted((named[i], named[j]))) for i in named for j in named if i < j and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) and named[i] != named[j]}
+    assert {(r["a"], r["b"]) for r in links.collect()} == want and want
     got = {(r["doc_id"], r["component_id"]) for r in jaccard_join.near_duplicates(odd).collect()}
     assert got == {(1, 1), (2, 2), (3, 3), (None, None), (4, 1), (5, 5), (6, 6)}
     assert jaccard_join.near_duplicates(none).count() == 0
@@ -187,10 +196,10 @@ def test_language(spark, odd, none):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.fit(docs)
     out = {r["doc_id"]: r for r in langid.identify(docs, model).collect()}
-    assert np.mean([out[i]["__lang"] == x for i, _, x in rows]) == 1.0
+    assert np.mean([out[i]["language"]["lang"] == x for i, _, x in rows]) == 1.0
     odd_out = langid.identify(odd, model).collect()
-    assert len(odd_out) == len(ODD) and {r["__lang"] for r in odd_out if not r["text"]} == {"und"}
-    assert langid.identify(none, model).count() == 0 and langid.identify(odd, langid.fit(none)).where("not __rejected").count() == 0
+    assert len(odd_out) == len(ODD) and {r["language"]["lang"] for r in odd_out if not r["text"]} == {"und"}
+    assert langid.identify(none, model).count() == 0 and langid.identify(odd, langid.fit(none)).where("not language.rejected").count() == 0
 
 
 def test_toxicity(spark, odd, none):

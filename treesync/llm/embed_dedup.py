@@ -8,7 +8,9 @@ components at a time.
 
 Equal vectors of a label are one representative with a weight. Representatives lie in tiles by label and by their place
 on a fixed random direction: linked unit vectors are within sqrt(2 - 2t) of each other, so only tiles whose slices are
-that close are multiplied. A tile product returns link counts and a spanning forest, never its pairs.
+that close are multiplied. A first round multiplies codes alone, one byte a component, and says which rows of which tile
+pairs may link; only for those the components travel. A tile product returns link counts and a spanning forest, never its
+pairs.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treesync.llm.common import components, stage, table
+from treesync.llm.common import bounded, components, join_classes, stage, table
 
 #: Most representatives of a tile.
 TILE = 1024
@@ -48,12 +50,16 @@ def _code_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def may_link(a: tuple, b: tuple, threshold: float) -> np.ndarray:
+    """Matrix of the pairs of quantised rows whose product plus the bound of its error reaches the threshold."""
+    (qa, sa, ra, _), (qb, sb, rb, nb) = a, b
+    return _code_products(qa, qb) / (sa[:, None] * sb[None, :]) + (ra[:, None] * nb[None, :] + rb[None, :]) + SLACK >= threshold
+
+
 def tile_links(a: np.ndarray, b: np.ndarray, threshold: float, chunk: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers (i of a, j of b) of the pairs with cosine >= threshold; a and b hold rows of any length but zero."""
-    ua, ub = unit(a), unit(b)
-    (qa, sa, ra, _), (qb, sb, rb, nb) = quantise(ua), quantise(ub)
-    upper = _code_products(qa, qb) / (sa[:, None] * sb[None, :]) + (ra[:, None] * nb[None, :] + rb[None, :]) + SLACK
-    i, j = np.nonzero(upper >= threshold)
+    ua, ub = unit(a.astype(np.float64)), unit(b.astype(np.float64))
+    i, j = np.nonzero(may_link(quantise(ua), quantise(ub), threshold))
     good = np.concatenate([np.einsum("ij,ij->i", ua[i[k : k + chunk]], ub[j[k : k + chunk]]) >= threshold for k in range(0, len(i), chunk)] or [np.zeros(0, bool)])
     return i[good], j[good]
 
@@ -72,31 +78,57 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def _pack(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("rep")
-    x = np.asarray(rows["v"].tolist(), np.float64)
-    return pd.DataFrame({
-        "label": rows["label"].iloc[:1], "dims": rows["dims"].iloc[:1], "slice": rows["slice"].iloc[:1], "sub": rows["sub"].iloc[:1],
-        "reps": [rows["rep"].to_numpy(np.int64).tobytes()], "weights": [rows["weight"].to_numpy(np.int64).tobytes()], "x": [x.tobytes()],
-    })
+def _pack(kind):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("rep")
+        x = np.asarray(rows["v"].tolist(), np.float64)
+        codes, scale, rest, norm = quantise(unit(x))
+        first = {c: rows[c].iloc[:1] for c in ("label", "dims", "slice", "sub")}
+        arrays = {"reps": rows["rep"].to_numpy(np.int64), "weights": rows["weight"].to_numpy(np.int64), "x": x.astype(kind), "codes": codes, "bounds": np.stack([scale, rest, norm])}
+        return pd.DataFrame({**first, **{c: [v.tobytes()] for c, v in arrays.items()}})
+
+    return run
+
+
+def _screen(threshold: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for t in batch.itertuples():
+                sides = []
+                for codes, bounds in ((t.codes, t.bounds), (t.codes2, t.bounds2)):
+                    bounds = np.frombuffer(bounds).reshape(3, -1)
+                    sides.append((np.frombuffer(codes, np.int8).reshape(bounds.shape[1], -1), *bounds))
+                near = may_link(*sides, threshold)
+                if (t.slice, t.sub) == (t.slice2, t.sub2):
+                    near = np.triu(near, 1)
+                    rows = columns = near.any(1) | near.any(0)
+                else:
+                    rows, columns = near.any(1), near.any(0)
+                if rows.any():
+                    out.append((t.label, t.dims, t.slice, t.sub, t.slice2, t.sub2, np.packbits(rows).tobytes(), np.packbits(columns).tobytes()))
+            yield pd.DataFrame(out, columns=["label", "dims", "slice", "sub", "slice2", "sub2", "rows", "columns"])
+
+    return run
 
 
-def _multiply(threshold: float):
+def _multiply(threshold: float, kind):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for t in batch.itertuples():
-                reps = [np.frombuffer(r, np.int64) for r in (t.reps, t.reps2)]
-                weights = [np.frombuffer(w, np.int64) for w in (t.weights, t.weights2)]
-                a, b = (np.frombuffer(x, np.float64).reshape(len(r), -1) for x, r in zip((t.x, t.x2), reps, strict=True))
+                on = [np.unpackbits(np.frombuffer(m, np.uint8))[: len(r) // 8].astype(bool) for m, r in ((t.rows, t.reps), (t.columns, t.reps2))]
+                reps = [np.frombuffer(r, np.int64)[o] for r, o in zip((t.reps, t.reps2), on, strict=True)]
+                weights = [np.frombuffer(w, np.int64)[o] for w, o in zip((t.weights, t.weights2), on, strict=True)]
+                a, b = (np.frombuffer(x, kind).reshape(len(o), -1)[o] for x, o in zip((t.x, t.x2), on, strict=True))
                 i, j = tile_links(a, b, threshold)
                 if same := (t.slice, t.sub) == (t.slice2, t.sub2):
                     i, j = i[i < j], j[i < j]
                 links = np.bincount(i, weights[1][j], len(a)).astype(np.int64), np.bincount(j, weights[0][i], len(b)).astype(np.int64)
                 ids, links = (reps[0], links[0] + links[1]) if same else (np.concatenate(reps), np.concatenate(links))
                 root = forest(i, j if same else j + len(a), len(ids))
-                on = np.flatnonzero(links)
-                if len(on):
-                    yield pd.DataFrame({"a": ids[on], "b": ids[root[on]], "links": links[on]})
+                linked = np.flatnonzero(links)
+                if len(linked):
+                    yield pd.DataFrame({"a": ids[linked], "b": ids[root[linked]], "links": links[linked]})
 
     return run
 
@@ -107,8 +139,9 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.98, tile: int = TIL
     Vectors of equal label (and equal length) link when their cosine is at least ``threshold``. Rows with a null id, label or
     vector, a zero vector, or a null, infinite or NaN component link with nothing: n_links 0, component_id = vec_id.
     Repeated rows count as vectors of their own. ``component_id`` is the smallest vec_id reachable; ``kept`` says that it is the row's own.
-    An empty table gives no rows; other columns are not read.
+    An empty table gives no rows; other columns, texts of any length among them, are not read.
     """
+    kind = np.float32 if dict(vectors.dtypes)["embedding"] == "array<float>" else np.float64
     x = F.transform(F.col("embedding").cast("array<double>"), lambda c: c + F.lit(0.0))  # no negative zero
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), x.alias("v"))
     finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0)
@@ -126,33 +159,35 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.98, tile: int = TIL
 
     classes = stage(classes.withColumn("slice", place("v")), "vector-classes", batch_rows=2000)
     key = ["label", "dims", "slice"]
-    subs = classes.groupBy(*key).agg(F.ceil(F.count("*") / tile).alias("subs"))
-    tiled = classes.join(subs, key).withColumn("sub", F.pmod(F.xxhash64("rep"), "subs").cast("int"))
-    tiles = tiled.groupBy(*key, "sub").applyInPandas(_pack, "label long, dims int, slice int, sub int, reps binary, weights binary, x binary")
-    tiles = stage(tiles, "vector-tiles")
+    subs = bounded(stage(classes.groupBy(*key).agg(F.ceil(F.count("*") / tile).alias("subs")), "vector-slices"))
+    tiled = classes.join(subs, key).withColumn("sub", F.pmod(F.xxhash64("rep"), "subs").cast("int")).repartition(*key, "sub")
+    tiles = tiled.groupBy(*key, "sub").applyInPandas(_pack(kind), "label long, dims int, slice int, sub int, reps binary, weights binary, x binary, codes binary, bounds binary")
+    tiles = stage(tiles, "vector-tiles", batch_rows=8)
     names = tiles.select(*key, "sub")
     near = names.withColumn("slice2", F.explode(F.array("slice", F.col("slice") + 1)))
     pairs = near.join(names.select("label", "dims", F.col("slice").alias("slice2"), F.col("sub").alias("sub2")), ["label", "dims", "slice2"])
     pairs = pairs.where((F.col("slice") < F.col("slice2")) | (F.col("sub") <= F.col("sub2")))
-    other = tiles.select("label", "dims", *(F.col(c).alias(f"{c}2") for c in ("slice", "sub", "reps", "weights", "x")))
-    products = pairs.join(tiles, [*key, "sub"]).join(other, ["label", "dims", "slice2", "sub2"])
-    found = stage(products.mapInPandas(_multiply(threshold), "a long, b long, links long"), "vector-links", batch_rows=8)
+    def both(pairs: DataFrame, *columns: str) -> DataFrame:
+        other = tiles.select("label", "dims", *(F.col(c).alias(f"{c}2") for c in ("slice", "sub", *columns)))
+        return pairs.join(tiles.select(*key, "sub", *columns), [*key, "sub"]).join(other, ["label", "dims", "slice2", "sub2"])
+
+    screened = both(pairs, "codes", "bounds").mapInPandas(_screen(threshold), "label long, dims int, slice int, sub int, slice2 int, sub2 int, rows binary, columns binary")
+    screened = stage(screened, "vector-screen", batch_rows=8)
+    found = stage(both(screened, "reps", "weights", "x").mapInPandas(_multiply(threshold, kind), "a long, b long, links long"), "vector-links", batch_rows=8)
     roots = components(found.select("a", "b")).select(F.col("id").alias("rep"), "component_id")
     links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     result = stage(
         classes.join(links, "rep", "left").join(roots, "rep", "left")
-        .select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"), F.lit(True).alias("ok")),
+        .select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"), "weight"),
         "vector-results",
     )
-    return rows.join(result, ["ok", "label", "v"], "left").select(
-        "vec_id",
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component_id", "vec_id").alias("component_id"),
-        F.coalesce(F.coalesce("component_id", "vec_id") == F.col("vec_id"), F.lit(True)).alias("kept"),
-    )
+    alone = rows.where(~F.col("ok")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = join_classes(rows.where("ok").select("vec_id", "label", "v"), result, ["label", "v"], "inner").select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
+    return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)))
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors; odd rows as in ``embedding_links``."""
     return embedding_links(table(spark, sf_dir, "embeddings"))
 
 

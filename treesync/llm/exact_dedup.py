@@ -21,12 +21,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treesync.llm.common import bounded, small_batches, stage, table, with_row_address
+from treesync.llm.common import bounded, join_classes, small_batches, stage, table, with_row_address
 
 #: The code points that normalisation deletes: space, and tab to carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
 #: A list of suspect fingerprints is broadcast up to so many rows (8 bytes each), and beyond that joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Rows whose codes one owner decodes at once.
+OWNER_ROWS = 5_000_000
 LAST = (1 << 63) - 1
 
 
@@ -102,8 +104,8 @@ def exact_dedup(docs: DataFrame, owners: int | None = None) -> DataFrame:
 
     Texts are equal when identical after deleting blanks (space, tab to carriage return). The row with the most code
     points stays, then the smallest doc_id (null ids come last), then the first of repeated rows. Null text counts as
-    empty, and all empty texts are one group; an empty table gives no rows. Other columns are not read. Two
-    different texts with one SHA-256 would end the job with an error.
+    empty, and all empty texts are one group; an empty table gives no rows. Other columns are not read. Very long texts
+    are single values that Spark digests as they are. Two different texts with one SHA-256 would end the job with an error.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -115,7 +117,7 @@ def exact_dedup(docs: DataFrame, owners: int | None = None) -> DataFrame:
     rows = stage(with_row_address(rows), "fingerprints")
     n = rows.count()
     bits = min(52, max(1, math.ceil(math.log2(max(2, n)))) + 10)
-    owners = owners or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    owners = owners or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // OWNER_ROWS))
 
     def fingerprint(sha) -> F.Column:
         return F.shiftright(F.conv(F.substring(sha, 1, 15), 16, 10).cast("long"), 60 - bits)
@@ -144,9 +146,9 @@ def exact_dedup(docs: DataFrame, owners: int | None = None) -> DataFrame:
     )
     order = F.struct((-F.col("n_chars")).alias("longest"), F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.col("doc_id").isNull().alias("null_id"), "block", "pos", "doc_id")
     winners = suspects.groupBy("text_sha256").agg(F.min(order).alias("best"))
-    classes = verified.join(winners, "text_sha256")
+    classes = stage(verified.join(winners, "text_sha256").withColumn("weight", F.col("group_size")), "copy-classes")
     return (
-        marked.join(classes, "text_sha256", "left")
+        join_classes(marked, classes, ["text_sha256"])
         .select(
             "doc_id",
             F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),
@@ -159,15 +161,18 @@ def exact_dedup(docs: DataFrame, owners: int | None = None) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that ``exact_dedup`` drops; columns kept. The text decides, so repeated rows and null ids are handled as there."""
-    groups = exact_dedup(docs).where("group_size > 1 and kept").select(F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep"), F.col("n_chars").alias("__chars"))
-    rows = docs.withColumn("__sha", F.sha2(normalised(F.col("text")), 256)).join(bounded(stage(groups, "groups")), "__sha", "left")
-    alone = rows.where("__chars is null")
-    best = rows.where(F.col("__chars").isNotNull() & F.col("doc_id").eqNullSafe(F.col("__keep")) & (F.length(F.coalesce("text", F.lit(""))) == F.col("__chars")))
-    return alone.unionByName(best.dropDuplicates(["__sha"])).select(*(f"`{c}`" for c in docs.columns))
+    """``docs`` without the rows that ``exact_dedup`` drops; columns kept, whatever their names. The text decides, so repeated rows and null ids are handled as there."""
+    groups = exact_dedup(docs).where("group_size > 1 and kept").select(F.col("text_sha256").alias("sha"), F.col("keep_id").alias("keep"), F.col("n_chars").alias("longest"), F.col("group_size").alias("weight"))
+    groups = stage(groups, "groups")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.sha2(normalised(F.col("text")), 256).alias("sha"))
+    few = groups.limit(BROADCAST_ROWS // 4 + 1).count() <= BROADCAST_ROWS // 4
+    rows = rows.join(F.broadcast(groups.drop("weight")), "sha", "left") if few else join_classes(rows, groups, ["sha"])
+    best = rows.where(F.col("longest").isNotNull() & F.col("row.doc_id").eqNullSafe(F.col("keep")) & (F.length(F.coalesce("row.text", F.lit(""))) == F.col("longest")))
+    return rows.where("longest is null").select("row.*").unionByName(best.dropDuplicates(["sha"]).select("row.*"))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts of all documents; odd rows as in ``exact_dedup``."""
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 

@@ -118,41 +118,42 @@ def fit(docs: DataFrame, sample: int = 400, clusters: int = 3, margin: float = 0
     return Model([r["lang"] for r in fitted], np.array([np.frombuffer(r["centroid"], np.float32) for r in fitted]).reshape(len(fitted), DIMS), idf, floors)
 
 
-def _predict(model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = model.value
-        for batch in batches:
-            n = batch.num_rows
-            x, sizes = tfidf(batch.column(batch.schema.names.index("text")).to_pylist(), m.idf)
-            if m.langs:
-                cos = x @ m.centroids.T
-                best = cos.argmax(1) if n else np.zeros(0, int)
-                score = np.clip(cos[np.arange(n), best], 0, 1).astype(float)
-                lang = [m.langs[b] if s else UNKNOWN for b, s in zip(best, sizes, strict=True)]
-                no = (sizes == 0) | (score < m.floors[np.log2(np.maximum(sizes, 1)).astype(int)])
-            else:
-                score, lang, no = np.zeros(n), [UNKNOWN] * n, np.ones(n, bool)
-            score = np.where(sizes == 0, 0.0, score)
-            new = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(no, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "__lang", "__score", "__rejected"])
-
-    return run
-
-
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with __lang, __score and __rejected, in one narrow pass; all columns and rows kept.
-
-    Only ``text`` is looked at. Texts that are null, empty or without letters get ``und``, score 0, and are rejected; so is everything
-    if nothing could be learnt. An empty table stays empty.
+def predictor(spark: SparkSession, model: Model):
+    """A column function: text -> struct<lang, score, rejected>. Only texts go to Python, other columns stay where they are."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("struct<lang string, score double, rejected boolean>")
+    def predict(texts: pd.Series) -> pd.DataFrame:
+        m: Model = shared.value
+        n = len(texts)
+        x, sizes = tfidf(texts.tolist(), m.idf)
+        if m.langs:
+            cos = x @ m.centroids.T
+            best = cos.argmax(1) if n else np.zeros(0, int)
+            score = np.clip(cos[np.arange(n), best], 0, 1).astype(float)
+            lang = [m.langs[b] if s else UNKNOWN for b, s in zip(best, sizes, strict=True)]
+            no = (sizes == 0) | (score < m.floors[np.log2(np.maximum(sizes, 1)).astype(int)])
+        else:
+            score, lang, no = np.zeros(n), [UNKNOWN] * n, np.ones(n, bool)
+        return pd.DataFrame({"lang": lang, "score": np.where(sizes == 0, 0.0, score), "rejected": no})
+
+    return predict.asNondeterministic()  # a filter on the result must not make Spark evaluate it once more
+
+
+def identify(docs: DataFrame, model: Model, out: str = "language") -> DataFrame:
+    """``docs`` with the struct column ``out`` (lang, score, rejected), in one narrow pass; all other columns and rows kept.
+
+    Only ``text`` is looked at, whole. Texts that are null, empty or without letters get ``und``, score 0, and are rejected; so is
+    everything if nothing could be learnt. A column named ``out`` is replaced. An empty table stays empty.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(_predict(spark.sparkContext.broadcast(model)), f"{names}, __lang string, __score double, __rejected boolean")
+    return docs.withColumn(out, predictor(spark, model)(F.col("text").cast("string")))
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents; odd rows as in ``identify``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     small_batches(spark)
     out = identify(docs.select("doc_id", "text"), fit(docs))
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"), F.col("__rejected").alias("rejected"))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"), F.col("language.rejected").alias("rejected"))

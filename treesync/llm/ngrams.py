@@ -11,8 +11,8 @@ _TABLE: list[np.ndarray] = []
 def _folded() -> np.ndarray:
     """Code point -> lower-case letter, or 0 for what isn't a letter; built once a worker."""
     if not _TABLE:
-        out = np.zeros(0x30001, np.uint64)
-        for c in range(0x30000):
+        out = np.zeros(0x33480, np.uint64)
+        for c in range(0x3347F):
             x = chr(c)
             if x.isalpha():
                 low = x.lower()
@@ -24,7 +24,7 @@ def _folded() -> np.ndarray:
 def letters(text: str) -> np.ndarray:
     """Folded letters with a single 0 between words and at both ends."""
     codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    f = _folded()[np.minimum(codes, 0x30000)]
+    f = _folded()[np.minimum(codes, 0x3347F)]
     f = np.concatenate([np.zeros(1, np.uint64), f, np.zeros(1, np.uint64)])
     keep = np.ones(len(f), bool)
     keep[1:] = (f[1:] != 0) | (f[:-1] != 0)

@@ -9,6 +9,8 @@ before, so slots are gapless without another pass.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,8 +18,8 @@ from pyspark.sql import functions as F
 
 from treesync.llm.common import small_batches, stage, table, with_row_address
 
-#: From this size of population numpy has no exact sampler; a rounded normal draw inside the support stands in.
-EXACT_BELOW = 10**9
+#: Below this size of population numpy samples; from it on its factorials lose precision, and ``hypergeometric`` rejects by ratios.
+NUMPY_BELOW = 10**9
 
 
 def bin_sizes(rows: int, shards: int, per_shard: int) -> np.ndarray:
@@ -26,17 +28,53 @@ def bin_sizes(rows: int, shards: int, per_shard: int) -> np.ndarray:
     return np.concatenate([size(int(n), per_shard) for n in size(rows, shards)]).astype(np.int64)
 
 
+def log_factorials(a: int, b: int) -> float:
+    """ln(a!) - ln(b!), without the two being computed: for neighbours at 10^12 that would cost all digits."""
+    if min(a, b) < 1000:
+        return math.lgamma(a + 1) - math.lgamma(b + 1)
+    d = a - b
+    series = lambda x: 1 / (12 * x) - 1 / (360 * x**3)
+    return (b + 0.5) * math.log1p(d / b) + d * (math.log(a) - 1) + series(a) - series(b)
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of n rows drawn without replacement from good + bad are good, for populations of any size.
+
+    Ratio of uniforms with rejection (Stadlober, 1990): what is accepted has the hypergeometric law, with probabilities
+    taken as ratios to that of the mode.
+    """
+    total = good + bad
+    if total < NUMPY_BELOW:
+        return int(rng.hypergeometric(good, bad, n))
+    if good > bad:
+        return n - hypergeometric(rng, bad, good, n)
+    if 2 * n > total:
+        return good - hypergeometric(rng, good, bad, total - n)
+    high, mode = min(good, n), (n + 1) * (good + 1) // (total + 2)
+    if not high:
+        return 0
+    mean = n * good / total
+    spread = math.sqrt(mean * (bad / total) * ((total - n) / (total - 1)) + 0.5)
+    width = 2 * math.sqrt(2 / math.e) * spread + 3 - 2 * math.sqrt(3 / math.e)
+    while True:
+        u, v = 1 - rng.random(), rng.random()
+        k = math.floor(mean + 0.5 + width * (v - 0.5) / u)
+        if not 0 <= k <= high:
+            continue
+        against = log_factorials(k, mode) + log_factorials(good - k, good - mode) + log_factorials(n - k, n - mode) + log_factorials(bad - n + k, bad - n + mode)
+        if 2 * math.log(u) <= -against:
+            return k
+
+
 def _draw(rng: np.random.Generator, sizes: np.ndarray, n: int) -> np.ndarray:
-    """How many of n rows, drawn without replacement, fall into each bin."""
-    total = int(sizes.sum())
-    if total < EXACT_BELOW:
-        return rng.multivariate_hypergeometric(sizes, n, method="marginals")
-    out = np.zeros_like(sizes)
-    for i, size in enumerate(sizes.tolist()):
-        mean = n * size / total
-        spread = np.sqrt(max(0.0, mean * (1 - size / total) * (total - n) / max(1, total - 1)))
-        out[i] = min(max(round(rng.normal(mean, spread)), n - (total - size), 0), size, n)
-        n, total = n - int(out[i]), total - size
+    """How many of n rows, drawn without replacement, fall into each bin: bin by bin, given those before."""
+    out, total, i = np.zeros_like(sizes), int(sizes.sum()), 0
+    while total >= NUMPY_BELOW:
+        size = int(sizes[i])
+        out[i] = hypergeometric(rng, size, total - size, n)
+        n, total, i = n - int(out[i]), total - size, i + 1
+    if i < len(sizes):
+        out[i:] = rng.multivariate_hypergeometric(sizes[i:], n, method="marginals")
     return out
 
 
@@ -54,7 +92,7 @@ def uniform_shuffle(df: DataFrame, shards: int = 16, seed: int = 7, rows_per_bin
     """``df`` with ``shard`` (int) and ``slot`` (long, gapless from 0 in each shard), all columns and rows kept.
 
     Every assignment with the exact shard sizes is equally likely; sizes differ by one row at most. Values are not
-    looked at: nulls, ties and repeated rows are rows like any other. An empty table stays empty. Columns of ``df`` named
+    looked at: nulls, ties, very long texts and repeated rows are rows like any other. An empty table stays empty. Columns of ``df`` named
     shard or slot are replaced. ``rows_per_bin`` bounds what one task sorts.
     """
     spark = df.sparkSession
