@@ -15,7 +15,9 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice, repeat
 
 import pyarrow as pa
 import regex
@@ -26,8 +28,10 @@ from treesync.llm.common import small_batches, table
 
 #: Most entries of a worker's cache of encoded chunks, and the longest chunk that it keeps.
 CACHE_ROWS, CACHE_LENGTH = 250_000, 24
-#: Chunks are what lies between these; they agree with the tokenizer's white space.
-SPACE = regex.compile(r"\s+")
+#: Chunks lie between white space; ``str.split`` agrees with the tokenizer but for four control characters.
+SPACE, CONTROL = regex.compile(r"\s+"), re.compile(r"[\x1c-\x1f]")
+#: Code points of a part of a text, and where it may be cut; longer chunks than LONG are encoded in blocks.
+PART, CUT, LONG = 1 << 16, re.compile(r"[\t\n\r ](?=[!-~])"), 4096
 
 
 def byte_letters() -> list[str]:
@@ -69,7 +73,7 @@ class Transducer:
     def merge(self, symbols: list[str]) -> list[str]:
         """Plain BPE: the pair of lowest rank first, leftmost among equals."""
         get, none = self.ranks.get, len(self.ranks)
-        ranks = [get(p, none) for p in zip(symbols, symbols[1:], strict=False)]
+        ranks = list(map(get, zip(symbols, symbols[1:], strict=False), repeat(none)))
         while ranks:
             low = min(ranks)
             if low == none:
@@ -101,20 +105,50 @@ class Transducer:
 
 
 class _Memo(dict):
+    """Values by short keys, made when missing. When full it becomes the old generation, from which keys in use come back."""
+
     def __init__(self, make: Callable[[str], object]) -> None:
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, key: str):
-        out = self.make(key)
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
         if len(key) <= CACHE_LENGTH:
             if len(self) >= CACHE_ROWS:
+                self.old = dict(self)
                 self.clear()
             self[key] = out
         return out
 
 
+# What Unicode assigned after the tokenizer's version, as hexadecimal code points.
+# Letters and numbers that the tokenizer's patterns don't know:
+UNKNOWN = """
+558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959
+10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3
+16FF2-16FF3 16FF4-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168
+1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4
+1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F
+"""
+# Lower case that the tokenizer knows and Python 3.13 doesn't (first-last:lower case of the first):
+LOWER = "1C89:1C8A A7CB:264 A7CC:A7CD A7CE:A7CF A7D2:A7D3 A7D4:A7D5 A7DA:A7DB A7DC:19B 10D50-10D65:10D70 16EA0-16EB8:16EBB"
+
+
+def _points(ranges: str) -> Iterator[tuple[int, int, int]]:
+    """(code point, its place in its range, what the range is mapped to or 0)."""
+    for r in ranges.split():
+        span, _, to = r.partition(":")
+        first, _, last = span.partition("-")
+        for c in range(int(first, 16), int(last or first, 16) + 1):
+            yield c, c - int(first, 16), int(to or "0", 16)
+
+
 class WordBpe:
-    """The word-end vocabulary: NFC, lower case, white space dropped, byte letters, merges, special tokens found in raw text."""
+    """The word-end vocabulary: NFC, lower case, white space dropped, byte letters, merges, special tokens found in raw text.
+
+    Ids travel as bytes of native unsigned 32-bit numbers.
+    """
 
     def __init__(self, tokenizer_json: str | None = None) -> None:
         import public_tokenizers
@@ -129,74 +163,115 @@ class WordBpe:
         self.machine = Transducer([tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]], self.suffix)
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(split["pattern"]["Regex"])
+        self.unknown = {c: 0x10FFFF for c, _, _ in _points(UNKNOWN)}  # a noncharacter instead
+        self.lower = {c: to + i for c, i, to in _points(LOWER)}
+        self.capitals = frozenset(map(chr, self.lower))
+        self.late = re.compile(f"[^\0-{chr(min([*self.unknown, *self.lower]) - 1)}]")  # a quick test that most texts don't pass
         self.marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.letters = {b: x for b, x in enumerate(byte_letters())}
-        self.piece = _Memo(self._piece)
         self.chunk = _Memo(self._chunk)
 
     def _letters(self, piece: str, size: int = 4096) -> Iterator[str]:
         for i in range(0, len(piece), size):
             yield piece[i : i + size].encode("utf-8", "replace").decode("latin-1").translate(self.letters)
 
-    def _piece(self, piece: str) -> tuple[str, ...]:
-        return tuple(self.machine.encode(self._letters(piece)))
-
-    def _tokens(self, chunk: str) -> Iterator[str]:
-        for m in self.pieces.finditer(chunk):
-            yield from self.piece[m[0]]
-
-    def _chunk(self, chunk: str) -> tuple[int, str, str]:
-        tokens = list(self._tokens(chunk))
-        return len(tokens), " ".join([str(self.vocab[t]) for t in tokens]), " ".join(tokens)
-
-    @staticmethod
-    def normal(text: str) -> str:
-        text = text if text.isascii() or unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
+    def _ids(self, piece: str) -> Iterator[int]:
+        """The ids of one pre-token, each as soon as it is stable."""
+        if len(piece) <= CACHE_LENGTH:  # shorter than the lookahead: nothing is stable before the end
+            letters = piece if piece.isascii() and piece.isprintable() else "".join(self._letters(piece))
+            return map(self.vocab.__getitem__, self.machine.merge([*letters[:-1], letters[-1] + self.suffix]))
+        return map(self.vocab.__getitem__, self.machine.encode(self._letters(piece)))
+
+    def _split(self, chunk: str) -> Iterator[str]:
+        shape = chunk if chunk.isascii() or not self.late.search(chunk) else chunk.translate(self.unknown)
+        return (chunk[m.start() : m.end()] for m in self.pieces.finditer(shape))
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of what lies between white space; a pre-token by itself is a chunk too, so both share the cache."""
+        if not (chunk.isascii() and chunk.isalpha()):
+            pieces = list(self._split(chunk))
+            if pieces != [chunk]:
+                return b"".join([self.chunk[x] for x in pieces])
+        return array("I", self._ids(chunk)).tobytes()
+
+    def normal(self, text: str) -> str:
+        if text.isascii():
+            return text.lower()
+        text = text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
+        if self.late.search(text) and not self.capitals.isdisjoint(text):
+            text = text.translate(self.lower)
         return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)  # no final sigma
 
-    def runs(self, text: str) -> Iterator[tuple[int, str, str]]:
-        """(tokens, their ids, their names), ids and names joined by one space, for each run between white space or special tokens."""
-        if not any(s in text for s in self.special):
-            yield from map(self.chunk.__getitem__, SPACE.split(self.normal(text)))
+    def _plain(self, text: str) -> Iterator[bytes]:
+        """Blocks of ids of a text without special tokens."""
+        text = self.normal(text)
+        chunks = SPACE.split(text) if CONTROL.search(text) else text.split()
+        if max(map(len, chunks), default=0) <= LONG:
+            yield b"".join(map(self.chunk.__getitem__, chunks))
             return
-        for part in self.marks.split(text):
-            if part in self.special:
-                yield 1, str(self.special[part]), part
-            else:
-                yield from map(self.chunk.__getitem__, SPACE.split(self.normal(part)))
+        for chunk in chunks:
+            if len(chunk) <= LONG:
+                yield self.chunk[chunk]
+                continue
+            for piece in self._split(chunk):
+                ids = iter(self._ids(piece))
+                while block := array("I", islice(ids, LONG)).tobytes():
+                    yield block
+
+    def blocks(self, text: str) -> Iterator[bytes]:
+        """Blocks of the ids of a text, which is read in parts of about ``PART`` code points; what is held doesn't grow with the text's ids."""
+        for part in parts(text):
+            if not any(s in part for s in self.special):
+                yield from self._plain(part)
+                continue
+            for piece in self.marks.split(part):
+                if piece in self.special:
+                    yield array("I", [self.special[piece]]).tobytes()
+                else:
+                    yield from self._plain(piece)
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for n, ids, _ in self.runs(text) if n for i in ids.split(" ")]
+        return array("I", b"".join(self.blocks(text))).tolist()
+
+
+def parts(text: str, size: int = PART) -> Iterator[str]:
+    """Cuts before white space that printable ASCII follows: no composition, pre-token or special token reaches across."""
+    at = 0
+    while len(text) - at > size:
+        cut = CUT.search(text, at + size)
+        if cut is None:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
 
 
 class Decoder:
-    """ids -> text, one id at a time: a state machine from byte letters to UTF-8 that holds back an unfinished character.
+    """ids -> text by an incremental machine: each id gives bytes, and an incremental UTF-8 decoder gives text and holds back an unfinished character.
 
-    ``surface`` gives the library's text for vocabularies without a decoder: names joined by one space. ``text`` gives
-    the bytes behind the names, with a space for every word end.
+    With ``library`` the bytes of an id are those of its name, names joined by one space, as the library does for
+    vocabularies without a decoder. Without, they are the bytes behind the name's byte letters, with a space for every word end.
     """
 
-    def __init__(self, bpe: WordBpe) -> None:
-        self.bpe, self.byte = bpe, {x: b for b, x in enumerate(byte_letters())}
-
-    def surface(self, ids: Iterable[int]) -> Iterator[str]:
-        gap = ""
-        for i in ids:
-            yield gap + self.bpe.names[i]
-            gap = " "
-
-    def text(self, ids: Iterable[int]) -> Iterator[str]:
-        state = codecs.getincrementaldecoder("utf-8")("replace")
-        special = set(self.bpe.special.values())
-        for i in ids:
-            name = self.bpe.names[i]
-            if i in special:
-                yield state.decode(b"", True) + name
-                state.reset()
-                continue
-            ends = bool(self.bpe.suffix) and name.endswith(self.bpe.suffix)
-            body = name.removesuffix(self.bpe.suffix) if ends else name
-            yield state.decode(bytes(self.byte[c] for c in body)) + " " * ends
+    def __init__(self, bpe: WordBpe, library: bool = True) -> None:
+        byte = {x: b for b, x in enumerate(byte_letters())}
+        self.library, special = library, set(bpe.special.values())
+
+        def raw(i: int, name: str) -> bytes:
+            if library or i in special:
+                return (" " * library + name).encode()
+            ends = bool(bpe.suffix) and name.endswith(bpe.suffix)
+            return bytes(byte[c] for c in (name.removesuffix(bpe.suffix) if ends else name)) + b" " * ends
+
+        self.bytes = {i: raw(i, name) for i, name in bpe.names.items()}
+
+    def blocks(self, ids: Iterable[list[int]]) -> Iterator[str]:
+        """The text of blocks of ids, as far as it is known after each."""
+        state, first = codecs.getincrementaldecoder("utf-8")("replace"), self.library
+        for block in ids:
+            raw = b"".join(map(self.bytes.__getitem__, block))
+            yield state.decode(raw[1:] if first and raw else raw)
+            first = first and not raw
         yield state.decode(b"", True)
 
 
@@ -211,19 +286,30 @@ def model(tokenizer_json: str | None = None) -> WordBpe:
 
 
 def _digests(tokenizer_json: str | None):
+    def digest(bpe: WordBpe, decoder: Decoder, decimal: Callable[[int], str], text: str) -> tuple[int, str, str]:
+        n, ids_sha, text_sha = 0, hashlib.sha256(), hashlib.sha256()
+
+        def ids() -> Iterator[list[int]]:
+            nonlocal n
+            for block in bpe.blocks(text):
+                numbers = array("I", block).tolist()
+                if numbers:
+                    ids_sha.update((" " * (n > 0) + " ".join(map(decimal, numbers))).encode())
+                    n += len(numbers)
+                yield numbers
+
+        for known in decoder.blocks(ids()):
+            text_sha.update(known.encode("utf-8", "replace"))
+        return n, ids_sha.hexdigest(), text_sha.hexdigest()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(tokenizer_json)
+        decoder, decimal = Decoder(bpe), {i: str(i) for i in bpe.names}.__getitem__
         for batch in batches:
-            count, ids_sha, text_sha = [], [], []
-            for text in batch.column(1).to_pylist():
-                found = [x for x in bpe.runs(text or "") if x[0]]
-                count.append(sum([x[0] for x in found]))
-                ids_sha.append(hashlib.sha256(" ".join([x[1] for x in found]).encode()).hexdigest())
-                # the names of a run are what the decoder's surface gives for its ids
-                text_sha.append(hashlib.sha256(" ".join([x[2] for x in found]).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            )
+            rows = [digest(bpe, decoder, decimal, text or "") for text in batch.column(1).to_pylist()]
+            columns = list(zip(*rows, strict=True)) or [[]] * 3
+            kinds = (pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
@@ -240,10 +326,10 @@ def _encoded(tokenizer_json: str | None):
 
 def _decoded(tokenizer_json: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(model(tokenizer_json))
+        machines = [Decoder(model(tokenizer_json), library) for library in (True, False)]
         for batch in batches:
             rows = [x or [] for x in batch.column(1).to_pylist()]
-            both = [["".join(f(ids)) for ids in rows] for f in (decoder.surface, decoder.text)]
+            both = [["".join(m.blocks([ids])) for ids in rows] for m in machines]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.string()) for x in both)], ["doc_id", "decoded", "text"])
 
     return run
@@ -265,9 +351,14 @@ def decode(encoded: DataFrame, tokenizer_json: str | None = None) -> DataFrame:
 
 
 def digests(docs: DataFrame, tokenizer_json: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text, in one narrow pass; nulls as in ``encode``, an empty table gives no rows."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text, in one narrow pass.
+
+    Ids go block by block from the encoder into a digest and through the decoder into the other, so a very long text needs
+    no more memory than its own. Nulls and repeated rows as in ``encode``; an empty table gives no rows.
+    """
     return _slim(docs).mapInArrow(_digests(tokenizer_json), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of the ids and of the decoded text of all documents; odd rows as in ``digests``."""
     return digests(table(spark, sf_dir, "documents"))
