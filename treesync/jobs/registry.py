@@ -114,14 +114,16 @@ def run_log_read(spark: SparkSession, d: str) -> DataFrame:
     return run_log_write(spark, d).groupBy("action").agg(F.count("*").alias("n_rows"), F.sum("size").alias("bytes"))
 
 
-def _with_content(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.plan(view(spark, d, "src_files").drop("doc_id", "shard"), SRC, DST)
+def _stored(spark: SparkSession, d: str) -> str:
+    """The folder of a store of the source files; the plan is made of narrow rows."""
+    folder, src = _folder(spark, "store"), view(spark, d, "src_files").drop("doc_id", "shard")
+    store.write(dedup.plan(src.drop("content"), SRC, DST), src.select("path", "content"), folder)
+    return folder
 
 
 @query("write_dedup_store", PLAN + "SELECT count(*) AS blobs, cast(sum(size) AS bigint) AS bytes, (SELECT count(*) FROM p) AS links FROM p WHERE role <> 'duplicate'")
 def write_dedup_store(spark: SparkSession, d: str) -> DataFrame:
-    folder = _folder(spark, "store")
-    store.write(_with_content(spark, d), folder)
+    folder = _stored(spark, d)
     blobs, links = spark.read.parquet(f"{folder}/blobs"), spark.read.parquet(f"{folder}/links")
     both = blobs.select(F.lit(1).alias("blob"), "size").unionByName(links.select(F.lit(0).alias("blob"), F.lit(0).cast("long").alias("size")))
     return both.agg(F.sum("blob").alias("blobs"), F.sum("size").alias("bytes"), F.count_if(F.col("blob") == 0).alias("links"))
@@ -129,8 +131,7 @@ def write_dedup_store(spark: SparkSession, d: str) -> DataFrame:
 
 @query("restore_from_store", "SELECT concat('/dst/', substring(path, 6)) AS dest_path, size, hash FROM src_files")
 def restore_from_store(spark: SparkSession, d: str) -> DataFrame:
-    folder = _folder(spark, "store")
-    store.write(_with_content(spark, d), folder)
+    folder = _stored(spark, d)
     return store.restore(spark, folder).select("dest_path", "size", F.sha2("content", 256).alias("hash"))
 
 
@@ -283,8 +284,8 @@ WITH RECURSIVE o AS (SELECT path, size, shard, row_number() OVER (PARTITION BY s
 b AS (SELECT path, size, shard, i, 0 AS batch, size AS run FROM o WHERE i = 1
   UNION ALL SELECT o.path, o.size, o.shard, o.i, CASE WHEN b.run >= 20000 THEN b.batch + 1 ELSE b.batch END, CASE WHEN b.run >= 20000 THEN o.size ELSE b.run + o.size END FROM b JOIN o ON o.shard = b.shard AND o.i = b.i + 1)
 """
-_over("src_files", "byte_batches", BATCHES + "SELECT path, cast(batch AS bigint) AS batch FROM b", lambda x: batches.by_bytes(x, 20000).select("path", "batch"))
-_over("src_files", "batch_totals", BATCHES + "SELECT shard, cast(batch AS bigint) AS batch, count(*) AS files, cast(sum(size) AS bigint) AS bytes FROM b GROUP BY shard, batch", lambda x: batches.totals(batches.by_bytes(x, 20000)))
+_over("src_files", "byte_batches", BATCHES + "SELECT path, cast(batch AS bigint) AS batch FROM b", lambda x: batches.by_bytes(x.select("path", "size", "shard"), 20000).select("path", "batch"))
+_over("src_files", "batch_totals", BATCHES + "SELECT shard, cast(batch AS bigint) AS batch, count(*) AS files, cast(sum(size) AS bigint) AS bytes FROM b GROUP BY shard, batch", lambda x: batches.totals(batches.by_bytes(x.drop("content"), 20000)).drop("sub_shard"))
 _over("src_files", "count_batches", "SELECT path, cast((row_number() OVER (PARTITION BY shard ORDER BY path) - 1) // 7 AS bigint) AS batch FROM src_files", lambda x: batches.by_count(x, SRC, 7).select("path", "batch"))
 _over(
     "run_log", "running_progress",

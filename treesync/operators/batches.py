@@ -9,54 +9,81 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treesync.functions.paths import relative
+from treesync.operators.plan import index_within
 
 
-def greedy_batches(sizes: np.ndarray, batch_size: int) -> np.ndarray:
-    """Batch number of each size: a batch closes once its running size reaches batch_size; the file that crosses stays in."""
-    ends, out, start, batch = np.cumsum(sizes), np.empty(len(sizes), np.int64), 0, 0
+def greedy_run(sizes: np.ndarray, batch_size: int, run: int = 0, batch: int = 0) -> tuple[np.ndarray, int, int]:
+    """Batch number of each size, and the running size and batch after them; a batch closes once its running size reaches batch_size, and the file that crosses stays in."""
+    ends, out, start = np.cumsum(sizes), np.empty(len(sizes), np.int64), 0
     while start < len(sizes):
-        base = ends[start - 1] if start else 0
-        stop = min(int(np.searchsorted(ends, base + batch_size, "left")) + 1, len(sizes))
-        out[start:stop], start, batch = batch, stop, batch + 1
-    return out
+        base = (ends[start - 1] if start else 0) - run
+        stop = int(np.searchsorted(ends, base + batch_size, "left")) + 1
+        out[start : min(stop, len(sizes))] = batch
+        if stop > len(sizes):
+            return out, int(ends[-1] - base), batch
+        start, run, batch = stop, 0, batch + 1
+    return out, run, batch
+
+
+def greedy_batches(sizes: np.ndarray, batch_size: int) -> np.ndarray:
+    return greedy_run(sizes, batch_size)[0]
 
 
 def by_bytes(files: DataFrame, batch_size: int = 100 << 20, shard: str = "shard", order: str = "path", sub_shards: int = 1) -> DataFrame:
-    """``files`` with ``batch``, exact within each shard in the given order.
+    """``files`` with ``sub_shard`` and ``batch``, exact within each shard (a null shard is one too) and sub-shard, in the given order; every row stays once.
 
-    The fold is sequential within a shard, so a shard must fit a task: only the order key and size go there. ``sub_shards`` splits shards by a hash of the order key.
+    The fold runs over sorted rows as they stream by, so a large shard costs time in its task, not memory; ``sub_shards``
+    splits shards by a hash of the order key. Rows pass through whole: leave content out. Unknown sizes count as 0.
     """
     sub = F.pmod(F.xxhash64(order), F.lit(sub_shards)).cast("int")
-    slim = files.select(F.col(shard).alias("shard"), sub.alias("sub"), F.col(order).alias("key"), "size")
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("key")
-        return rows.assign(batch=greedy_batches(rows["size"].to_numpy(), batch_size))
-
-    kind = files.schema[order].dataType.simpleString()
-    found = slim.groupBy("shard", "sub").applyInPandas(fold, f"shard {files.schema[shard].dataType.simpleString()}, sub int, key {kind}, size long, batch long")
-    return files.join(found.select(F.col("shard").alias(shard), F.col("sub").alias("sub_shard"), F.col("key").alias(order), "batch"), [shard, order])
+    rows = files.drop("sub_shard", "batch").withColumn("sub_shard", sub)
+    rows = rows.repartition(shard, "sub_shard").sortWithinPartitions(shard, "sub_shard", order)
+    names = rows.columns
+
+    def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, run, batch = None, 0, 0
+        for part in parts:
+            groups = list(zip(part.column(names.index(shard)).to_pylist(), part.column(names.index("sub_shard")).to_pylist(), strict=True))
+            sizes = np.array([x or 0 for x in part.column(names.index("size")).to_pylist()], np.int64)
+            out, at = np.empty(len(groups), np.int64), 0
+            while at < len(groups):
+                if groups[at] != before:
+                    before, run, batch = groups[at], 0, 0
+                end = at + 1
+                while end < len(groups) and groups[end] == before:
+                    end += 1
+                out[at:end], run, batch = greedy_run(sizes[at:end], batch_size, run, batch)
+                at = end
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out)], [*names, "batch"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(fold, f"{schema}, batch long")
+
+
+def _keys(batched: DataFrame, shard: str) -> list[str]:
+    """What names a batch: its shard, its sub-shard if it has one, and its number."""
+    return [shard, *(["sub_shard"] if "sub_shard" in batched.columns else []), "batch"]
 
 
 def by_count(files: DataFrame, root: str, n: int = 5000, shard: str = "shard", order: str = "path") -> DataFrame:
-    """Chunks of n paths in each shard; paths that aren't under the root are dropped first."""
+    """Chunks of n paths in each shard, large ones spread over range partitions; paths that aren't under the root are dropped first."""
     below = files.where(F.col("path").startswith(root.rstrip("/") + "/")).withColumn("rel_path", relative(F.col("path"), root))
-    at = F.row_number().over(Window.partitionBy(shard).orderBy(order))
-    return below.withColumn("batch", F.floor((at - 1) / n))
+    return index_within(below, shard, order, "__at").withColumn("batch", F.floor(F.col("__at") / n)).drop("__at")
 
 
 def totals(batched: DataFrame, shard: str = "shard", failed: str | None = None) -> DataFrame:
-    """files and bytes of each batch; batches with a failed file are left out."""
-    grouped = batched.groupBy(shard, "batch").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), *([F.max(failed).alias("failed")] if failed else []))
+    """files and bytes of each batch (by sub-shard too, if there are any); batches with a failed file are left out."""
+    grouped = batched.groupBy(*_keys(batched, shard)).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), *([F.max(failed).alias("failed")] if failed else []))
     return grouped.where(~F.col("failed")).drop("failed") if failed else grouped
 
 
 def pack(batched: DataFrame, compress: bool = False, shard: str = "shard") -> DataFrame:
-    """One tar archive (with fast gzip if asked for) per shard and batch of ``batched(shard, batch, rel_path, content)``; a batch must fit a row."""
+    """One tar archive (with fast gzip if asked for) per shard, sub-shard and batch of ``batched(shard, batch, rel_path, content)``; a batch must fit a row."""
 
     def archive(rows: pd.DataFrame) -> pd.DataFrame:
         out = io.BytesIO()
@@ -66,10 +93,11 @@ def pack(batched: DataFrame, compress: bool = False, shard: str = "shard") -> Da
                 info.size = len(content)
                 tar.addfile(info, io.BytesIO(content))
         data = gzip.compress(out.getvalue(), 1, mtime=0) if compress else out.getvalue()
-        return pd.DataFrame({"shard": rows["shard"].iloc[:1], "batch": rows["batch"].iloc[:1], "archive": [data]})
+        return pd.DataFrame({"shard": rows["shard"].iloc[:1], "sub_shard": rows["sub_shard"].iloc[:1], "batch": rows["batch"].iloc[:1], "archive": [data]})
 
-    slim = batched.select(F.col(shard).cast("string").alias("shard"), "batch", "rel_path", F.col("content").cast("binary").alias("content"))
-    return slim.groupBy("shard", "batch").applyInPandas(archive, "shard string, batch long, archive binary")
+    sub = F.col("sub_shard") if "sub_shard" in batched.columns else F.lit(0)
+    slim = batched.select(F.col(shard).cast("string").alias("shard"), sub.alias("sub_shard"), "batch", "rel_path", F.col("content").cast("binary").alias("content"))
+    return slim.groupBy("shard", "sub_shard", "batch").applyInPandas(archive, "shard string, sub_shard int, batch long, archive binary")
 
 
 def unpack(archives: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from treesync.functions.paths import relative
 
 
 def _slim(files: DataFrame, root: str, side: str) -> DataFrame:
-    return files.select(relative(F.col("path"), root).alias("rel_path"), F.col("size").alias(f"{side}_size"), F.col("modified_epoch").alias(f"{side}_mtime"))
+    return files.select(relative(F.col("path"), root).alias("rel_path"), F.col("size").alias(f"{side}_size"), F.col("modified_epoch").alias(f"{side}_mtime"), F.lit(True).alias(f"in_{side}"))
 
 
 def _same():
@@ -35,9 +35,9 @@ def orphans(src_all: DataFrame, dst: DataFrame, src_root: str, dst_root: str) ->
 
 
 def mirror(src: DataFrame, dst: DataFrame, src_root: str, dst_root: str) -> DataFrame:
-    """rel_path, status {new, changed, unchanged, orphan} and both sizes, in one shuffle of narrow rows."""
+    """rel_path, status {new, changed, unchanged, orphan} and both sizes, in one shuffle of narrow rows; an unknown size is a change, not an absence."""
     both = _slim(src, src_root, "s").join(_slim(dst, dst_root, "d"), "rel_path", "full_outer")
-    status = F.when(F.col("s_size").isNull(), "orphan").when(F.col("d_size").isNull(), "new").when(_same(), "unchanged").otherwise("changed")
+    status = F.when(F.col("in_s").isNull(), "orphan").when(F.col("in_d").isNull(), "new").when(_same(), "unchanged").otherwise("changed")
     return both.select("rel_path", status.alias("status"), "s_size", "d_size")
 
 

@@ -13,10 +13,10 @@ def candidates(planned: DataFrame) -> DataFrame:
 
 def check(planned: DataFrame, dst: DataFrame) -> DataFrame:
     """dest_path, status {ok, missing_file, size_mismatch, io, hash_mismatch}, expected, actual of each candidate."""
-    have = dst.select(F.col("path").alias("dest_path"), F.col("size").alias("d_size"), F.col("hash").alias("d_hash"))
+    have = dst.select(F.col("path").alias("dest_path"), F.col("size").alias("d_size"), F.col("hash").alias("d_hash"), F.lit(True).alias("there"))
     joined = candidates(planned).join(have, "dest_path", "left")
     status = (
-        F.when(F.col("d_size").isNull(), "missing_file").when(F.col("size") != F.col("d_size"), "size_mismatch").when(F.col("d_hash").isNull(), "io")
+        F.when(F.col("there").isNull(), "missing_file").when(~F.col("size").eqNullSafe(F.col("d_size")), "size_mismatch").when(F.col("d_hash").isNull(), "io")
         .when(F.col("hash") != F.col("d_hash"), "hash_mismatch").otherwise("ok")
     )
     shown = lambda size, digest: F.when(F.col("status") == "size_mismatch", F.col(size).cast("string")).when(F.col("status") == "hash_mismatch", F.col(digest))

@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 
 
 def split(planned: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(blobs, links) of a plan with content; ``ref`` is the canonical path of a group, or the row's own path."""
+    """(blobs, links) of a narrow plan; ``ref`` is the canonical path of a group, or the row's own path."""
     ref = F.when(F.col("role") == "duplicate", F.col("canonical_path")).otherwise(F.col("path"))
-    links = planned.select("dest_path", ref.alias("ref"))
-    blobs = planned.where("role <> 'duplicate'").select(F.col("path").alias("ref"), "size", "content")
-    return blobs, links
+    return planned.where("role <> 'duplicate'").select(F.col("path").alias("ref"), "size"), planned.select("dest_path", ref.alias("ref"))
 
 
-def write(planned: DataFrame, path: str, prefixes: int = 16) -> None:
-    """Blobs by a prefix of a hash of their reference, links beside them; only references shuffle with the links."""
+def write(planned: DataFrame, content: DataFrame, path: str, prefixes: int = 16) -> None:
+    """Blobs by a prefix of a hash of their reference, links beside them.
+
+    ``planned`` has no content, so what is shuffled for the plan stays narrow; ``content(path, content)`` is joined once.
+    """
     blobs, links = split(planned)
+    blobs = content.select(F.col("path").alias("ref"), "content").join(blobs, "ref")
     blobs.withColumn("prefix", F.pmod(F.xxhash64("ref"), F.lit(prefixes))).write.partitionBy("prefix").parquet(f"{path}/blobs")
     links.write.parquet(f"{path}/links")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from treesync.operators.dedup import scan_order
 from treesync.sources import cache, runlog
@@ -25,12 +26,20 @@ def _versions(spark: SparkSession, table: str, batch: int, schema) -> DataFrame:
     return spark.read.parquet(f"{table}/batch={batch - 1}") if batch else spark.createDataFrame([], schema)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of a file system that Spark knows."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def cache_upsert(stream: DataFrame, table: str, checkpoint: str, key: str = "path", order: tuple[str, ...] = ("seq",)) -> StreamingQuery:
-    """Each micro-batch replaces cache rows by key, in a new version of the table; a batch that runs again overwrites its own version."""
+    """Each micro-batch replaces cache rows by key, in a new version of the table; a batch that runs again overwrites its own version. Versions before the last two are removed."""
 
     def put(rows: DataFrame, batch: int) -> None:
         old = _versions(rows.sparkSession, table, batch, rows.schema)
         cache.upsert(old, rows, key, list(order)).write.mode("overwrite").parquet(f"{table}/batch={batch}")
+        if batch > 1:
+            _remove(rows.sparkSession, f"{table}/batch={batch - 2}")
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -46,9 +55,10 @@ def dedup(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     def put(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
         first = rows.where("hash is not null").groupBy(*key).agg(F.min(scan_order()).alias("first")).select(*key, F.col("first.path").alias("mine"))
-        old = spark.createDataFrame([], first.withColumnRenamed("mine", "canonical_path").schema)
-        for b in range(batch):
-            old = old.unionByName(spark.read.parquet(f"{table}/canonicals/batch={b}"))
+        kept = first.withColumnRenamed("mine", "canonical_path").schema
+        old = spark.createDataFrame([], kept)
+        if batch:  # one read, however many batches there were
+            old = spark.read.schema(StructType([*kept.fields, StructField("batch", LongType())])).parquet(f"{table}/canonicals").where(F.col("batch") < batch).drop("batch")
         merged = first.join(old, key, "left").select(*key, F.coalesce("canonical_path", "mine").alias("canonical_path"), F.col("canonical_path").isNull().alias("new"))
         merged.where("new").drop("new").write.mode("overwrite").parquet(f"{table}/canonicals/batch={batch}")
         roles = F.when(F.col("hash").isNull(), "unhashed").when(F.col("canonical_path") == F.col("path"), "canonical").otherwise("duplicate")
