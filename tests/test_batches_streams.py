@@ -56,8 +56,11 @@ def test_many_micro_batches(spark, tmp_path):
     streams.dedup(stream, str(tmp_path / "table"), str(tmp_path / "state")).awaitTermination()
     out = spark.read.parquet(str(tmp_path / "table" / "files"))
     assert out.count() == 50 and out.where("role = 'canonical'").count() == 7
-    done = streams.cache_upsert(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 5).parquet(str(tmp_path / "in")), str(tmp_path / "cache"), str(tmp_path / "state2"), "hash", ("path",))
-    done.awaitTermination()
-    last = done.lastProgress["batchId"]
-    assert {r["hash"]: r["path"] for r in spark.read.parquet(str(tmp_path / "cache" / f"batch={last}")).collect()} == {f"h{k}": max(p for p, _, _, h, _ in rows if h == f"h{k}") for k in range(7)}
-    assert len([x for x in (tmp_path / "cache").iterdir() if x.name.startswith("batch=")]) == 2
+    assert len(list((tmp_path / "table" / "canonicals").glob("batch=*"))) == 25  # one compaction so far, at 20
+    assert [p.name for p in (tmp_path / "table" / "canonicals").glob("upto=*")] == ["upto=20"]
+    again = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    streams.cache_upsert(again, str(tmp_path / "cache"), str(tmp_path / "state2"), "hash", ("path",), every=4).awaitTermination()
+    state = streams.cache_state(spark, str(tmp_path / "cache"), df.schema, "hash", ("path",))
+    assert {r["hash"]: r["path"] for r in state.collect()} == {f"h{k}": max(p for p, _, _, h, _ in rows if h == f"h{k}") for k in range(7)}
+    assert sorted(int(p.name[6:]) for p in (tmp_path / "cache").glob("batch=*")) == list(range(20, 25))  # older ones are in upto=20 and 24
+    assert sorted(p.name for p in (tmp_path / "cache").glob("upto=*")) == ["upto=20", "upto=24"]

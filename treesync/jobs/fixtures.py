@@ -5,8 +5,14 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from treesync.functions.shared import mounted
+
 NAME = "concat({root}, source, '/', lang, '/', cast(doc_id AS string), CASE WHEN doc_id % 10 = 3 THEN '.log' WHEN doc_id % 10 = 7 THEN '.tmp' ELSE '.txt' END)"
 VIEWS = {
     "src_files": f"""
@@ -33,13 +39,20 @@ SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN concat(hash, ' *', substring(path,
   WHEN doc_id % 10 = 3 THEN concat('zz', substring(hash, 3, 62), '  ', path) ELSE concat(hash, '  ', substring(path, 6)) END AS value FROM src_files""",
     "volumes": """
 SELECT DISTINCT concat('/src/', source) AS volume, CASE WHEN source = 'src3' THEN NULL ELSE cast(length(source) * 10000 AS bigint) END AS available FROM documents""",
+    "tree_files": """
+SELECT doc_id, concat(source, '/', lang, '/', CASE WHEN doc_id % 29 = 0 THEN '.' WHEN doc_id % 31 = 0 THEN '_' ELSE '' END, cast(doc_id AS string), '.txt') AS rel_path,
+  CASE WHEN doc_id % 37 = 0 THEN '' ELSE text END AS content, CASE WHEN doc_id % 5 = 0 THEN 33261 ELSE 33188 END AS permissions, 1700000000 + doc_id * 60 AS modified_epoch FROM documents""",
+    "old_tree": """
+SELECT doc_id, rel_path, CASE WHEN doc_id % 13 = 0 THEN concat(content, 'x') ELSE content END AS content, permissions, modified_epoch + CASE WHEN doc_id % 7 = 0 THEN 5 ELSE 0 END AS modified_epoch
+FROM tree_files WHERE doc_id % 11 <> 0
+UNION ALL SELECT doc_id, concat('stale/', cast(doc_id AS string), '.txt'), content, permissions, modified_epoch FROM tree_files WHERE doc_id % 17 = 0""",
     "src_objects": """
 SELECT concat('/lake/', cast(l_orderkey AS string), '/', cast(l_linenumber AS string), '/', cast(l_partkey AS string), '-', cast(l_suppkey AS string)) AS path,
   cast(floor(l_quantity * 1024) AS bigint) AS size, 'sha256' AS hash_algo, sha2(concat_ws('|', cast(l_partkey AS string), cast(l_suppkey AS string)), 256) AS hash, l_orderkey * 4096 AS physical_offset,
   unix_timestamp(cast(l_shipdate AS timestamp)) AS modified_epoch FROM lineitem""",
 }
-NEEDS = {"hash_cache": ["src_files"], "manifest": ["src_files"], "listing": ["src_files"]}
-TABLE = {"src_files": "documents", "dst_files": "documents", "run_log": "events", "volumes": "documents", "src_objects": "lineitem"}
+NEEDS = {"hash_cache": ["src_files"], "manifest": ["src_files"], "listing": ["src_files"], "old_tree": ["tree_files"]}
+TABLE = {"src_files": "documents", "dst_files": "documents", "run_log": "events", "volumes": "documents", "tree_files": "documents", "src_objects": "lineitem"}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +61,26 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(VIEWS[name].replace(f"FROM {below[0][0]}", "FROM {below}"), below=below[0][1])
 
 
+def write_tree(files: DataFrame, root: str) -> str:
+    """Write ``files(rel_path, content, permissions, modified_epoch)`` as files below ``root``, on a file system that all executors mount; the plain path of the root."""
+    top = mounted(root)
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                path = os.path.join(top, row.rel_path)
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(f"{path}.{os.urandom(6).hex()}", "wb") as out:
+                    out.write(row.content.encode())
+                os.chmod(out.name, row.permissions & 0o777)
+                os.utime(out.name, (row.modified_epoch, row.modified_epoch))
+                os.replace(out.name, path)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    files.select("rel_path", "content", "permissions", "modified_epoch").mapInPandas(put, "n long").agg({"n": "sum"}).collect()
+    return top
+
+
 def duck(sql: str) -> str:
     """The spelling of DuckDB."""
     import re

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treesync.functions import globs, hashing, paths
-from treesync.functions.shared import shared_folder
-from treesync.jobs.fixtures import view, with_views
+from treesync.functions.shared import mounted, new_folder
+from treesync.jobs import flows
+from treesync.jobs.fixtures import view, with_views, write_tree
 from treesync.operators import batches, dedup, delta, plan, verify
 from treesync.sources import cache, listing, manifest, runlog, scan, store
 from treesync.streaming import streams
@@ -36,10 +36,6 @@ def _over(view_name: str, name: str, sql: str | None, f: Callable[[DataFrame], D
     query(name, sql)(lambda spark, d: f(view(spark, d, view_name)))
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/treesync/{name}-{uuid.uuid4().hex}"
-
-
 def _files(df: DataFrame) -> DataFrame:
     return df.select("path", "size", "hash_algo", "hash", "physical_offset", "permissions", "modified_epoch")
 
@@ -58,8 +54,27 @@ p AS (SELECT path, size, CASE WHEN n_size > 1 THEN hash END AS hash, physical_of
 
 # Sources and sinks
 
-query("scan_inventory")(lambda spark, d: scan.inventory(spark, d, ("*.crc",)).select("path", "size", "permissions", "modified_epoch"))
-query("read_content_hash")(lambda spark, d: scan.hash_files(spark, f"{d}/documents.parquet").select("path", "size", "hash_algo", hashing.to_hex(F.col("hash")).alias("hash")))
+
+
+def _tree(spark: SparkSession, d: str, name: str = "tree_files", where: str = "true", root: str | None = None) -> str:
+    """A view of files, or some of it, as a tree in the shared folder."""
+    return write_tree(view(spark, d, name).where(where), root or new_folder(spark, "tree"))
+
+
+@query("scan_inventory", "SELECT rel_path, cast(strlen(content) AS bigint) AS size, permissions, modified_epoch FROM tree_files WHERE rel_path NOT LIKE '%7.txt'")
+def scan_inventory(spark: SparkSession, d: str) -> DataFrame:
+    root = _tree(spark, d)
+    return scan.walk(spark, root, ("*7.txt",)).select(paths.relative(F.col("path"), root).alias("rel_path"), "size", "permissions", "modified_epoch")
+
+
+@query("read_content_hash", "SELECT rel_path, cast(strlen(content) AS bigint) AS size, sha256(content) AS hash, false AS failed FROM tree_files UNION ALL SELECT concat(rel_path, '.gone'), NULL, NULL, true FROM tree_files WHERE doc_id % 41 = 0")
+def read_content_hash(spark: SparkSession, d: str) -> DataFrame:
+    root = _tree(spark, d)
+    gone = view(spark, d, "tree_files").where("doc_id % 41 = 0").select(F.concat(F.lit(root + "/"), "rel_path", F.lit(".gone")).alias("path"))
+    out = scan.hash_files(scan.walk(spark, root).select("path").unionByName(gone))
+    return out.select(paths.relative(F.col("path"), root).alias("rel_path"), "size", "hash", F.col("error").isNotNull().alias("failed"))
+
+
 _over(
     "listing", "read_sha256_listing",
     "SELECT CASE WHEN doc_id % 10 = 0 THEN substring(value, 67) ELSE trim(substring(value, 67)) END AS rel_path, 'sha256' AS hash_algo, substring(value, 1, 64) AS hash FROM listing WHERE doc_id % 10 NOT IN (1, 2, 3)",
@@ -81,7 +96,7 @@ _over(
 
 @query("manifest_load", "SELECT rel_path, size, source_hash, status FROM manifest")
 def manifest_load(spark: SparkSession, d: str) -> DataFrame:
-    folder = _folder(spark, "manifest-json")
+    folder = new_folder(spark, "manifest-json")
     rows = view(spark, d, "manifest").withColumn("shard", F.split("rel_path", "/")[0])
     manifest.documents(rows, "shard").write.json(folder)
     return manifest.load(spark, folder, lines=True).select("rel_path", "size", "source_hash", "status")
@@ -90,7 +105,10 @@ def manifest_load(spark: SparkSession, d: str) -> DataFrame:
 @query("manifest_save", "SELECT rel_path, size, source_hash, status FROM manifest")
 def manifest_save(spark: SparkSession, d: str) -> DataFrame:
     rows = view(spark, d, "manifest").withColumn("updated_at", F.lit(None).cast("timestamp"))
-    return manifest.load_version(spark, manifest.save(rows, _folder(spark, "manifest"))).select("rel_path", "size", "source_hash", "status")
+    folder = new_folder(spark, "manifest")
+    manifest.save(rows.where("size % 2 = 0").withColumn("status", F.lit("old")), folder)
+    manifest.record(rows, folder)
+    return manifest.newest(spark, folder).select("rel_path", "size", "source_hash", "status")
 
 
 _over(
@@ -104,7 +122,7 @@ _over(
 
 @query("run_log_write", "SELECT run, seq, action, path, size FROM run_log")
 def run_log_write(spark: SparkSession, d: str) -> DataFrame:
-    folder = _folder(spark, "log")
+    folder = new_folder(spark, "log")
     runlog.write(view(spark, d, "run_log"), folder)
     return runlog.read(spark, folder).select("run", "seq", "action", "path", "size")
 
@@ -116,7 +134,7 @@ def run_log_read(spark: SparkSession, d: str) -> DataFrame:
 
 def _stored(spark: SparkSession, d: str) -> str:
     """The folder of a store of the source files; the plan is made of narrow rows."""
-    folder, src = _folder(spark, "store"), view(spark, d, "src_files").drop("doc_id", "shard")
+    folder, src = new_folder(spark, "store"), view(spark, d, "src_files").drop("doc_id", "shard")
     store.write(dedup.plan(src.drop("content"), SRC, DST), src.select("path", "content"), folder)
     return folder
 
@@ -327,8 +345,8 @@ _over("src_files", "hash_valid", "SELECT path, doc_id % 3 = 0 AS valid FROM src_
 _over("src_files", "mode_octal", "SELECT path, CASE WHEN permissions = 33261 THEN '755' ELSE '644' END AS mode FROM src_files", lambda x: x.select("path", plan.mode_octal(F.col("permissions")).alias("mode")))
 _over("src_files", "epoch_rfc3339", "SELECT path, strftime(make_timestamp(modified_epoch * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS at_time, modified_epoch AS epoch FROM src_files", lambda x: x.select("path", plan.rfc3339(F.col("modified_epoch")).alias("at_time")).withColumn("epoch", plan.epoch(F.to_timestamp("at_time"))))
 _over("src_files", "basename_dirname", "SELECT path, string_split(path, '/')[5] AS name, concat('/src/', string_split(path, '/')[3], '/', string_split(path, '/')[4]) AS parent FROM src_files", lambda x: x.select("path", paths.basename(F.col("path")).alias("name"), paths.dirname(F.col("path")).alias("parent")))
-query("nested_group_export", PLAN + "SELECT canonical_path AS canonical, string_agg(path, ',' ORDER BY path) AS duplicates FROM p WHERE role = 'duplicate' GROUP BY canonical_path HAVING count(*) < 50")(
-    lambda spark, d: dedup.nested_groups(_plan(spark, d), 50).select("canonical", F.array_join("duplicates", ",").alias("duplicates"))
+query("nested_group_export", PLAN + ", n AS (SELECT canonical_path, path, (row_number() OVER (PARTITION BY canonical_path ORDER BY path) - 1) // 1000 AS part FROM p WHERE role = 'duplicate') SELECT canonical_path AS canonical, cast(part AS bigint) AS part, string_agg(path, ',' ORDER BY path) AS duplicates FROM n GROUP BY canonical_path, part")(
+    lambda spark, d: dedup.group_chunks(_plan(spark, d), 1000).select("canonical", F.col("chunk").alias("part"), F.array_join("duplicates", ",").alias("duplicates"))
 )
 query("nested_group_chunks", PLAN + ", n AS (SELECT canonical_path, path, (row_number() OVER (PARTITION BY canonical_path ORDER BY path) - 1) // 50 AS chunk FROM p WHERE role = 'duplicate') SELECT canonical_path AS canonical, cast(chunk AS bigint) AS chunk, string_agg(path, ',' ORDER BY path) AS duplicates FROM n GROUP BY canonical_path, chunk")(
     lambda spark, d: dedup.group_chunks(_plan(spark, d), 50).select("canonical", "chunk", F.array_join("duplicates", ",").alias("duplicates"))
@@ -339,7 +357,7 @@ query("nested_group_chunks", PLAN + ", n AS (SELECT canonical_path, path, (row_n
 
 def _arrive(spark: SparkSession, rows: DataFrame, by: str) -> DataFrame:
     """``rows`` as a stream of files, ordered by a small number in the column ``by``."""
-    folder = _folder(spark, "arrivals")
+    folder = new_folder(spark, "arrivals")
     for value in (0, 1):
         rows.where(F.col(by) == value).drop(by).coalesce(4).write.mode("append").parquet(folder)
     return spark.readStream.schema(rows.drop(by).schema).option("maxFilesPerTrigger", 4).parquet(folder)
@@ -347,7 +365,7 @@ def _arrive(spark: SparkSession, rows: DataFrame, by: str) -> DataFrame:
 
 def _summed(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     """Run a streaming aggregate to its end; each trigger's result replaces the table."""
-    folder = _folder(spark, name)
+    folder = new_folder(spark, name)
     put = lambda rows, batch: rows.write.mode("overwrite").parquet(f"{folder}/out")
     stream.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out")
@@ -368,18 +386,67 @@ def stream_progress(spark: SparkSession, d: str) -> DataFrame:
 
 @query("stream_cache_upsert", UPSERT)
 def stream_cache_upsert(spark: SparkSession, d: str) -> DataFrame:
-    rows, folder = view(spark, d, "hash_cache"), _folder(spark, "cache")
-    done = streams.cache_upsert(_arrive(spark, rows.withColumn("half", F.col("seq") - 1), "half"), f"{folder}/table", f"{folder}/state")
-    done.awaitTermination()
-    return spark.read.parquet(f"{folder}/table/batch={done.lastProgress['batchId']}")
+    rows, folder = view(spark, d, "hash_cache"), new_folder(spark, "cache")
+    streams.cache_upsert(_arrive(spark, rows.withColumn("half", F.col("seq") - 1), "half"), f"{folder}/table", f"{folder}/state").awaitTermination()
+    return streams.cache_state(spark, f"{folder}/table", rows.schema)
 
 
 @query("stream_dedup", "SELECT count(*) AS files, count(DISTINCT (size, hash)) AS canonicals, count(*) - count(DISTINCT (size, hash)) AS duplicates, cast(sum(size) - (SELECT sum(size) FROM (SELECT DISTINCT size, hash FROM src_files)) AS bigint) AS bytes_saved FROM src_files")
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
-    rows, folder = _files(view(spark, d, "src_files")), _folder(spark, "dedup")
+    rows, folder = _files(view(spark, d, "src_files")), new_folder(spark, "dedup")
     half = F.pmod(F.xxhash64("path"), F.lit(2)).cast("int")
     streams.dedup(_arrive(spark, rows.withColumn("half", half), "half"), f"{folder}/table", f"{folder}/state").awaitTermination()
     copies = F.col("role") == "duplicate"
     return spark.read.parquet(f"{folder}/table/files").agg(
         F.count("*").alias("files"), F.count_if(~copies).alias("canonicals"), F.count_if(copies).alias("duplicates"), F.coalesce(F.sum(F.when(copies, F.col("size"))), F.lit(0)).alias("bytes_saved")
     )
+
+
+# Whole runs over trees of files
+
+#: The tree with its roles, as ``PLAN``; ``{rows}`` chooses what the run covers.
+ROLES = """
+WITH s AS (SELECT *, sha256(content) AS hash, count(*) OVER (PARTITION BY strlen(content)) AS n_size, count(*) OVER (PARTITION BY sha256(content)) AS n_hash,
+  min(rel_path) OVER (PARTITION BY sha256(content)) AS first FROM tree_files WHERE {rows}),
+p AS (SELECT *, CASE WHEN n_hash = 1 THEN 'unique' WHEN first = rel_path THEN 'canonical' ELSE 'duplicate' END AS role FROM s)
+"""
+
+
+def _arrived(spark: SparkSession, dst: str, done: flows.Run) -> DataFrame:
+    """rel_path and hash of every file at the destination, with the action and check of the run that touched it."""
+    below = paths.relative(F.col("dest_path"), dst).alias("rel_path")
+    there = scan.hash_files(scan.walk(spark, dst)).select(paths.relative(F.col("path"), dst).alias("rel_path"), "hash")
+    acted = done.outcomes.select(below, "action")
+    return there.join(acted, "rel_path", "full").join(done.checks.select(below, "status"), "rel_path", "left").select("rel_path", "hash", "action", "status")
+
+
+@query("copy_run", ROLES.format(rows="true") + "SELECT rel_path, hash, CASE WHEN role = 'duplicate' THEN 'linked' ELSE 'copied' END AS action, CASE WHEN role <> 'duplicate' AND n_size > 1 THEN 'ok' END AS status FROM p")
+def copy_run(spark: SparkSession, d: str) -> DataFrame:
+    src, dst = _tree(spark, d), mounted(new_folder(spark, "copy"))
+    return _arrived(spark, dst, flows.run(spark, src, dst))
+
+
+CHANGED = "doc_id % 11 = 0 OR doc_id % 13 = 0 OR doc_id % 7 = 0"
+
+
+@query(
+    "mirror_run",
+    ROLES.format(rows=CHANGED) + f"""SELECT rel_path, hash, CASE WHEN role = 'duplicate' THEN 'linked' ELSE 'copied' END AS action, CASE WHEN role <> 'duplicate' AND n_size > 1 THEN 'ok' END AS status FROM p
+    UNION ALL SELECT rel_path, sha256(content), NULL, NULL FROM tree_files WHERE NOT ({CHANGED})
+    UNION ALL SELECT rel_path, NULL, 'deleted', NULL FROM old_tree WHERE rel_path LIKE 'stale/%'""",
+)
+def mirror_run(spark: SparkSession, d: str) -> DataFrame:
+    src, dst = _tree(spark, d), _tree(spark, d, "old_tree")
+    return _arrived(spark, dst, flows.run(spark, src, dst, incremental=True, delete=True))
+
+
+@query(
+    "resumed_run",
+    ROLES.format(rows="true") + "SELECT rel_path, CASE WHEN doc_id % 4 = 0 THEN 'copied' WHEN role = 'duplicate' THEN 'linked' WHEN n_size > 1 THEN 'verified' ELSE 'copied' END AS status, CASE WHEN doc_id % 4 = 0 THEN 'skipped' WHEN role = 'duplicate' THEN 'linked' ELSE 'copied' END AS action FROM p",
+)
+def resumed_run(spark: SparkSession, d: str) -> DataFrame:
+    src, record, first = _tree(spark, d), new_folder(spark, "manifest"), "doc_id % 4 = 0"
+    dst = _tree(spark, d, where=first)
+    manifest.record(view(spark, d, "tree_files").where(first).select("rel_path", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("source_hash"), F.lit("copied").alias("status")), record)
+    log = flows.run(spark, src, dst, record=record).log().select(paths.relative(F.col("path"), src).alias("rel_path"), "action")
+    return manifest.newest(spark, record).select("rel_path", "status").join(log, "rel_path", "full")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treesync.functions.shared import committed, remove_folder
 from treesync.schemas import MANIFEST, MANIFEST_DOC
+from treesync.sources.cache import upsert
 
 
 def load(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
@@ -17,10 +17,18 @@ def load(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     return rows.select(F.col("e.key").alias("rel_path"), "e.value.size", "e.value.source_hash", "e.value.status", "e.value.updated_at")
 
 
-def save(manifest: DataFrame, path: str) -> str:
-    """Write a new version beside earlier ones and return its folder; a reader never sees half a manifest."""
-    version = f"{path.rstrip('/')}/version={uuid.uuid4().hex}"
+def save(manifest: DataFrame, path: str, keep: int = 2) -> str:
+    """Write a new version beside earlier ones and return its folder; a reader never sees half a manifest.
+
+    Versions are numbered, and the newest one whose writing ended is the manifest. Of two writers at once the second fails.
+    The last ``keep`` versions stay.
+    """
+    spark, path = manifest.sparkSession, path.rstrip("/")
+    have = committed(spark, path, "version")
+    version = f"{path}/version={have[-1] + 1 if have else 0}"
     manifest.withColumn("updated_at", F.coalesce("updated_at", F.current_timestamp())).write.mode("errorifexists").parquet(version)
+    for old in have[: len(have) + 1 - keep]:
+        remove_folder(spark, f"{path}/version={old}")
     return version
 
 
@@ -28,6 +36,25 @@ def load_version(spark: SparkSession, version: str) -> DataFrame:
     return spark.read.schema(MANIFEST).parquet(version)
 
 
+def newest(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest: its newest version, or no rows where there is none."""
+    have = committed(spark, path.rstrip("/"), "version")
+    return load_version(spark, f"{path.rstrip('/')}/version={have[-1]}") if have else spark.createDataFrame([], MANIFEST)
+
+
+def record(rows: DataFrame, path: str) -> str:
+    """A new version in which ``rows(rel_path, size, source_hash, status)`` replace those of the same path."""
+    spark = rows.sparkSession
+    new = rows.select("rel_path", "size", "source_hash", "status", F.current_timestamp().alias("updated_at"), F.lit(1).alias("__turn"))
+    old = newest(spark, path).withColumn("__turn", F.lit(0))
+    return save(upsert(old, new, "rel_path", ["__turn"]).drop("__turn"), path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Drop a manifest with all its versions; one that isn't there is no error."""
+    remove_folder(spark, path)
+
+
 def export_json(manifest: DataFrame) -> DataFrame:
     """One JSON map of a small manifest, for other tools; big manifests stay tables."""
     value = F.struct(F.col("rel_path").alias("relative_path"), "size", "source_hash", "status")

@@ -1,28 +1,165 @@
-"""Inventories and content hashes of files that Spark can list."""
+"""Inventories of directory trees, and content hashes, with a row for each failure."""
 
 from __future__ import annotations
 
+import hashlib
+import os
+import stat
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treesync.functions.globs import excluded
-from treesync.functions.hashing import digest
+from treesync.functions.hashing import LENGTHS
 from treesync.functions.paths import relative
+from treesync.functions.shared import mounted, new_folder
 from treesync.schemas import with_file_defaults
 
+LISTED = "path string, kind string, size long, permissions int, modified_epoch long, error string"
+COLUMNS = ["path", "kind", "size", "permissions", "modified_epoch", "error"]
+#: Bytes read at once from a file.
+CHUNK = 8 << 20
+
 
 def inventory(spark: SparkSession, root: str, excludes: tuple[str, ...] = ()) -> DataFrame:
-    """FILES rows of a root, from metadata alone; a missing root is an error.
+    """FILES rows of a root on any file system that Spark reads, from metadata alone; a missing root is an error.
 
-    Spark's reader leaves out empty files and names that begin with '_' or '.'. Permissions aren't known to it: 0.
+    Spark's reader leaves out empty files and names that begin with '_' or '.', and knows no permissions (0). For a
+    mounted file system ``walk`` has them all.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("modified_epoch"))
     rel = relative(F.col("path"), root)
     return with_file_defaults(found.where(~excluded(rel, list(excludes))))
 
 
-def hash_files(spark: SparkSession, root: str, algorithm="sha256") -> DataFrame:
-    """path, size, hash_algo, hash of each file's content; the digest is taken in the scan, so content never shuffles."""
-    content = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    name = algorithm if isinstance(algorithm, str) else "custom"
-    return content.select("path", F.col("length").alias("size"), F.lit(name).alias("hash_algo"), digest(F.col("content"), algorithm).alias("hash"))
+def _entry(entry: os.DirEntry, follow: bool) -> tuple | None:
+    """The row of a directory entry; none for what is neither file nor directory."""
+    path = entry.path
+    try:
+        path.encode()
+    except UnicodeEncodeError:
+        return path.encode(errors="surrogateescape").decode(errors="replace"), "error", None, None, None, "name is not UTF-8"
+    try:
+        meta = entry.stat(follow_symlinks=follow)
+        if stat.S_ISDIR(meta.st_mode):
+            if entry.is_symlink() and _loops(path):
+                return path, "error", None, None, None, "symbolic link to a directory above"
+            return path, "dir", None, None, None, None
+    except OSError as e:
+        return path, "error", None, None, None, str(e)
+    return (path, "file", meta.st_size, meta.st_mode, int(meta.st_mtime // 1), None) if stat.S_ISREG(meta.st_mode) else None
+
+
+def _loops(link: str) -> bool:
+    """Whether a linked directory is one of those that its own path goes through."""
+    target, above = os.path.realpath(link), os.path.dirname(link)
+    while above != os.path.dirname(above):
+        if os.path.realpath(above) == target:
+            return True
+        above = os.path.dirname(above)
+    return target == "/"
+
+
+def _lister(follow: bool):
+    def entries(directory: str) -> Iterator[tuple]:
+        try:
+            with os.scandir(directory) as found:
+                yield from filter(None, (_entry(e, follow) for e in found))
+        except OSError as e:
+            yield directory, "error", None, None, None, str(e)
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=COLUMNS)
+        return out.astype({"size": "Int64", "permissions": "Int32", "modified_epoch": "Int64"})
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
+        for batch in batches:
+            for directory in batch["path"]:
+                for row in entries(directory):
+                    rows.append(row)
+                    if len(rows) == 10_000:
+                        yield frame(rows)
+                        rows = []
+        yield frame(rows)
+
+    return listed
+
+
+def walk(spark: SparkSession, root: str, excludes: tuple[str, ...] = (), follow_symlinks: bool = True) -> DataFrame:
+    """FILES and ``error`` of a tree on a file system that all executors mount: one row per regular file, empty and hidden ones too.
+
+    Breadth first: a Spark job lists all directories of a level, so listing is spread over the executors and a directory
+    of any size passes in bounded batches. What can't be listed or read is a row with ``error`` and no size, and the walk
+    goes on; a missing root is an error. Excluded directories aren't entered. Links are followed unless they lead back to
+    a directory above; else links are left out. Devices, sockets and pipes are left out.
+    """
+    top = mounted(root).rstrip("/") or "/"
+    folder, level = new_folder(spark, "walk"), 0
+    frontier = spark.createDataFrame([(top,)], "path string")
+    tasks = spark.sparkContext.defaultParallelism * 4
+    while True:
+        listed = (frontier.repartition(tasks, "path") if level else frontier.coalesce(1)).mapInPandas(_lister(follow_symlinks), LISTED)
+        keep = ~excluded(relative(F.col("path"), top), list(excludes)) | (F.col("path") == top)
+        listed.where(keep).write.parquet(f"{folder}/level={level}")
+        found = spark.read.schema(LISTED).parquet(f"{folder}/level={level}")
+        if level == 0:
+            for row in found.where((F.col("path") == top) & (F.col("kind") == "error")).limit(1).collect():
+                raise FileNotFoundError(row["error"])
+        frontier = found.where("kind = 'dir'").select("path")
+        if frontier.isEmpty():
+            break
+        level += 1
+    rows = spark.read.schema(LISTED + ", level int").parquet(folder).where("kind <> 'dir'").drop("kind", "level")
+    return with_file_defaults(rows)
+
+
+def _hasher(algorithm: str):
+    if algorithm == "sha256":
+        return hashlib.sha256
+    if algorithm == "xxhash128":
+        import xxhash
+
+        return xxhash.xxh3_128
+    if algorithm == "blake3":
+        try:
+            from blake3 import blake3
+        except ImportError as e:
+            raise ValueError("blake3 needs the blake3 package") from e
+        return blake3
+    raise ValueError(f"unknown algorithm {algorithm}; known are {', '.join(LENGTHS)}")
+
+
+def hash_files(files: DataFrame, algorithm: str = "sha256", tasks: int | None = None) -> DataFrame:
+    """path, size, hash_algo, hash (hexadecimal), error of each row's ``path``; a file that can't be read has ``error`` and no hash.
+
+    Files of any size are read in chunks, where they lie, so content never shuffles and memory doesn't grow with a file.
+    Paths are those of a mounted file system, or URIs that Arrow opens. A null path is a failure. Repeated paths are hashed
+    once a row. Rows are dealt by path, for a listing often has neighbours of like size.
+    """
+    _hasher(algorithm)
+
+    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        new = _hasher(algorithm)
+        for batch in batches:
+            rows = []
+            for path in batch["path"]:
+                state, size = new(), 0
+                try:
+                    plain = mounted(path) if path.startswith(("/", "file:")) else None
+                    at, name = (fs.LocalFileSystem(), plain) if plain else fs.FileSystem.from_uri(path)
+                    with at.open_input_stream(name, compression=None) as source:
+                        while chunk := source.read(CHUNK):
+                            state.update(chunk)
+                            size += len(chunk)
+                    rows.append((path, size, algorithm, state.hexdigest(), None))
+                except (OSError, ValueError, AttributeError) as e:
+                    rows.append((path, None, algorithm, None, str(e)))
+            yield pd.DataFrame(rows, columns=["path", "size", "hash_algo", "hash", "error"]).astype({"size": "Int64"})
+
+    n = tasks or files.sparkSession.sparkContext.defaultParallelism * 4
+    return files.select("path").repartition(n, "path").mapInPandas(digests, "path string, size long, hash_algo string, hash string, error string")

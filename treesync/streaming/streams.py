@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
+from treesync.functions.shared import committed, remove_folder
 from treesync.operators.dedup import scan_order
 from treesync.sources import cache, runlog
 
@@ -21,34 +24,59 @@ def progress(stream: DataFrame) -> DataFrame:
     return stream.groupBy("run", "phase").agg(F.max("progress.files_done").alias("files_done"), F.max("progress.bytes_done").alias("bytes_done"))
 
 
-def _versions(spark: SparkSession, table: str, batch: int, schema) -> DataFrame:
-    """What the batch before wrote; nothing for the first."""
-    return spark.read.parquet(f"{table}/batch={batch - 1}") if batch else spark.createDataFrame([], schema)
+def _so_far(spark: SparkSession, table: str, batch: int, schema: StructType) -> DataFrame:
+    """What the batches before ``batch`` wrote: the newest compacted part up to it, and the batches since."""
+    parts = [n for n in committed(spark, table, "upto") if n <= batch]
+    whole = StructType([*schema.fields, StructField("batch", LongType())])
+    out = spark.read.schema(schema).parquet(f"{table}/upto={parts[-1]}") if parts else spark.createDataFrame([], schema)
+    since = [f"{table}/batch={n}" for n in committed(spark, table, "batch") if (parts[-1] if parts else 0) <= n < batch]
+    if since:
+        out = out.unionByName(spark.read.schema(whole).option("basePath", table).parquet(*since).drop("batch"))
+    return out
+
 
+def _compact(spark: SparkSession, table: str, batch: int, every: int, schema: StructType, merge: Callable[[DataFrame], DataFrame]) -> None:
+    """At each ``every``-th batch, one compacted part of all before it; what the part before the last one holds is removed. A batch that runs again does the same."""
+    if batch == 0 or batch % every:
+        return
+    parts = [n for n in committed(spark, table, "upto") if n < batch]
+    merge(_so_far(spark, table, batch - 1, schema).unionByName(spark.read.schema(schema).parquet(f"{table}/batch={batch - 1}"))).write.mode("overwrite").parquet(f"{table}/upto={batch}")
+    if parts:
+        for name, numbers in (("batch", [n for n in committed(spark, table, "batch") if n < parts[-1]]), ("upto", parts[:-1])):
+            for n in numbers:
+                remove_folder(spark, f"{table}/{name}={n}")
 
-def _remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of a file system that Spark knows."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
+def _newest_rows(rows: DataFrame, key: str, order: tuple[str, ...]) -> DataFrame:
+    return cache.upsert(rows.limit(0), rows, key, list(order))
 
-def cache_upsert(stream: DataFrame, table: str, checkpoint: str, key: str = "path", order: tuple[str, ...] = ("seq",)) -> StreamingQuery:
-    """Each micro-batch replaces cache rows by key, in a new version of the table; a batch that runs again overwrites its own version. Versions before the last two are removed."""
+
+def cache_upsert(stream: DataFrame, table: str, checkpoint: str, key: str = "path", order: tuple[str, ...] = ("seq",), every: int = 20) -> StreamingQuery:
+    """Each micro-batch adds its newest row per key to ``table``; ``cache_state`` gives the newest of all.
+
+    A batch writes its own rows only. Every ``every`` batches earlier ones are merged into one part, so the work of a batch
+    grows with the table at those alone. Batches that run again overwrite what they wrote.
+    """
 
     def put(rows: DataFrame, batch: int) -> None:
-        old = _versions(rows.sparkSession, table, batch, rows.schema)
-        cache.upsert(old, rows, key, list(order)).write.mode("overwrite").parquet(f"{table}/batch={batch}")
-        if batch > 1:
-            _remove(rows.sparkSession, f"{table}/batch={batch - 2}")
+        _compact(rows.sparkSession, table, batch, every, rows.schema, lambda all_rows: _newest_rows(all_rows, key, order))
+        _newest_rows(rows, key, order).select(*rows.columns).write.mode("overwrite").parquet(f"{table}/batch={batch}")
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def dedup(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+def cache_state(spark: SparkSession, table: str, schema: StructType, key: str = "path", order: tuple[str, ...] = ("seq",)) -> DataFrame:
+    """The row of the last order for each key, over all batches whose writing ended."""
+    done = committed(spark, table, "batch")
+    return _newest_rows(_so_far(spark, table, done[-1] + 1 if done else 0, schema), key, order)
+
+
+def dedup(stream: DataFrame, table: str, checkpoint: str, every: int = 20) -> StreamingQuery:
     """Arriving files against all earlier content: the first file seen of a content stays canonical for ever.
 
     A batch reads the canonical rows of the batches before it and appends its own: ``canonicals/batch=n`` holds the contents that
-    were new, ``files/batch=n`` each file with its role and canonical path. Batches that run again overwrite what they wrote.
+    were new, ``files/batch=n`` each file with its role and canonical path. Every ``every`` batches earlier canonicals are
+    merged into one part. Batches that run again overwrite what they wrote.
     """
     key = ["size", "hash_algo", "hash"]
 
@@ -56,9 +84,8 @@ def dedup(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
         spark = rows.sparkSession
         first = rows.where("hash is not null").groupBy(*key).agg(F.min(scan_order()).alias("first")).select(*key, F.col("first.path").alias("mine"))
         kept = first.withColumnRenamed("mine", "canonical_path").schema
-        old = spark.createDataFrame([], kept)
-        if batch:  # one read, however many batches there were
-            old = spark.read.schema(StructType([*kept.fields, StructField("batch", LongType())])).parquet(f"{table}/canonicals").where(F.col("batch") < batch).drop("batch")
+        _compact(spark, f"{table}/canonicals", batch, every, kept, lambda all_rows: all_rows)
+        old = _so_far(spark, f"{table}/canonicals", batch, kept)
         merged = first.join(old, key, "left").select(*key, F.coalesce("canonical_path", "mine").alias("canonical_path"), F.col("canonical_path").isNull().alias("new"))
         merged.where("new").drop("new").write.mode("overwrite").parquet(f"{table}/canonicals/batch={batch}")
         roles = F.when(F.col("hash").isNull(), "unhashed").when(F.col("canonical_path") == F.col("path"), "canonical").otherwise("duplicate")
