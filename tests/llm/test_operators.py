@@ -244,3 +244,44 @@ def test_toxicity_errors_anywhere():
     assert kinds == [toxicity.FUZZY] * 5 + [toxicity.NONE]
     # inside a stem, whatever follows, and of a word that the stem stands for
     assert [lexicon.kind(w) for w in ("mroonish", "m0ronic", "motonic", "motonish", "plain")] == [toxicity.FUZZY] * 3 + [toxicity.NONE] * 2
+
+
+def _distance(a: str, b: str) -> int:
+    """Insertions, deletions, substitutions and swaps of neighbours between two words, by the plain table."""
+    d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
+@pytest.mark.parametrize("limit", [200_000, 50])
+def test_automaton_equals_plain_distances(limit):
+    rng = random.Random(7)
+    word = lambda a, b: "".join(rng.choices("abcd", k=rng.randint(a, b)))
+    terms, stems = {word(3, 12) for _ in range(15)}, {word(4, 8) for _ in range(4)}
+    automaton, begins = toxicity.Automaton(terms, stems, limit), frozenset(range(3, 10))
+    for _ in range(1500):
+        w = list(rng.choice(sorted(terms | stems)))
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randrange(len(w))
+            w[i : i + 2] = rng.choice([w[i : i + 2][::-1], [rng.choice("abcdx")], w[i : i + 2] + ["a"]])
+        w = "".join(w) + word(0, 3)
+        whole, found = automaton.run(w, begins)
+        least = min(((_distance(w, t), t) for t in terms if _distance(w, t) <= (2 if len(t) >= toxicity.LONG else 1)), default=(0, None))[1]
+        assert whole == least
+        assert found == [(n, min((_distance(w[:n], s), s) for s in stems if _distance(w[:n], s) <= 1)[1]) for n in sorted(begins) if n <= len(w) and any(_distance(w[:n], s) <= 1 for s in stems)]
+
+
+def test_toxicity_learns_nothing_from_copies(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=9))
+    copied = [word() for _ in range(60)]
+    rows = [(3 * i, " ".join([*copied[:-1], word()]), 1) for i in range(60)]  # near copies of one text
+    rows += [(3 * i, " ".join([*(word() for _ in range(20)), "moron"]), 1) for i in range(60, 120)]
+    rows += [(3 * i, " ".join(word() for _ in range(20)), 0) for i in range(120, 400)] + [(9000, None, 0), (9001, "", 1)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int"))
+    assert [w for w in model.lexicon.words if w in copied] == [] and "moron" in model.lexicon.words + model.lexicon.members + model.lexicon.stems

@@ -12,11 +12,12 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treesync.llm.common import small_batches, stage, table
@@ -27,117 +28,127 @@ NONE, EXACT, FUZZY, STEM = 0, 1, 2, 3
 WEIGHT = (0.0, 1.0, 0.8, 1.0)
 OPENING, CLOSING = tuple("\"'“«„‘‹"), tuple("\"'”»“’›")
 EDGE = ".,;:!?()[]{}<>\"'“”«»„‘’‹›…|%&$*#@-_/\\"
-CACHE_ROWS = 400_000
+CACHE_ROWS = 200_000
 #: Terms from this length on may have two errors.
 LONG = 9
 
 
-class Trie:
-    """Terms of a lexicon; ``near`` intersects it with the Levenshtein automaton of a word."""
+class State(dict):
+    """What may still become a term after the letters read so far; as a dictionary, the state behind each next letter, filled when first needed.
 
-    def __init__(self, words: Iterable[str]) -> None:
-        self.root: dict = {}
+    ``positions`` holds (node, letter owed by a swap or None): errors so far. ``whole`` is the closest term that the letters read are,
+    ``begin`` the closest stem; each the one of fewest errors, then the least. ``notable``: a stem ends here, or no term is within reach.
+    """
+
+    __slots__ = ("automaton", "positions", "whole", "begin", "notable")
+
+    def __missing__(self, letter: str) -> State:
+        return self.automaton.step(self, letter)
+
+
+class Automaton:
+    """The trie of a lexicon intersected with the Levenshtein automata of all its terms, made deterministic state by state as words need it.
+
+    Words of one beginning share its states, and a word is left as soon as no term is within reach. States are dropped
+    altogether when there are ``limit`` transitions, so memory is bounded.
+    """
+
+    def __init__(self, terms: Iterable[str], stems: Iterable[str], limit: int = 200_000) -> None:
+        self.children: list[dict[str, int]] = []
+        self.allowed: list[int] = []
+        self.whole: dict[int, str] = {}
+        self.begin: dict[int, str] = {}
+        self.limit = limit
+        terms = set(terms)
+        tries = ((1, [w for w in terms if len(w) < LONG], self.whole), (2, [w for w in terms if len(w) >= LONG], self.whole), (1, set(stems), self.begin))
+        self.roots = [self._trie(*t) for t in tries]
+        self._reset()
+
+    def _trie(self, errors: int, words: Iterable[str], ends: dict[int, str]) -> int:
+        root = self._node(errors)
         for w in words:
-            node = self.root
+            node = root
             for c in w:
-                node = node.setdefault(c, {})
-            node[""] = w
-
-    def near(self, word: str, errors: int, same: int = 0) -> str | None:
-        """A term within so many insertions, deletions, substitutions and swaps of neighbours of the word, the one of fewest errors; the first ``same`` characters are alike."""
-        masks: dict[str, int] = {}
-        for i, c in enumerate(word):
-            masks[c] = masks.get(c, 0) | 1 << i
-        n, last = len(word), 1 << len(word)
-        full = (1 << (n + 1)) - 1
-        start = tuple(((1 << (e + 1)) - 1) << same & full for e in range(errors + 1))
-        best, found = errors + 1, None
-        node: dict | None = self.root
-        for c in word[:same]:
-            node = node.get(c) if node else None
-        # with each node: its states, those of its parent, and where the word has the letter between them
-        todo = [(node, start, (0,) * (errors + 1), 0)] if node else []
+                if c not in self.children[node]:
+                    self.children[node][c] = self._node(errors)
+                node = self.children[node][c]
+            ends[node] = w
+        return root
+
+    def _node(self, errors: int) -> int:
+        self.children.append({})
+        self.allowed.append(errors)
+        return len(self.children) - 1
+
+    def _reset(self) -> None:
+        self.states: dict[frozenset, State] = {}
+        self.steps = 0
+        self.dead = self._state({})
+        self.start = self._state({(r, None): 0 for r in self.roots if self.children[r]})
+
+    def _state(self, positions: dict[tuple[int, str | None], int]) -> State:
+        # letters of a term that the word leaves out
+        todo = list(positions.items())
         while todo:
-            node, states, above, letter = todo.pop()
-            for c, child in node.items():
-                if c == "":
-                    e = next((e for e, s in enumerate(states) if s & last), best)
-                    if e < best:
-                        best, found = e, child
-                    continue
-                mask = masks.get(c, 0)
-                new = [(states[0] & mask) << 1]
-                for e in range(1, errors + 1):
-                    swapped = ((above[e - 1] & mask) << 1 & letter) << 1
-                    new.append((((states[e] & mask) << 1) | states[e - 1] | states[e - 1] << 1 | new[e - 1] << 1 | swapped) & full)
-                # a swap may still begin in the states before
-                if new[-1] or (errors and states[errors - 1] & mask):
-                    todo.append((child, tuple(new), states, mask))
+            (node, owed), e = todo.pop()
+            if owed is None and e < self.allowed[node]:
+                for child in self.children[node].values():
+                    if positions.get((child, None), 9) > e + 1:
+                        positions[child, None] = e + 1
+                        todo.append(((child, None), e + 1))
+        key = frozenset(positions.items())
+        state = self.states.get(key)
+        if state is None:
+            state = self.states[key] = State()
+            state.automaton, state.positions = self, positions
+            ends = [(e, node) for (node, owed), e in positions.items() if owed is None]
+            state.whole = min(((e, self.whole[n]) for e, n in ends if n in self.whole), default=(0, None))[1]
+            state.begin = min(((e, self.begin[n]) for e, n in ends if n in self.begin), default=(0, None))[1]
+            state.notable = state.begin is not None or not positions
+        return state
+
+    def step(self, state: State, letter: str) -> State:
+        out: dict[tuple[int, str | None], int] = {}
+
+        def reach(node: int, owed: str | None, e: int) -> None:
+            if out.get((node, owed), 9) > e:
+                out[node, owed] = e
+
+        for (node, owed), e in state.positions.items():
+            children = self.children[node]
+            if owed is not None:
+                if letter == owed:
+                    reach(node, None, e)
+                continue
+            if letter in children:
+                reach(children[letter], None, e)
+            if e < self.allowed[node]:
+                reach(node, None, e + 1)
+                for c, child in children.items():
+                    reach(child, None, e + 1)
+                    if c != letter and letter in self.children[child]:
+                        reach(self.children[child][letter], c, e + 1)
+        if self.steps >= self.limit:
+            self._reset()
+        self.steps += 1
+        state[letter] = found = self._state(out)
         return found
 
+    def run(self, word: str, begins: frozenset[int]) -> tuple[str | None, list[tuple[int, str]]]:
+        """The term that is close to the word, and, for beginnings of the given lengths, the stems close to them."""
+        state, found = self.start, []
+        for n, c in enumerate(word, 1):
+            state = state[c]
+            if state.notable:
+                if not state.positions:
+                    return None, found
+                if n in begins:
+                    found.append((n, state.begin))
+        return state.whole, found
 
-class Near:
-    """A term within one error of a word: from each half that they share, the automaton runs over the rest; a swap of the two middle letters is looked up."""
-
-    def __init__(self, terms: Iterable[str]) -> None:
-        self.terms = set(terms)
-        self.trie, self.backward = Trie(sorted(self.terms)), Trie(sorted(w[::-1] for w in self.terms))
-        # one error leaves the first or the second half of a term as it is: lengths of those halves, by the length of the word
-        self.heads: dict[int, dict[int, set[str]]] = {}
-        self.tails: dict[int, dict[int, set[str]]] = {}
-        for w in self.terms:
-            k = len(w) // 2
-            for n in (len(w) - 1, len(w), len(w) + 1):
-                self.heads.setdefault(n, {}).setdefault(k, set()).add(w[:k])
-                self.tails.setdefault(n, {}).setdefault(len(w) - k, set()).add(w[k:])
-
-    def __call__(self, word: str) -> str | None:
-        n, k = len(word), len(word) // 2
-        if n not in self.heads:
-            return None
-        if (swapped := word[: k - 1] + word[k : k + 1] + word[k - 1 : k] + word[k + 1 :]) in self.terms:
-            return swapped
-        for k, halves in self.heads[n].items():
-            if word[:k] in halves and (found := self.trie.near(word, 1, k)):
-                return found
-        for k, halves in self.tails[n].items():
-            if word[-k:] in halves and (found := self.backward.near(word[::-1], 1, k)):
-                return found[::-1]
-        return None
-
-
-class NearLong:
-    """A long term within two errors of a word. Two errors leave one third of a term as it is, moved by two places at most, so the automaton runs only for terms of which the word has the begin of a third."""
-
-    def __init__(self, terms: Iterable[str]) -> None:
-        self.tries: dict[str, tuple[Trie, frozenset[str]]] = {}
-        self.at: dict[int, dict[str, set[str]]] = {}
-        for w in sorted(w for w in set(terms) if len(w) >= LONG):
-            self.tries[w] = Trie([w]), frozenset(w)
-            a, b = len(w) // 3, 2 * len(w) // 3
-            swap = lambda x, k: x[: k - 1] + x[k] + x[k - 1] + x[k + 1 :]
-            # a swap over a border takes a letter of two thirds
-            for x in (w, swap(w, a), swap(w, b), swap(swap(w, a), b)):
-                for start in (0, a, b):
-                    for j in range(max(start - 2, 0), start + 3):
-                        self.at.setdefault(j, {}).setdefault(x[start : start + 3], set()).add(w)
-
-    def __call__(self, word: str) -> str | None:
-        n = len(word)
-        if n < LONG - 2 or not self.tries:
-            return None
-        terms: set[str] = set()
-        for j in range(n - 2):
-            found = self.at.get(j)
-            if found and (some := found.get(word[j : j + 3])):
-                terms |= some
-        if terms:
-            letters = set(word)
-            for w in sorted(w for w in terms if abs(len(w) - n) <= 2):
-                trie, own = self.tries[w]
-                if len(own - letters) <= 2 and trie.near(word, 2):
-                    return w
-        return None
+    def __reduce__(self):
+        terms = self.whole.values()
+        return Automaton, (sorted(terms), sorted(self.begin.values()), self.limit)
 
 
 @dataclass
@@ -151,46 +162,31 @@ class Lexicon:
     def __post_init__(self) -> None:
         self.exact = set(self.words)
         self.by_size = {n: {s for s in self.stems if len(s) == n} for n in {len(s) for s in self.stems}}
-        whole = [*self.words, *self.members]
-        self.near, self.near_long, self.near_stem = Near(whole), NearLong(whole), Near(self.stems)
-        # what a beginning close to a stem has at which place: a half of the stem, or all of it with the middle letters swapped
-        gates: dict[tuple[int, int], set[str]] = {}
-        for s in self.stems:
-            k, n = len(s) // 2, len(s)
-            for at, part in ((0, s[:k]), (k - 1, s[k:]), (k, s[k:]), (k + 1, s[k:]), (0, s[: k - 1] + s[k] + s[k - 1] + s[k + 1 :])):
-                gates.setdefault((at, at + len(part)), set()).add(part)
-        self.gates = [(*k, v) for k, v in gates.items()]
-        self.begins = sorted({n + d for n in self.by_size for d in (-1, 0, 1)})
+        self.automaton = Automaton([*self.words, *self.members], self.stems)
+        self.begins = frozenset(n + d for n in self.by_size for d in (-1, 0, 1))
 
     def close(self, word: str) -> list[tuple[str, str]]:
         """What of the word is close to which term: all of it to a term, or beginnings of it (with *) to a stem, with anything behind."""
-        whole = self.near(word) or self.near_long(word)
-        found = [(word, whole)] if whole else []
-        for a, b, parts in self.gates:
-            if word[a:b] in parts:
-                break
-        else:
-            return found
-        for n in self.begins:
-            if n <= len(word) and (stem := self.near_stem(word[:n])):
-                found.append((word[:n] + "*", stem + "*"))
-        return found
+        whole, begins = self.automaton.run(word, self.begins)
+        return [(word, whole)] * (whole is not None) + [(word[:n] + "*", stem + "*") for n, stem in begins]
 
     def hit(self, word: str) -> tuple[int, float]:
         """Kind of hit and what it counts."""
+        whole, begins = self.automaton.run(word, self.begins)
+        if whole is None and not begins:
+            return NONE, 0.0
         if word in self.exact:
             return EXACT, WEIGHT[EXACT]
-        for n, stems in self.by_size.items():
-            if word[:n] in stems:
-                return STEM, WEIGHT[STEM]
+        if any(word[:n] in stems for n, stems in self.by_size.items()):
+            return STEM, WEIGHT[STEM]
         if word in self.benign:
             return NONE, 0.0
-        found = self.close(word)
-        if any(part in self.benign for part, _ in found):
-            found = [x for x in found if x[0] == word]
+        found = [] if whole is None else [whole]
+        if not any(word[:n] + "*" in self.benign for n, _ in begins):
+            found += [stem + "*" for _, stem in begins]
         if not found:
             return NONE, 0.0
-        return FUZZY, max(self.weights.get(term, WEIGHT[FUZZY]) for _, term in found)
+        return FUZZY, max(self.weights.get(term, WEIGHT[FUZZY]) for term in found)
 
     def kind(self, word: str) -> int:
         return self.hit(word)[0]
@@ -264,9 +260,23 @@ class Model:
     weights: np.ndarray
 
 
-def _terms(text: str | None) -> set[str]:
-    words = {w for w in (c.strip(EDGE) for c in (text or "").lower().split()) if 3 <= len(w) <= 40}
-    return words | {w[:n] + "*" for w in words for n in range(4, min(8, len(w)) + 1)}
+def _terms(word: str) -> list[str]:
+    """The word and, with *, its beginnings."""
+    return [word, *(word[:n] + "*" for n in range(4, min(8, len(word)) + 1))] if 3 <= len(word) <= 40 else []
+
+
+class _Terms(dict):
+    """The allowed terms of each chunk of text; without a set of allowed ones, all."""
+
+    def __init__(self, allowed: frozenset | None) -> None:
+        self.allowed = allowed
+
+    def __missing__(self, chunk: str) -> tuple[str, ...]:
+        out = tuple(t for t in _terms(chunk.strip(EDGE)) if self.allowed is None or t in self.allowed)
+        if len(self) >= CACHE_ROWS:
+            self.clear()
+        self[chunk] = out
+        return out
 
 
 def _count(allowed):
@@ -274,11 +284,11 @@ def _count(allowed):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
+        terms = _Terms(allowed and allowed.value)
         frame = lambda: pd.DataFrame({"term": list(seen.keys()), "rows": list(seen.values())}).astype({"term": "object", "rows": "int64"})
         for batch in batches:
             for text in batch["text"]:
-                terms = _terms(text)
-                seen.update(terms if allowed is None else terms & allowed.value)
+                seen.update(set(chain.from_iterable(map(terms.__getitem__, set((text or "").lower().split())))))
             if len(seen) > 300_000:
                 yield frame()
                 seen.clear()
@@ -307,7 +317,8 @@ def _fuzzy(lexicon):
             for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
                 words = {c.strip(EDGE) for c in (text or "").lower().split()}
                 for w in words.difference(close):
-                    close[w] = lexicon.value.close(w) if lexicon.value.kind(w) == FUZZY else []
+                    near = lexicon.value.close(w)
+                    close[w] = near if near and lexicon.value.kind(w) == FUZZY else ()
                 seen.update({(*x, toxic) for w in words for x in close[w]})
                 if len(close) > CACHE_ROWS:
                     close.clear()
@@ -316,11 +327,39 @@ def _fuzzy(lexicon):
     return run
 
 
+#: Bands of least hashes; two texts are taken as near copies if they agree in all hashes of a band.
+BANDS, BAND_HASHES = 4, 3
+#: With fewer groups of a label, all its rows count in learning: so few texts don't show which words only a copied text has.
+LEAST_GROUPS = 30
+
+
+def _marked(rows: DataFrame) -> DataFrame:
+    """Add marks of each text, from least hashes of its sequences of five words: texts that nearly agree (0.75) share a mark with a chance of 0.89, of those that share a third of them one in eight does."""
+    words = F.split(F.trim(F.lower("text")), r"\s+")
+    hashes = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - 4, F.lit(1))), lambda i: F.xxhash64(F.slice("words", i, F.lit(5))))
+    least = lambda k: F.array_min(F.transform("hashes", lambda h: F.xxhash64(h, F.lit(k))))
+    marks = [F.xxhash64(*(least(BAND_HASHES * b + k) for k in range(BAND_HASHES))).alias(f"mark{b}") for b in range(BANDS)]
+    return rows.withColumn("words", words).withColumn("hashes", hashes).select("doc_id", "text", "toxic", *marks)
+
+
+def _apart(sample: DataFrame) -> DataFrame:
+    """One row of each group of copies and near copies of a label: a word is no term because many copies of one text have it."""
+    marks = [f"mark{b}" for b in range(BANDS)]
+    left = sample.select("doc_id", "toxic", *marks)
+    for mark in marks:
+        left = left.groupBy("toxic", mark).agg(F.min(F.struct("doc_id", *(m for m in marks if m != mark))).alias("row")).select("toxic", mark, "row.*")
+    left = stage(left.select("doc_id", "toxic").distinct(), "toxicity-groups")
+    groups = {r["toxic"]: r["count"] for r in left.groupBy("toxic").count().collect()}
+    few = F.col("toxic").isin([x for x in (0, 1) if groups.get(x, 0) < LEAST_GROUPS])
+    chosen = sample.where(~few).join(F.broadcast(left), ["doc_id", "toxic"], "left_semi").unionByName(sample.where(few))
+    return stage(chosen.select("text", "toxic"), "toxicity-learning")
+
+
 def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 4000, other_rows: int = 12000, least_share: float = 0.005, purity: float = 50.0) -> Model:
     """Learn from labelled rows that aren't held out; of each label about so many rows, chosen by a hash of the id.
 
     A term is kept if at least ``least_share`` of the toxic rows have it (5 at least) and, smoothed, ``purity`` times
-    the share of other rows. Labels other than 0 and 1 are not used; of labels that repeat for an id, the greatest counts.
+    the share of other rows; of copies and near copies in the sample one is used. Labels other than 0 and 1 are not used; of labels that repeat for an id, the greatest counts.
     """
     spark = docs.sparkSession
     marked = labels.where(learning(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -329,7 +368,8 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 4000, other_rows:
         return Model(Lexicon([], []), np.array([-3.0, 0.0, 0.0, 0.0]))
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     chosen = marked.where(share < F.when(F.col("toxic") == 1, toxic_rows / totals[1]).otherwise(other_rows / totals[0]))
-    sample = stage(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxicity-sample")  # bounded by toxic_rows + other_rows
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")  # bounded by toxic_rows + other_rows
+    sample = _apart(stage(_marked(sample), "toxicity-sample"))
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
