@@ -153,4 +153,5 @@ def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, with_ids: bool =
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2,048 tokens; odd rows as in ``pack``."""
     return pack(table(spark, sf_dir, "documents"))

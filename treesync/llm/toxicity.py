@@ -448,6 +448,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents by a model of the labelled ones; odd rows as in ``score`` and ``fit``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     small_batches(spark)
     out = score(docs, fit(docs, table(spark, sf_dir, "labels")))
