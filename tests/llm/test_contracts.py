@@ -25,7 +25,7 @@ def documents():
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, documents, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "labels", "benchmark"):
         con.sql(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     want = con.sql(queries.oracle_sql()[name])
     columns = want.columns
