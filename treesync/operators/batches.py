@@ -9,60 +9,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treesync.functions.paths import relative
+from treesync.operators import scans
 from treesync.operators.plan import index_within
 
 
-def greedy_run(sizes: np.ndarray, batch_size: int, run: int = 0, batch: int = 0) -> tuple[np.ndarray, int, int]:
-    """Batch number of each size, and the running size and batch after them; a batch closes once its running size reaches batch_size, and the file that crosses stays in."""
-    ends, out, start = np.cumsum(sizes), np.empty(len(sizes), np.int64), 0
-    while start < len(sizes):
-        base = (ends[start - 1] if start else 0) - run
-        stop = int(np.searchsorted(ends, base + batch_size, "left")) + 1
-        out[start : min(stop, len(sizes))] = batch
-        if stop > len(sizes):
-            return out, int(ends[-1] - base), batch
-        start, run, batch = stop, 0, batch + 1
-    return out, run, batch
-
-
 def greedy_batches(sizes: np.ndarray, batch_size: int) -> np.ndarray:
-    return greedy_run(sizes, batch_size)[0]
+    return scans.greedy_run(sizes, batch_size)[0]
 
 
 def by_bytes(files: DataFrame, batch_size: int = 100 << 20, shard: str = "shard", order: str = "path", sub_shards: int = 1) -> DataFrame:
     """``files`` with ``sub_shard`` and ``batch``, exact within each shard (a null shard is one too) and sub-shard, in the given order; every row stays once.
 
-    The fold runs over sorted rows as they stream by, so a large shard costs time in its task, not memory; ``sub_shards``
-    splits shards by a hash of the order key. Rows pass through whole: leave content out. Unknown sizes count as 0.
+    A large shard is spread over range partitions, see ``scans.greedy_batches``. ``sub_shards`` splits shards by a hash of the
+    order key. Ties are in order of size. Rows pass through whole: leave content out. Unknown sizes count as 0.
     """
     sub = F.pmod(F.xxhash64(order), F.lit(sub_shards)).cast("int")
-    rows = files.drop("sub_shard", "batch").withColumn("sub_shard", sub)
-    rows = rows.repartition(shard, "sub_shard").sortWithinPartitions(shard, "sub_shard", order)
-    names = rows.columns
-
-    def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, run, batch = None, 0, 0
-        for part in parts:
-            groups = list(zip(part.column(names.index(shard)).to_pylist(), part.column(names.index("sub_shard")).to_pylist(), strict=True))
-            sizes = np.array([x or 0 for x in part.column(names.index("size")).to_pylist()], np.int64)
-            out, at = np.empty(len(groups), np.int64), 0
-            while at < len(groups):
-                if groups[at] != before:
-                    before, run, batch = groups[at], 0, 0
-                end = at + 1
-                while end < len(groups) and groups[end] == before:
-                    end += 1
-                out[at:end], run, batch = greedy_run(sizes[at:end], batch_size, run, batch)
-                at = end
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out)], [*names, "batch"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(fold, f"{schema}, batch long")
+    return scans.greedy_batches(files.drop("sub_shard", "batch").withColumn("sub_shard", sub), [shard, "sub_shard"], [order, "size"], batch_size)
 
 
 def _keys(batched: DataFrame, shard: str) -> list[str]:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treesync.functions.shared import shared_folder
 from treesync.functions.paths import dirname, link_target, to_dest
+from treesync.operators import scans
 from treesync.schemas import LAST
 
 
@@ -56,34 +56,13 @@ def physical_order(files: DataFrame) -> DataFrame:
 
 
 def with_index(files: DataFrame, name: str = "plan_idx") -> DataFrame:
-    """``files`` with their 0-based position in physical order.
-
-    Rows are range-partitioned and numbered within each partition; the partitions' counts, one number each, give the offsets.
-    """
-    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    at = F.coalesce("physical_offset", F.lit(LAST))
-    ranged = files.withColumn("__at", at).repartitionByRange(n, "__at", "path").withColumn("__part", F.spark_partition_id())
-    shared_folder(files.sparkSession)
-    ranged = ranged.checkpoint()
-    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
-    w = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__before"))  # a row for each partition
-    inside = F.row_number().over(Window.partitionBy("__part").orderBy("__at", "path"))
-    return ranged.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__before") + inside - 1).drop("__at", "__part", "__before")
+    """``files`` with their 0-based position in physical order; one range exchange, and rows stay in their partitions."""
+    return scans.position(files, [], [F.coalesce("physical_offset", F.lit(LAST)), "path"], name)
 
 
 def index_within(rows: DataFrame, group: str, order: str, name: str) -> DataFrame:
-    """``rows`` with their 0-based position in their group; a large group is spread over range partitions, whose counts give the offsets."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shared_folder(rows.sparkSession)
-    ranged = rows.repartitionByRange(n, group, order).withColumn("__part", F.spark_partition_id()).checkpoint()
-    sizes = ranged.groupBy(F.col(group).alias("__group"), "__part").agg(F.count("*").alias("__n"))
-    w = Window.partitionBy("__group").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("__group", F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy("__part", group).orderBy(order))
-    numbered = ranged.withColumn("__i", inside)
-    found = numbered.join(offsets, F.col(group).eqNullSafe(F.col("__group")) & (F.col("__part") == F.col("__p")))
-    return found.withColumn(name, F.col("__before") + F.col("__i") - 1).drop("__part", "__i", "__group", "__p", "__before")
+    """``rows`` with their 0-based position in their group; a large group is spread over range partitions."""
+    return scans.position(rows, [group], [order], name)
 
 
 def links(planned: DataFrame, src_root: str, dst_root: str) -> DataFrame:

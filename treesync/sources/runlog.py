@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treesync.operators import scans
 from treesync.schemas import RUN_LOG
 
 
@@ -34,12 +35,6 @@ def summary(log: DataFrame, by: tuple[str, ...] = ("run",)) -> DataFrame:
 
 
 def progress(log: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """files_done and bytes_done so far, and their totals, within each of ``by``."""
-    so_far = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*by)
-    return log.withColumns({
-        "files_done": F.count("*").over(so_far),
-        "bytes_done": F.sum("size").over(so_far),
-        "files_total": F.count("*").over(whole),
-        "bytes_total": F.sum("size").over(whole),
-    })
+    """files_done and bytes_done so far, and their totals, within each of ``by``; a long run is spread over range partitions."""
+    rows = log.withColumn("__one", F.lit(1).cast("long"))
+    return scans.running_sums(rows, by, order, {"files_done": "__one", "bytes_done": "size"}, {"files_total": "files_done", "bytes_total": "bytes_done"}).drop("__one")
