@@ -1,12 +1,14 @@
 """Walks, hashes and whole runs over real trees, with failures."""
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
 from treesync.jobs import flows
-from treesync.sources import manifest, scan
+from treesync.operators import plan
+from treesync.sources import commits, manifest, runlog, scan
 
 
 def put(root, **files):
@@ -55,7 +57,7 @@ def test_hashes_and_failures(spark, tmp_path):
         scan.hash_files(df, "md5")
 
 
-def test_manifest_versions(spark, tmp_path):
+def test_manifest_commits(spark, tmp_path):
     path = str(tmp_path / "m")
     rows = lambda *r: spark.createDataFrame(list(r), "rel_path string, size long, source_hash string, status string")
     assert manifest.newest(spark, path).count() == 0
@@ -63,14 +65,77 @@ def test_manifest_versions(spark, tmp_path):
     manifest.record(rows(("b", 2, "y", "linked")), path)
     manifest.record(rows(("c", 3, None, "copied")), path)
     assert {(r["rel_path"], r["size"], r["status"]) for r in manifest.newest(spark, path).collect()} == {("a", 1, "copied"), ("b", 2, "linked"), ("c", 3, "copied")}
-    (tmp_path / "m" / "version=9").mkdir()  # begun, never committed
+    (tmp_path / "m" / "data" / "begun").mkdir()  # written by a job that died before its commit
+    (tmp_path / "m" / "log" / "000000000003.json.x.part").write_text("{")
     assert manifest.newest(spark, path).count() == 3
-    assert sorted(p.name for p in (tmp_path / "m").iterdir()) == ["version=1", "version=2", "version=9"]
+    for i in range(7):
+        manifest.record(rows((f"d{i}", i, None, "copied"), ("a", 10 + i, "x", "copied")), path, every=3)
+    found = {r["rel_path"]: r["size"] for r in manifest.newest(spark, path).collect()}
+    assert found == {"a": 16, "b": 2, "c": 3} | {f"d{i}": i for i in range(7)}
+    assert len(list((tmp_path / "m" / "state").glob("*.json"))) == 2 and min(int(p.name[:12]) for p in (tmp_path / "m" / "log").glob("*.json")) > 5  # merged ones are gone
+    manifest.save(rows(("z", 1, None, "copied")).withColumn("updated_at", F.lit(None).cast("timestamp")), path)
+    assert [r["rel_path"] for r in manifest.newest(spark, path).collect()] == ["z"]
     manifest.remove(spark, path)
     manifest.remove(spark, path)
     assert manifest.newest(spark, path).count() == 0
 
 
+def test_writers_at_once_lose_nothing(spark, tmp_path):
+    log = commits.CommitLog(spark, str(tmp_path / "log"), "id long")
+    with ThreadPoolExecutor(6) as pool:
+        numbers = list(pool.map(lambda i: log.append(spark.range(i, i + 1)), range(18)))
+    assert sorted(numbers) == list(range(18)) and sorted(r["id"] for r in log.rows().collect()) == list(range(18))
+    taken = [commits.put_if_absent(spark, str(tmp_path / "one.json"), str(i)) for i in range(3)]
+    assert taken == [True, False, False] and (tmp_path / "one.json").read_text() == "0"
+    assert log.checkpoint(lambda rows: rows) == 17 and log.rows().count() == 18
+
+
+def test_a_killed_run_is_resumed(spark, tmp_path, monkeypatch):
+    src, dst, record = tmp_path / "src", tmp_path / "dst", str(tmp_path / "m")
+    put(src, **{f"d{i % 3}__f{i:02}": "x" * 1000 + str(i // 2) for i in range(40)})
+    real, calls = manifest.record, []
+
+    def dies(*args, **more):
+        if len(calls) == 3:
+            raise KeyboardInterrupt
+        calls.append(real(*args, **more))
+
+    monkeypatch.setattr(manifest, "record", dies)
+    with pytest.raises(KeyboardInterrupt):
+        flows.run(spark, str(src), str(dst), record=record, commit_bytes=5 * 66_000)
+    monkeypatch.setattr(manifest, "record", real)
+    done = manifest.newest(spark, record).count()
+    assert 0 < done < 20 and [h["action"] for h in manifest.history(spark, record)] == ["copied"] * 3
+    again = flows.run(spark, str(src), str(dst), record=record, commit_bytes=5 * 66_000, log_to=str(tmp_path / "log"))
+    assert again.outcomes.where("action = 'copied'").count() == 20 - done and again.outcomes.where("action = 'linked'").count() == 20
+    assert again.checks.where("status = 'ok'").count() == 20 and again.exit_status() == 0  # those of the first run too
+    assert all((dst / p.relative_to(src)).read_text() == p.read_text() for p in src.rglob("f*")) and not os.path.exists(record)
+    assert {(r["action"], r["count"]) for r in runlog.read(spark, str(tmp_path / "log")).groupBy("action").count().collect()} == {("copied", 20 - done), ("linked", 20), ("skipped", done)}
+
+
+def test_no_room(spark, tmp_path):
+    put(tmp_path / "src", a="12345", b="54321", c="1")
+    room = lambda n: spark.createDataFrame([(str(tmp_path), n), ("/elsewhere", 0)], "volume string, available long")
+    with pytest.raises(flows.InsufficientSpace):
+        flows.run(spark, str(tmp_path / "src"), str(tmp_path / "dst"), volumes=room(10))
+    assert not (tmp_path / "dst").exists()
+    assert flows.run(spark, str(tmp_path / "src"), str(tmp_path / "dst"), volumes=room(11)).exit_status() == 0
+
+
+def test_sizes_are_checked_before_reading(spark, tmp_path):
+    put(tmp_path, a="abc", b="abc")
+    df = spark.createDataFrame([(str(tmp_path / "a"), 3), (str(tmp_path / "b"), 4), (str(tmp_path / "gone"), 3)], "path string, size long")
+    rows = {r["path"].rsplit("/")[-1]: (r["size"], r["hash"] is None, r["error"] is None) for r in scan.hash_files(df, expected="size").collect()}
+    assert rows == {"a": (3, False, True), "b": (3, True, False), "gone": (None, True, False)}
+
+
+def test_many_volumes(spark):
+    volumes = spark.range(20_000).selectExpr("concat('/v', id % 200, '/w', id) AS volume").unionByName(spark.createDataFrame([("/",), ("/v7/",), (None,), ("/v7/w7/x",)], "volume string"))
+    df = spark.createDataFrame([("/v7/w7/x/f",), ("/v7/w7/xy",), ("/v7/w8/z",), ("/v7",), ("rel/x",), (None,), ("/v199/w199/a/b/c",)], "path string")
+    got = {r["path"]: r["at"] for r in plan.with_volume(df, "path", volumes, "at").collect()}
+    assert got == {"/v7/w7/x/f": "/v7/w7/x", "/v7/w7/xy": "/v7/w7", "/v7/w8/z": "/v7", "/v7": "/", "rel/x": None, None: None, "/v199/w199/a/b/c": "/v199/w199"}
+
+
 def test_runs(spark, tmp_path):
     src, dst = tmp_path / "src", tmp_path / "dst"
     put(src, one="same", d__two="same", three="other!", four="abcd")

@@ -440,13 +440,21 @@ def mirror_run(spark: SparkSession, d: str) -> DataFrame:
     return _arrived(spark, dst, flows.run(spark, src, dst, incremental=True, delete=True))
 
 
+#: The copies of a run in batches of 1 MiB, a file counting 64 KiB beside its bytes: the first two batches are what a broken-off run commits.
+FIRST = """, o AS (SELECT rel_path, strlen(content) + 65536 AS weight, row_number() OVER (ORDER BY rel_path) AS i FROM p WHERE role <> 'duplicate'),
+b AS (SELECT i, rel_path, 0 AS batch, weight AS run FROM o WHERE i = 1
+  UNION ALL SELECT o.i, o.rel_path, CASE WHEN b.run >= 1048576 THEN b.batch + 1 ELSE b.batch END, CASE WHEN b.run >= 1048576 THEN o.weight ELSE b.run + o.weight END FROM b JOIN o ON o.i = b.i + 1)
+"""
+
+
 @query(
     "resumed_run",
-    ROLES.format(rows="true") + "SELECT rel_path, CASE WHEN doc_id % 4 = 0 THEN 'copied' WHEN role = 'duplicate' THEN 'linked' WHEN n_size > 1 THEN 'verified' ELSE 'copied' END AS status, CASE WHEN doc_id % 4 = 0 THEN 'skipped' WHEN role = 'duplicate' THEN 'linked' ELSE 'copied' END AS action FROM p",
+    ROLES.format(rows="true").replace("WITH", "WITH RECURSIVE") + FIRST + """SELECT rel_path, CASE WHEN role = 'duplicate' THEN 'linked' WHEN n_size > 1 THEN 'verified' ELSE 'copied' END AS status,
+    CASE WHEN batch < 2 THEN 'skipped' WHEN role = 'duplicate' THEN 'linked' ELSE 'copied' END AS action FROM p LEFT JOIN b USING (rel_path)""",
 )
 def resumed_run(spark: SparkSession, d: str) -> DataFrame:
-    src, record, first = _tree(spark, d), new_folder(spark, "manifest"), "doc_id % 4 = 0"
-    dst = _tree(spark, d, where=first)
-    manifest.record(view(spark, d, "tree_files").where(first).select("rel_path", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("source_hash"), F.lit("copied").alias("status")), record)
-    log = flows.run(spark, src, dst, record=record).log().select(paths.relative(F.col("path"), src).alias("rel_path"), "action")
+    """A run that ends after two commits, and the run that goes on from there."""
+    src, dst, record = _tree(spark, d), mounted(new_folder(spark, "resumed")), new_folder(spark, "manifest")
+    flows.run(spark, src, dst, record=record, commit_bytes=1 << 20, most_commits=2)
+    log = flows.run(spark, src, dst, record=record, keep_record=True).log().select(paths.relative(F.col("path"), src).alias("rel_path"), "action")
     return manifest.newest(spark, record).select("rel_path", "status").join(log, "rel_path", "full")

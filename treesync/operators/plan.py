@@ -73,24 +73,35 @@ def links(planned: DataFrame, src_root: str, dst_root: str) -> DataFrame:
     )
 
 
-def volume_of(path: Column, volumes: DataFrame) -> Column:
-    """The longest volume that holds the path; volumes are a short list, read once."""
-    names = F.array(*(F.lit(r["volume"].rstrip("/")) for r in volumes.select("volume").distinct().collect()))
-    parts = F.split(path, "/")
-    above = F.transform(F.sequence(F.size(parts) - 1, F.lit(1), F.lit(-1)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    return F.get(F.filter(above, lambda p: F.array_contains(names, p)), F.lit(0))
+def with_volume(rows: DataFrame, path: str, volumes: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the longest of ``volumes(volume, ...)`` that holds the column ``path``, by whole components; null if none does.
+
+    One left join for each depth at which there are volumes, deepest first: Spark broadcasts a short list and shuffles a
+    long one, and only the depths, a few small numbers, come to the driver. A volume '/' holds every absolute path.
+    """
+    known = volumes.select(F.regexp_replace("volume", "(?<=.)/+$", "").alias("__volume")).where("__volume is not null").distinct()
+    known = known.withColumn("__depth", F.when(F.col("__volume") == "/", 1).otherwise(F.size(F.split("__volume", "/"))))
+    out, parts = rows.withColumn(name, F.lit(None).cast("string")), F.split(F.col(path), "/")
+    for row in sorted(known.select("__depth").distinct().collect(), reverse=True):
+        depth = row["__depth"]
+        here = known.where(F.col("__depth") == depth).select(F.col("__volume"), F.when(F.col("__volume") == "/", "").otherwise(F.col("__volume")).alias("__above"))
+        above = F.when(F.size(parts) > depth, F.array_join(F.slice(parts, 1, depth), "/"))
+        out = out.withColumn("__above", above).join(here, "__above", "left").withColumn(name, F.coalesce(name, "__volume")).drop("__above", "__volume")
+    return out
 
 
 def link_method(linked: DataFrame, volumes: DataFrame, strategy: str = "hardlink", cow: bool = False, symlinks: bool = True) -> DataFrame:
     """``method`` of each link: cloned, linked (same volume), symlinked, or fallback_copied, whose bytes are written."""
-    same = F.coalesce(volume_of(F.col("dest_path"), volumes) == volume_of(F.col("canonical_dest"), volumes), F.lit(False))
+    placed = with_volume(with_volume(linked, "dest_path", volumes, "__at"), "canonical_dest", volumes, "__of")
+    same = F.coalesce(F.col("__at") == F.col("__of"), F.lit(False))
     method = F.when(F.lit(strategy == "clone" and cow), "cloned").when(same, "linked").when(F.lit(symlinks), "symlinked").otherwise("fallback_copied")
-    return linked.withColumn("method", method).withColumn("bytes_written", F.when(F.col("method") == "fallback_copied", F.col("size")).otherwise(F.lit(0)))
+    out = placed.withColumn("method", method).drop("__at", "__of")
+    return out.withColumn("bytes_written", F.when(F.col("method") == "fallback_copied", F.col("size")).otherwise(F.lit(0)))
 
 
 def capacity(planned: DataFrame, volumes: DataFrame, on: str = "path") -> DataFrame:
     """needed and available bytes of each volume; insufficient only where the capacity is known to be too small."""
-    need = copy_set(planned).withColumn("volume", volume_of(F.col(on), volumes)).groupBy("volume").agg(F.sum("size").alias("needed"))
+    need = with_volume(copy_set(planned).select(on, "size"), on, volumes, "volume").groupBy("volume").agg(F.sum("size").alias("needed"))
     return need.join(volumes, "volume", "left").select("volume", "needed", "available", F.coalesce(F.col("available") < F.col("needed"), F.lit(False)).alias("insufficient"))
 
 

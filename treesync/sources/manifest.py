@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treesync.functions.shared import committed, remove_folder
 from treesync.schemas import MANIFEST, MANIFEST_DOC
-from treesync.sources.cache import upsert
+from treesync.sources.commits import TURN, CommitLog
 
 
 def load(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
@@ -17,42 +16,53 @@ def load(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     return rows.select(F.col("e.key").alias("rel_path"), "e.value.size", "e.value.source_hash", "e.value.status", "e.value.updated_at")
 
 
-def save(manifest: DataFrame, path: str, keep: int = 2) -> str:
-    """Write a new version beside earlier ones and return its folder; a reader never sees half a manifest.
+#: A checkpoint merges the commits of a manifest once there are so many since the last one.
+CHECKPOINT_EVERY = 20
 
-    Versions are numbered, and the newest one whose writing ended is the manifest. Of two writers at once the second fails.
-    The last ``keep`` versions stay.
-    """
-    spark, path = manifest.sparkSession, path.rstrip("/")
-    have = committed(spark, path, "version")
-    version = f"{path}/version={have[-1] + 1 if have else 0}"
-    manifest.withColumn("updated_at", F.coalesce("updated_at", F.current_timestamp())).write.mode("errorifexists").parquet(version)
-    for old in have[: len(have) + 1 - keep]:
-        remove_folder(spark, f"{path}/version={old}")
-    return version
+
+def _log(spark: SparkSession, path: str) -> CommitLog:
+    return CommitLog(spark, path, MANIFEST)
+
+
+def _last_wins(rows: DataFrame) -> DataFrame:
+    """The row of the last commit for each path; of several in one commit, one that the newest time, then the greatest values decide."""
+    order = F.struct(TURN, "updated_at", "size", "source_hash", "status")
+    last = rows.groupBy("rel_path").agg(F.max_by(F.struct("size", "source_hash", "status", "updated_at"), order).alias("last"))
+    return last.select("rel_path", "last.*")
 
 
-def load_version(spark: SparkSession, version: str) -> DataFrame:
-    return spark.read.schema(MANIFEST).parquet(version)
+def save(manifest: DataFrame, path: str) -> int:
+    """Replace the whole manifest by one commit and return its number; a reader sees the old one or the new one."""
+    rows = manifest.withColumn("updated_at", F.coalesce("updated_at", F.current_timestamp()))
+    return _log(manifest.sparkSession, path).append(rows, whole=True)
 
 
 def newest(spark: SparkSession, path: str) -> DataFrame:
-    """The manifest: its newest version, or no rows where there is none."""
-    have = committed(spark, path.rstrip("/"), "version")
-    return load_version(spark, f"{path.rstrip('/')}/version={have[-1]}") if have else spark.createDataFrame([], MANIFEST)
+    """The manifest as all commits make it, or no rows where there is none."""
+    return _last_wins(_log(spark, path).rows())
+
+
+def record(rows: DataFrame, path: str, meta: dict | None = None, every: int = CHECKPOINT_EVERY) -> int:
+    """Commit ``rows(rel_path, size, source_hash, status)``, which replace those of the same path; the number of the commit.
+
+    Writes those rows only. Every ``every`` commits a checkpoint merges what there is. Writers at once each get a number of
+    their own, and what a writer committed stays, whatever becomes of it afterwards.
+    """
+    log = _log(rows.sparkSession, path)
+    number = log.append(rows.select("rel_path", "size", "source_hash", "status", F.current_timestamp().alias("updated_at")), meta)
+    if (number + 1) % every == 0:
+        log.checkpoint(_last_wins)
+    return number
 
 
-def record(rows: DataFrame, path: str) -> str:
-    """A new version in which ``rows(rel_path, size, source_hash, status)`` replace those of the same path."""
-    spark = rows.sparkSession
-    new = rows.select("rel_path", "size", "source_hash", "status", F.current_timestamp().alias("updated_at"), F.lit(1).alias("__turn"))
-    old = newest(spark, path).withColumn("__turn", F.lit(0))
-    return save(upsert(old, new, "rel_path", ["__turn"]).drop("__turn"), path)
+def history(spark: SparkSession, path: str) -> list[dict]:
+    """What the commits since the last checkpoint say of themselves, in order."""
+    return [{"number": c.number, **c.meta} for c in _log(spark, path).commits()]
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    """Drop a manifest with all its versions; one that isn't there is no error."""
-    remove_folder(spark, path)
+    """Drop a manifest with all its commits; one that isn't there is no error."""
+    _log(spark, path).remove()
 
 
 def export_json(manifest: DataFrame) -> DataFrame:

@@ -132,9 +132,11 @@ def _hasher(algorithm: str):
     raise ValueError(f"unknown algorithm {algorithm}; known are {', '.join(LENGTHS)}")
 
 
-def hash_files(files: DataFrame, algorithm: str = "sha256", tasks: int | None = None) -> DataFrame:
+def hash_files(files: DataFrame, algorithm: str = "sha256", tasks: int | None = None, expected: str | None = None) -> DataFrame:
     """path, size, hash_algo, hash (hexadecimal), error of each row's ``path``; a file that can't be read has ``error`` and no hash.
 
+    ``expected`` names a column of sizes: a file of another size isn't read and has its size, ``error`` and no hash.
+
     Files of any size are read in chunks, where they lie, so content never shuffles and memory doesn't grow with a file.
     Paths are those of a mounted file system, or URIs that Arrow opens. A null path is a failure. Repeated paths are hashed
     once a row. Rows are dealt by path, for a listing often has neighbours of like size.
@@ -147,11 +149,14 @@ def hash_files(files: DataFrame, algorithm: str = "sha256", tasks: int | None =
         new = _hasher(algorithm)
         for batch in batches:
             rows = []
-            for path in batch["path"]:
+            for path, want in zip(batch["path"], batch["expected"], strict=True):
                 state, size = new(), 0
                 try:
                     plain = mounted(path) if path.startswith(("/", "file:")) else None
                     at, name = (fs.LocalFileSystem(), plain) if plain else fs.FileSystem.from_uri(path)
+                    if expected and (found := at.get_file_info(name)).type == fs.FileType.File and found.size != want:
+                        rows.append((path, found.size, algorithm, None, "another size"))
+                        continue
                     with at.open_input_stream(name, compression=None) as source:
                         while chunk := source.read(CHUNK):
                             state.update(chunk)
@@ -162,4 +167,5 @@ def hash_files(files: DataFrame, algorithm: str = "sha256", tasks: int | None =
             yield pd.DataFrame(rows, columns=["path", "size", "hash_algo", "hash", "error"]).astype({"size": "Int64"})
 
     n = tasks or files.sparkSession.sparkContext.defaultParallelism * 4
-    return files.select("path").repartition(n, "path").mapInPandas(digests, "path string, size long, hash_algo string, hash string, error string")
+    size = F.col(expected) if expected else F.lit(None)
+    return files.select("path", size.cast("long").alias("expected")).repartition(n, "path").mapInPandas(digests, "path string, size long, hash_algo string, hash string, error string")
