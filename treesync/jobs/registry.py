@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -111,13 +112,19 @@ def manifest_save(spark: SparkSession, d: str) -> DataFrame:
     return manifest.newest(spark, folder).select("rel_path", "size", "source_hash", "status")
 
 
-_over(
-    "hash_cache", "cache_table",
-    "SELECT path, size, mtime, hash, algo FROM (SELECT *, CASE WHEN seq = 1 THEN 'blake3' ELSE algo END AS a FROM hash_cache) WHERE a = 'blake3' OR size % 3 <> 0",
-    lambda x: cache.decodable(
-        x.withColumn("algo", F.when(F.col("seq") == 1, "blake3").when(F.col("size") % 3 == 0, "md5").otherwise("sha256")).withColumn("hash", hashing.from_hex(F.col("hash")))
-    ).select("path", "size", "mtime", hashing.to_hex(F.col("hash")).alias("hash"), F.lit("sha256").alias("algo")),
-)
+def _cache_table(spark: SparkSession, rows: DataFrame) -> str:
+    """A bucketed table with a name of its own."""
+    name = f"hash_cache__{uuid.uuid4().hex}"
+    cache.write(rows, name, 8)
+    return name
+
+
+@query("cache_table", "SELECT path, size, mtime, hash, algo FROM (SELECT *, CASE WHEN seq = 1 THEN 'blake3' ELSE algo END AS a FROM hash_cache) WHERE a = 'blake3' OR size % 3 <> 0")
+def cache_table(spark: SparkSession, d: str) -> DataFrame:
+    """Written to a bucketed table and read from it; rows of an unknown algorithm are left out."""
+    algo = F.when(F.col("seq") == 1, "blake3").when(F.col("size") % 3 == 0, "md5").otherwise("sha256")
+    name = _cache_table(spark, view(spark, d, "hash_cache").withColumn("algo", algo).withColumn("hash", hashing.from_hex(F.col("hash"))))
+    return cache.read(spark, name).select("path", "size", "mtime", hashing.to_hex(F.col("hash")).alias("hash"), F.lit("sha256").alias("algo"))
 
 
 @query("run_log_write", "SELECT run, seq, action, path, size FROM run_log")
@@ -211,11 +218,13 @@ query("apply_deletes", "SELECT path FROM dst_files WHERE substring(path, 6) IN (
 
 
 def _lookup(spark: SparkSession, d: str) -> DataFrame:
-    newest = view(spark, d, "hash_cache").where("seq = 2")
-    return cache.lookup(view(spark, d, "src_files"), newest)
+    """Against a bucketed table of all cache rows, the last of each path staying."""
+    rows = view(spark, d, "hash_cache")
+    name = cache.renew(spark, _cache_table(spark, rows.where("seq = 1")), rows.where("seq = 2"), ["seq"], 8)
+    return cache.lookup(view(spark, d, "src_files").drop("content"), spark.table(name))
 
 
-LOOKUP = "WITH l AS (SELECT s.path, s.size, s.hash, c.hash AS cached FROM src_files s LEFT JOIN (SELECT * FROM hash_cache WHERE seq = 2) c ON s.path = c.path AND s.size = c.size AND s.modified_epoch = c.mtime)"
+LOOKUP = "WITH l AS (SELECT s.path, s.size, s.hash, c.hash AS cached FROM src_files s LEFT JOIN (SELECT * FROM hash_cache QUALIFY row_number() OVER (PARTITION BY path ORDER BY seq DESC) = 1) c ON s.path = c.path AND s.size = c.size AND s.modified_epoch = c.mtime)"
 query("cache_lookup", LOOKUP + "SELECT path, coalesce(cached, hash) AS hash, cached IS NOT NULL AS cache_hit FROM l")(lambda spark, d: _lookup(spark, d).select("path", F.coalesce("cached_hash", "hash").alias("hash"), "cache_hit"))
 query("hash_stats", LOOKUP + "SELECT count(*) FILTER (cached IS NULL AND size % 50 <> 0) AS files_hashed, cast(sum(size) FILTER (cached IS NULL AND size % 50 <> 0) AS bigint) AS bytes_hashed, count(cached) AS cache_hits, count(*) FILTER (size % 50 = 0 AND cached IS NULL) AS errors FROM l")(
     lambda spark, d: hashing.stats(

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treesync.functions.paths import relative, to_dest
+from treesync.functions.shared import staged
+from treesync.operators.hot import join_classes
 from treesync.operators.plan import index_within
 from treesync.schemas import LAST
 
@@ -33,19 +35,29 @@ def plan(files: DataFrame, src_root: str, dst_root: str, dedup: bool = True) ->
     """FILES with rel_path, dest_path, role {unique, canonical, duplicate, unhashed}, group_id and canonical_path; every row once.
 
     Files of a size of their own are unique and lose their hash (they need none); files that could not be hashed are
-    ``unhashed``. Without ``dedup`` all are unique.
+    ``unhashed``. A file of unknown size is ``unhashed`` without a hash, and else unique. Each content has one canonical row, also
+    where its path is listed twice. Without ``dedup`` all are unique.
+
+    Rows are staged once (leave content out). Sizes and contents are counted before they shuffle; those with many rows are
+    broadcast, so one empty file that makes up a third of the rows is no large task.
     """
     paths = {"rel_path": relative(F.col("path"), src_root), "dest_path": to_dest(F.col("path"), src_root, dst_root)}
     if not dedup:
         return files.withColumns(paths | {"role": F.lit("unique"), "group_id": F.lit(None).cast("string"), "canonical_path": F.lit(None).cast("string")})
-    sizes = files.groupBy("size").agg(F.count("*").alias("same_size"))
-    joined = files.join(sizes, "size").join(hash_groups(files), KEY, "left")
-    role = (
-        F.when(F.col("same_size") == 1, "unique").when(F.col("hash").isNull(), "unhashed").when(F.col("canonical_path").isNull(), "unique")
-        .when(F.col("canonical_path") == F.col("path"), "canonical").otherwise("duplicate")
-    )
-    out = joined.withColumn("role", role).withColumn("group_id", F.when(F.col("canonical_path").isNotNull(), F.concat_ws(":", "hash_algo", "hash")))
-    return out.withColumn("hash", F.when(F.col("same_size") > 1, F.col("hash"))).drop("same_size", "members").withColumns(paths)
+    rows = staged(files.withColumn("__row", F.monotonically_increasing_id()), "plan-rows")
+    sizes = staged(rows.where("size is not null").groupBy("size").agg(F.count("*").alias("same_size")), "sizes")
+    first = F.min(F.struct(F.coalesce("physical_offset", F.lit(LAST)).alias("at"), "path", "__row"))
+    contents = rows.where("hash is not null").groupBy(*KEY).agg(F.count("*").alias("weight"), first.alias("first")).where("weight > 1")
+    contents = staged(contents.select(*KEY, "weight", F.col("first.path").alias("canonical_path"), F.col("first.__row").alias("__canonical")), "contents")
+    # A file whose content has another is no longer in question, so sizes are looked up for the others only.
+    known = staged(join_classes(rows, contents, KEY), "plan-contents")
+    alone = known.where("__canonical is null")
+    single = F.when(F.col("hash").isNull(), "unhashed").otherwise("unique")
+    judged = join_classes(alone, sizes.withColumn("weight", F.col("same_size")), ["size"]).withColumn("role", F.when(F.col("same_size") == 1, "unique").otherwise(single))
+    judged = judged.withColumn("hash", F.when(F.coalesce("same_size", F.lit(2)) > 1, F.col("hash"))).drop("same_size")
+    grouped = known.where("__canonical is not null").withColumn("role", F.when(F.col("__row") == F.col("__canonical"), "canonical").otherwise("duplicate"))
+    out = judged.unionByName(grouped).withColumn("group_id", F.when(F.col("canonical_path").isNotNull(), F.concat_ws(":", "hash_algo", "hash")))
+    return out.select(*files.columns, "canonical_path", "role", "group_id").withColumns(paths)
 
 
 def stats(planned: DataFrame) -> DataFrame:
@@ -58,17 +70,6 @@ def stats(planned: DataFrame) -> DataFrame:
     )
 
 
-def nested_groups(planned: DataFrame, max_members: int | None = None) -> DataFrame:
-    """canonical, duplicates (ordered array) of each group, for export; groups of ``max_members`` or more are left to ``group_chunks``."""
-    members = planned.where("role = 'duplicate'")
-    out = members.groupBy(F.col("canonical_path").alias("canonical")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("path")).alias("duplicates"))
-    if max_members is not None:
-        small = members.groupBy(F.col("canonical_path").alias("canonical")).count().where(F.col("count") < max_members).select("canonical")
-        rest = members.withColumn("canonical", F.col("canonical_path")).join(small, "canonical", "left_semi")
-        out = rest.groupBy("canonical").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("path")).alias("duplicates"))
-    return out.drop("n")
-
-
 def group_chunks(planned: DataFrame, chunk_size: int = 50) -> DataFrame:
     """canonical, chunk, duplicates (ordered array of at most ``chunk_size``) of every group, however large."""
     members = planned.where("role = 'duplicate'").select(F.col("canonical_path").alias("canonical"), "path")
