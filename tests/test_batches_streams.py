@@ -47,20 +47,51 @@ def test_unknown_sizes_are_present(spark):
     assert verify.check(planned, there).first()["status"] == "size_mismatch"
 
 
+def arrivals(spark, folder, rows, batches):
+    for i in range(batches):
+        rows.where(F.col("n") % batches == i).drop("n").coalesce(1).write.mode("append").parquet(str(folder))
+    return lambda: spark.readStream.schema(rows.drop("n").schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
 def test_many_micro_batches(spark, tmp_path):
-    rows = [(f"/s/{i:03}", i % 7, "sha256", f"h{i % 7}", None) for i in range(50)]
-    df = spark.createDataFrame(rows, "path string, size long, hash_algo string, hash string, physical_offset long")
-    for i in range(25):
-        df.where((F.col("path") >= f"/s/{2 * i:03}") & (F.col("path") < f"/s/{2 * i + 2:03}")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    streams.dedup(stream, str(tmp_path / "table"), str(tmp_path / "state")).awaitTermination()
+    rows = [(f"/s/{i:03}", i % 7, "sha256", f"h{i % 7}", None, i // 2) for i in range(100)] + [("/s/null", None, None, None, None, 3), ("/s/000", 0, "sha256", "h0", None, 8), ("/s/000", 0, "sha256", "h0", None, 8), ("/s/a", 5, "sha256", "h0", None, 9)]
+    df = spark.createDataFrame(rows, "path string, size long, hash_algo string, hash string, physical_offset long, n int")
+    stream = arrivals(spark, tmp_path / "in", df, 50)
+    query = streams.dedup(stream(), str(tmp_path / "table"), str(tmp_path / "state"))
+    query.awaitTermination()
     out = spark.read.parquet(str(tmp_path / "table" / "files"))
-    assert out.count() == 50 and out.where("role = 'canonical'").count() == 7
-    assert len(list((tmp_path / "table" / "canonicals").glob("batch=*"))) == 25  # one compaction so far, at 20
-    assert [p.name for p in (tmp_path / "table" / "canonicals").glob("upto=*")] == ["upto=20"]
-    again = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    streams.cache_upsert(again, str(tmp_path / "cache"), str(tmp_path / "state2"), "hash", ("path",), every=4).awaitTermination()
-    state = streams.cache_state(spark, str(tmp_path / "cache"), df.schema, "hash", ("path",))
-    assert {r["hash"]: r["path"] for r in state.collect()} == {f"h{k}": max(p for p, _, _, h, _ in rows if h == f"h{k}") for k in range(7)}
-    assert sorted(int(p.name[6:]) for p in (tmp_path / "cache").glob("batch=*")) == list(range(20, 25))  # older ones are in upto=20 and 24
-    assert sorted(p.name for p in (tmp_path / "cache").glob("upto=*")) == ["upto=20", "upto=24"]
+    assert out.count() == 104 and spark.read.parquet(str(tmp_path / "table" / "canonicals")).count() == 8
+    by = {}
+    for r in out.collect():
+        by.setdefault((r["batch"], r["path"]), []).append((r["role"], r["canonical_path"]))
+    firsts = {f"h{k}": f"/s/{k:03}" for k in range(7)}
+    assert all(by[i // 2, p][0] == ("canonical" if i < 7 else "duplicate", firsts[h]) for i, (p, _, _, h, _, _) in enumerate(rows[:100]))
+    assert by[3, "/s/null"] == [("unhashed", None)] and sorted(by[8, "/s/000"]) == [("canonical", "/s/000"), ("duplicate", "/s/000")] and by[9, "/s/a"] == [("canonical", "/s/a")]
+    assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", "")
+    read = [p.stateOperators[0].numRowsUpdated for p in query.recentProgress if p.stateOperators and p.numInputRows]
+    assert len(read) == 50 and max(read[10:]) <= 1 and query.recentProgress[-1].stateOperators[0].numRowsTotal == 8  # what a batch touches, and all that is kept
+
+
+def test_a_batch_that_runs_again(spark, tmp_path):
+    rows = [(f"/s/{i:03}", 1, "sha256", f"h{i % 5}", None, i // 10) for i in range(40)]
+    df = spark.createDataFrame(rows, "path string, size long, hash_algo string, hash string, physical_offset long, n int")
+    stream = arrivals(spark, tmp_path / "in", df, 4)
+    table, state = str(tmp_path / "table"), str(tmp_path / "state")
+    streams.dedup(stream(), table, state).awaitTermination()
+    want = sorted(map(str, spark.read.parquet(f"{table}/files").collect()))
+    last = max(int(p.name) for p in (tmp_path / "state" / "commits").glob("[0-9]*"))
+    for name in (str(last), f".{last}.crc"):  # died after its output, before its commit
+        (tmp_path / "state" / "commits" / name).unlink(missing_ok=True)
+    streams.dedup(stream(), table, state).awaitTermination()
+    assert sorted(map(str, spark.read.parquet(f"{table}/files").collect())) == want
+
+
+def test_merged_parts(spark, tmp_path):
+    rows = [(f"/s/{i % 9}", i, i, i) for i in range(45)]
+    df = spark.createDataFrame(rows, "path string, size long, seq int, n int")
+    stream = arrivals(spark, tmp_path / "in", df, 45)
+    streams.cache_upsert(stream(), str(tmp_path / "cache"), str(tmp_path / "state"), every=4).awaitTermination()
+    state = streams.cache_state(spark, str(tmp_path / "cache"), df.drop("n").schema)
+    assert {r["path"]: r["seq"] for r in state.collect()} == {f"/s/{i % 9}": i for i in range(36, 45)}
+    have = sorted(str(p.relative_to(tmp_path / "cache")) for p in (tmp_path / "cache").rglob("_SUCCESS"))
+    assert have == sorted(f"{p}/_SUCCESS" for p in ("batch=44", "of=16/part=0", "of=16/part=1", "of=4/part=10", "of=4/part=8", "of=4/part=9"))  # 0-15, 16-31, 32-43, 44

@@ -52,11 +52,16 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     fs.delete(folder, True)
 
 
-def committed(spark: SparkSession, path: str, name: str) -> list[int]:
-    """The numbers of the folders ``name=<number>`` below ``path`` whose writing ended, in order; a folder that isn't there has none."""
+def numbered(spark: SparkSession, path: str, name: str) -> list[int]:
+    """The numbers of the folders ``name=<number>`` below ``path``, in order; a folder that isn't there has none."""
     fs, folder = _hadoop(spark, path)
     if not fs.exists(folder):
         return []
     found = [re.fullmatch(rf"{name}=(\d+)", s.getPath().getName()) for s in fs.listStatus(folder)]
-    done = lambda text: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}={text}/_SUCCESS"))
-    return sorted(int(m.group(1)) for m in found if m and done(m.group(1)))
+    return sorted(int(m.group(1)) for m in found if m)
+
+
+def committed(spark: SparkSession, path: str, name: str) -> list[int]:
+    """Those of ``numbered`` whose writing ended."""
+    fs, _ = _hadoop(spark, path)
+    return [n for n in numbered(spark, path, name) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}={n}/_SUCCESS"))]

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.types import StructType
 
-from treesync.functions.shared import committed, remove_folder
-from treesync.operators.dedup import scan_order
+from treesync.functions.shared import committed, numbered, remove_folder
+from treesync.operators.hot import join_classes
+from treesync.schemas import LAST
 from treesync.sources import cache, runlog
 
 
@@ -24,27 +27,58 @@ def progress(stream: DataFrame) -> DataFrame:
     return stream.groupBy("run", "phase").agg(F.max("progress.files_done").alias("files_done"), F.max("progress.bytes_done").alias("bytes_done"))
 
 
-def _so_far(spark: SparkSession, table: str, batch: int, schema: StructType) -> DataFrame:
-    """What the batches before ``batch`` wrote: the newest compacted part up to it, and the batches since."""
-    parts = [n for n in committed(spark, table, "upto") if n <= batch]
-    whole = StructType([*schema.fields, StructField("batch", LongType())])
-    out = spark.read.schema(schema).parquet(f"{table}/upto={parts[-1]}") if parts else spark.createDataFrame([], schema)
-    since = [f"{table}/batch={n}" for n in committed(spark, table, "batch") if (parts[-1] if parts else 0) <= n < batch]
-    if since:
-        out = out.unionByName(spark.read.schema(whole).option("basePath", table).parquet(*since).drop("batch"))
+#: Keeps a stream's state on disk, a look-up a key, with a log of changes as its checkpoint.
+ROCKSDB = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+def _start_on_rocksdb(spark: SparkSession, start: Callable[[], StreamingQuery]) -> StreamingQuery:
+    """Start a query with its state in RocksDB: a query takes the settings that hold as it starts."""
+    before = {k: spark.conf.get(k, None) for k in ROCKSDB}
+    for k, v in ROCKSDB.items():
+        spark.conf.set(k, v)
+    try:
+        return start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _parts(spark: SparkSession, table: str) -> list[tuple[int, int, str]]:
+    """(first batch, end, folder) of the whole parts of a table, the largest at each place, in order: batches, and merged ones that replace them."""
+    have = [(n, n + 1, f"{table}/batch={n}") for n in committed(spark, table, "batch")]
+    for level in numbered(spark, table, "of"):
+        have += [(n * level, (n + 1) * level, f"{table}/of={level}/part={n}") for n in committed(spark, f"{table}/of={level}", "part")]
+    out, at = [], 0
+    for first, end, folder in sorted(have, key=lambda p: (p[0], -p[1])):
+        if first >= at:
+            out.append((first, end, folder))
+            at = end
     return out
 
 
-def _compact(spark: SparkSession, table: str, batch: int, every: int, schema: StructType, merge: Callable[[DataFrame], DataFrame]) -> None:
-    """At each ``every``-th batch, one compacted part of all before it; what the part before the last one holds is removed. A batch that runs again does the same."""
-    if batch == 0 or batch % every:
-        return
-    parts = [n for n in committed(spark, table, "upto") if n < batch]
-    merge(_so_far(spark, table, batch - 1, schema).unionByName(spark.read.schema(schema).parquet(f"{table}/batch={batch - 1}"))).write.mode("overwrite").parquet(f"{table}/upto={batch}")
-    if parts:
-        for name, numbers in (("batch", [n for n in committed(spark, table, "batch") if n < parts[-1]]), ("upto", parts[:-1])):
-            for n in numbers:
-                remove_folder(spark, f"{table}/{name}={n}")
+def _rows(spark: SparkSession, parts: list[tuple[int, int, str]], schema: StructType) -> DataFrame:
+    return spark.read.schema(schema).parquet(*(p for *_, p in parts)) if parts else spark.createDataFrame([], schema)
+
+
+def _merge(spark: SparkSession, table: str, batch: int, every: int, schema: StructType, merge: Callable[[DataFrame], DataFrame]) -> None:
+    """Before batch ``batch`` is written: where it ends a run of ``every`` batches, merge those into one part; where that ends a run of ``every`` parts, merge these too, and so on.
+
+    So a row is rewritten once a level, and there are as many levels as the logarithm of the number of batches. What was merged is
+    removed once its part is whole and the next batch has begun. A batch that runs again does the same.
+    """
+    size = every
+    while batch and batch % size == 0:
+        first = batch - size
+        below = [p for p in _parts(spark, table) if first <= p[0] and p[1] <= batch]
+        done = f"{table}/of={size}/part={first // size}"
+        if [p[2] for p in below] != [done]:
+            merge(_rows(spark, below, schema)).write.mode("overwrite").parquet(done)
+            for *_, folder in below:
+                remove_folder(spark, folder)
+        size *= every
 
 
 def _newest_rows(rows: DataFrame, key: str, order: tuple[str, ...]) -> DataFrame:
@@ -54,12 +88,12 @@ def _newest_rows(rows: DataFrame, key: str, order: tuple[str, ...]) -> DataFrame
 def cache_upsert(stream: DataFrame, table: str, checkpoint: str, key: str = "path", order: tuple[str, ...] = ("seq",), every: int = 20) -> StreamingQuery:
     """Each micro-batch adds its newest row per key to ``table``; ``cache_state`` gives the newest of all.
 
-    A batch writes its own rows only. Every ``every`` batches earlier ones are merged into one part, so the work of a batch
-    grows with the table at those alone. Batches that run again overwrite what they wrote.
+    A batch writes its own rows only. ``every`` batches are merged into one part, ``every`` parts into a larger one, and so on, so a
+    row is written once a level. Batches that run again overwrite what they wrote.
     """
 
     def put(rows: DataFrame, batch: int) -> None:
-        _compact(rows.sparkSession, table, batch, every, rows.schema, lambda all_rows: _newest_rows(all_rows, key, order))
+        _merge(rows.sparkSession, table, batch, every, rows.schema, lambda all_rows: _newest_rows(all_rows, key, order).select(*rows.columns))
         _newest_rows(rows, key, order).select(*rows.columns).write.mode("overwrite").parquet(f"{table}/batch={batch}")
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -67,28 +101,63 @@ def cache_upsert(stream: DataFrame, table: str, checkpoint: str, key: str = "pat
 
 def cache_state(spark: SparkSession, table: str, schema: StructType, key: str = "path", order: tuple[str, ...] = ("seq",)) -> DataFrame:
     """The row of the last order for each key, over all batches whose writing ended."""
-    done = committed(spark, table, "batch")
-    return _newest_rows(_so_far(spark, table, done[-1] + 1 if done else 0, schema), key, order)
+    return _newest_rows(_rows(spark, _parts(spark, table), schema), key, order)
+
+
+KEY = ["size", "hash_algo", "hash"]
 
 
-def dedup(stream: DataFrame, table: str, checkpoint: str, every: int = 20) -> StreamingQuery:
+def _first_seen(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The canonical path of a content: the one in the state, else the least in scan order of what arrives now, which goes there."""
+    if state.exists:
+        (path,), new = state.get, False
+        for _ in frames:
+            pass
+    else:
+        least = None
+        for frame in frames:
+            for at, mine in zip(frame["at"], frame["mine"], strict=True):
+                least = (at, mine) if least is None or (at, mine) < least else least
+        path, new = least[1], True
+        state.update((path,))
+    yield pd.DataFrame({"size": [key[0]], "hash_algo": [key[1]], "hash": [key[2]], "canonical_path": [path], "new": [new]})
+
+
+def _local_firsts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of the contents of an Arrow batch, the first file of each, so that many copies are few rows before they meet."""
+    for rows in batches:
+        yield rows.sort_values(["at", "mine"]).drop_duplicates(KEY)
+
+
+def dedup(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     """Arriving files against all earlier content: the first file seen of a content stays canonical for ever.
 
-    A batch reads the canonical rows of the batches before it and appends its own: ``canonicals/batch=n`` holds the contents that
-    were new, ``files/batch=n`` each file with its role and canonical path. Every ``every`` batches earlier canonicals are
-    merged into one part. Batches that run again overwrite what they wrote.
+    The canonical path of every content is keyed state in RocksDB: a batch looks up the contents that arrive in it and no others, so
+    its work grows with it and not with all that was seen. ``files/batch=n`` has each file with its role and canonical path,
+    ``canonicals/batch=n`` the contents that were new. A path that arrives again with the content whose canonical it is is
+    canonical again, once in a batch; other repeats are duplicates. Files of unknown size or hash are ``unhashed``. Batches that run again,
+    from the state before them, overwrite what they wrote.
     """
-    key = ["size", "hash_algo", "hash"]
+    files = stream.schema
+    known = stream.where("hash is not null and size is not null and hash_algo is not null")
+    firsts = known.select(*KEY, F.coalesce("physical_offset", F.lit(LAST)).alias("at"), F.col("path").alias("mine"))
+    firsts = firsts.mapInPandas(_local_firsts, firsts.schema)
+    found = firsts.groupBy(*KEY).applyInPandasWithState(_first_seen, "size long, hash_algo string, hash string, canonical_path string, new boolean", "canonical_path string", "append", "NoTimeout")
+    arrived = stream.select(F.struct(*files.fieldNames()).alias("file"))
+    both = found.select(F.lit(None).cast(arrived.schema["file"].dataType).alias("file"), F.struct(*found.columns).alias("found")).unionByName(arrived.withColumn("found", F.lit(None).cast(found.schema)))
 
     def put(rows: DataFrame, batch: int) -> None:
-        spark = rows.sparkSession
-        first = rows.where("hash is not null").groupBy(*key).agg(F.min(scan_order()).alias("first")).select(*key, F.col("first.path").alias("mine"))
-        kept = first.withColumnRenamed("mine", "canonical_path").schema
-        _compact(spark, f"{table}/canonicals", batch, every, kept, lambda all_rows: all_rows)
-        old = _so_far(spark, f"{table}/canonicals", batch, kept)
-        merged = first.join(old, key, "left").select(*key, F.coalesce("canonical_path", "mine").alias("canonical_path"), F.col("canonical_path").isNull().alias("new"))
-        merged.where("new").drop("new").write.mode("overwrite").parquet(f"{table}/canonicals/batch={batch}")
-        roles = F.when(F.col("hash").isNull(), "unhashed").when(F.col("canonical_path") == F.col("path"), "canonical").otherwise("duplicate")
-        rows.join(merged.drop("new"), key, "left").withColumn("role", roles).write.mode("overwrite").parquet(f"{table}/files/batch={batch}")
-
-    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        spark, part = rows.sparkSession, f"{table}/arrived/batch={batch}"
+        rows.write.mode("overwrite").parquet(part)
+        rows = spark.read.schema(rows.schema).parquet(part)
+        contents = rows.where("found is not null").select("found.*")
+        contents.where("new").drop("new").write.mode("overwrite").parquet(f"{table}/canonicals/batch={batch}")
+        mine = rows.where("found is null").select("file.*").withColumn("__row", F.monotonically_increasing_id())
+        counted = mine.where("hash is not null").groupBy(*KEY).agg(F.count("*").alias("weight")).join(contents.drop("new"), KEY)
+        again = mine.groupBy("path", *KEY).agg(F.min("__row").alias("__row")).withColumn("__first", F.lit(True))
+        joined = join_classes(mine.join(again, ["path", *KEY, "__row"], "left"), counted, KEY)
+        roles = F.when(F.col("canonical_path").isNull(), "unhashed").when((F.col("canonical_path") == F.col("path")) & F.col("__first"), "canonical").otherwise("duplicate")
+        joined.withColumn("role", roles).select(*files.fieldNames(), "canonical_path", "role").write.mode("overwrite").parquet(f"{table}/files/batch={batch}")
+        remove_folder(spark, part)
+
+    return _start_on_rocksdb(stream.sparkSession, lambda: both.writeStream.foreachBatch(put).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
