@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treesync.functions import globs, hashing, paths
-from treesync.functions.shared import mounted, new_folder
+from treesync.functions.shared import mounted, new_folder, staged
 from treesync.jobs import flows
 from treesync.jobs.fixtures import view, with_views, write_tree
 from treesync.operators import batches, dedup, delta, plan, verify
-from treesync.sources import cache, listing, manifest, runlog, scan, store
+from treesync.sources import cache, listing, manifest, runlog, scan, store, tree
 from treesync.streaming import streams
 
 SRC, DST = "/src", "/dst"
@@ -62,6 +62,23 @@ def _tree(spark: SparkSession, d: str, name: str = "tree_files", where: str = "t
     return write_tree(view(spark, d, name).where(where), root or new_folder(spark, "tree"))
 
 
+@query("tree_source", "SELECT rel_path, cast(strlen(content) AS bigint) AS size, permissions, modified_epoch FROM tree_files WHERE rel_path NOT LIKE '%7.txt' AND rel_path LIKE 'src1%'")
+def tree_source(spark: SparkSession, d: str) -> DataFrame:
+    """The inventory as a data source, with a filter on the path that prunes the walk."""
+    root = _tree(spark, d)
+    tree.register(spark)
+    found = spark.read.format("tree").options(path=root, excludes='["*7.txt"]').load().where(F.col("path").startswith(f"{root}/src1"))
+    return found.select(paths.relative(F.col("path"), root).alias("rel_path"), "size", F.col("permissions").cast("int").alias("permissions"), "modified_epoch")
+
+
+@query("read_tree_hash")
+def read_tree_hash(spark: SparkSession, d: str) -> DataFrame:
+    """Digests of files by a tree over chunks, here of 1 KiB: a file of many chunks is read by many tasks."""
+    root = _tree(spark, d)
+    chunks = staged(scan.chunk_hashes(scan.walk(spark, root), 1 << 10), "chunks")
+    return scan.tree_hash(chunks).select(paths.relative(F.col("path"), root).alias("rel_path"), "size", "hash", F.col("error").isNotNull().alias("failed"))
+
+
 @query("scan_inventory", "SELECT rel_path, cast(strlen(content) AS bigint) AS size, permissions, modified_epoch FROM tree_files WHERE rel_path NOT LIKE '%7.txt'")
 def scan_inventory(spark: SparkSession, d: str) -> DataFrame:
     root = _tree(spark, d)

@@ -6,6 +6,7 @@ import hashlib
 import os
 import stat
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -169,3 +170,82 @@ def hash_files(files: DataFrame, algorithm: str = "sha256", tasks: int | None =
     n = tasks or files.sparkSession.sparkContext.defaultParallelism * 4
     size = F.col(expected) if expected else F.lit(None)
     return files.select("path", size.cast("long").alias("expected")).repartition(n, "path").mapInPandas(digests, "path string, size long, hash_algo string, hash string, error string")
+
+
+# Huge files: chunks are hashed by themselves and meet in a tree of digests
+
+LEAF, NODE, ROOT = b"\0", b"\1", b"\2"
+
+
+def chunk_hashes(files: DataFrame, chunk: int = 64 << 20) -> DataFrame:
+    """path, size, part, parts, hash, error: the SHA-256 of a zero byte and each ``chunk`` bytes of each file of ``files(path, size, ...)``.
+
+    A row a chunk, dealt over all tasks, which read their ranges only; so a file of any size is read by many. An empty file has
+    one empty chunk; unknown sizes have none, and a row with ``error``. A file that is shorter or longer than its size says is
+    an error in the chunk that shows it. Repeated paths count once.
+    """
+    last = F.greatest(F.ceil(F.col("size") / chunk) - 1, F.lit(0)).cast("long")
+    known = files.select("path", F.col("size").cast("long").alias("size")).dropDuplicates(["path"])
+    parts = known.withColumn("part", F.explode(F.when(F.col("size").isNull() | F.col("path").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), last))))
+
+    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for batch in batches:
+            rows = []
+            for path, size, part in zip(batch["path"], batch["size"], batch["part"], strict=True):
+                state, at, end = hashlib.sha256(LEAF), 0, 0
+                try:
+                    if part is None or pd.isna(part):
+                        raise ValueError("unknown size or path")
+                    at, end = int(part) * chunk, min((int(part) + 1) * chunk, int(size))
+                    plain = mounted(path) if path.startswith(("/", "file:")) else None
+                    on, name = (fs.LocalFileSystem(), plain) if plain else fs.FileSystem.from_uri(path)
+                    with on.open_input_file(name) as source:
+                        if source.size() != size:
+                            raise ValueError(f"has {source.size()} bytes")
+                        source.seek(at)
+                        while at < end:
+                            data = source.read(min(CHUNK, end - at))
+                            if not data:
+                                raise ValueError("ends early")
+                            state.update(data)
+                            at += len(data)
+                    rows.append((path, size, part, state.hexdigest(), None))
+                except (OSError, ValueError) as e:
+                    rows.append((path, size, part, None, str(e)))
+            yield pd.DataFrame(rows, columns=["path", "size", "part", "hash", "error"]).astype({"size": "Int64", "part": "Int64"})
+
+    n = files.sparkSession.sparkContext.defaultParallelism * 4
+    return parts.repartition(n, "path", "part").mapInPandas(digests, "path string, size long, part long, hash string, error string").withColumn("parts", F.greatest(F.ceil(F.col("size") / chunk), F.lit(1)).cast("long"))
+
+
+def tree_hash(chunks: DataFrame, fanout: int = 256) -> DataFrame:
+    """path, size, hash, error of files whose ``chunks`` are staged ``chunk_hashes``: the digest of a tree over them.
+
+    A node is the SHA-256 of a one byte and its children's digests in order, up to ``fanout`` of them; levels go on until one node is
+    left. The file's digest is that of a two byte, its size in eight bytes, and that node. So a file of any size takes no large
+    group. A file with a failed chunk has an error and no hash.
+    """
+    failed = chunks.where("error is not null").groupBy("path").agg(F.min("size").alias("size"), F.min("error").alias("error"))
+    level = chunks.where("error is null").join(failed.select("path"), "path", "left_anti").select("path", "size", "part", "parts", "hash")
+    most = level.agg(F.max("parts").alias("n")).first()["n"] or 1
+    join = lambda *hexes: F.sha2(F.unhex(F.concat(*hexes)), 256)
+    tops = []
+    while True:
+        tops.append(level.where("parts = 1"))
+        if most == 1:
+            break
+        children = F.array_sort(F.collect_list(F.struct("part", "hash")))
+        nodes = level.where("parts > 1").groupBy("path", "size", F.ceil(F.col("parts") / fanout).alias("above"), F.floor(F.col("part") / fanout).alias("node")).agg(F.array_join(F.transform(children, lambda c: c["hash"]), "").alias("hash"))
+        level, most = nodes.select("path", "size", F.col("node").alias("part"), F.col("above").alias("parts"), join(F.lit(NODE.hex()), "hash").alias("hash")), -(-most // fanout)
+    top = reduce(DataFrame.unionByName, tops)
+    root = top.select("path", "size", join(F.lit(ROOT.hex()), F.lpad(F.hex("size"), 16, "0"), "hash").alias("hash"), F.lit(None).cast("string").alias("error"))
+    return root.unionByName(failed.select("path", "size", F.lit(None).cast("string").alias("hash"), "error"))
+
+
+def changed_chunks(old: DataFrame, new: DataFrame, chunk: int = 64 << 20) -> DataFrame:
+    """path, part, start: where two lists of chunk hashes of the same paths differ, chunks that only one has included; files of unknown size have none."""
+    sides = [x.where("path is not null and part is not null").select("path", "part", F.col("hash").alias(name), F.lit(True).alias(f"in_{name}")) for x, name in ((old, "a"), (new, "b"))]
+    both = sides[0].join(sides[1], ["path", "part"], "full").where("in_a is null or in_b is null or not (a <=> b)")
+    return both.select("path", "part", (F.col("part") * chunk).alias("start"))
