@@ -9,10 +9,11 @@ quotation marks count apart. A logistic model of the two kinds of hits gives the
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain
+from math import erfc, sqrt
 
 import numpy as np
 import pandas as pd
@@ -241,13 +242,13 @@ def design(direct: np.ndarray, inside: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(direct)), np.minimum(direct, 1), np.log1p(direct), np.log1p(inside)], axis=1).astype(float)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
-    """Weights by Newton's method."""
-    w = np.zeros(x.shape[1])
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
+    """Coefficients by Newton's method, of rows with weights."""
+    w, n = np.zeros(x.shape[1]), weight.sum()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x / len(y) + ridge * np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (p - y) / len(y) + ridge * w)
+        h = (x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x / n + ridge * np.eye(len(w))
+        step = np.linalg.solve(h, x.T @ (weight * (p - y)) / n + ridge * w)
         w -= np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
             break
@@ -260,9 +261,13 @@ class Model:
     weights: np.ndarray
 
 
+#: Letters of a word that may be a term, and of a stem. Shorter words are close to too many others for a search with errors.
+WORD_LETTERS, STEM_LETTERS = (3, 40), (4, 8)
+
+
 def _terms(word: str) -> list[str]:
     """The word and, with *, its beginnings."""
-    return [word, *(word[:n] + "*" for n in range(4, min(8, len(word)) + 1))] if 3 <= len(word) <= 40 else []
+    return [word, *(word[:n] + "*" for n in range(STEM_LETTERS[0], min(STEM_LETTERS[1], len(word)) + 1))] if WORD_LETTERS[0] <= len(word) <= WORD_LETTERS[1] else []
 
 
 class _Terms(dict):
@@ -280,15 +285,16 @@ class _Terms(dict):
 
 
 def _count(allowed):
-    """Rows with each term, partial sums by task; among given terms only, or all."""
+    """Weights of the rows with each term, partial sums by task; among given terms only, or all."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
+        seen: dict[str, float] = defaultdict(float)
         terms = _Terms(allowed and allowed.value)
-        frame = lambda: pd.DataFrame({"term": list(seen.keys()), "rows": list(seen.values())}).astype({"term": "object", "rows": "int64"})
+        frame = lambda: pd.DataFrame({"term": list(seen.keys()), "rows": list(seen.values())}).astype({"term": "object", "rows": "float64"})
         for batch in batches:
-            for text in batch["text"]:
-                seen.update(set(chain.from_iterable(map(terms.__getitem__, set((text or "").lower().split())))))
+            for text, weight in zip(batch["text"], batch["weight"], strict=True):
+                for term in set(chain.from_iterable(map(terms.__getitem__, set((text or "").lower().split())))):
+                    seen[term] += weight
             if len(seen) > 300_000:
                 yield frame()
                 seen.clear()
@@ -302,35 +308,34 @@ def _features(lexicon):
         kinds = _Kinds(lexicon.value)
         for batch in batches:
             both = [features(t, kinds) for t in batch["text"]]
-            yield pd.DataFrame({"toxic": batch["toxic"], "direct": [b[0] for b in both], "inside": [b[1] for b in both]})
+            yield pd.DataFrame({"toxic": batch["toxic"], "weight": batch["weight"], "direct": [b[0] for b in both], "inside": [b[1] for b in both]})
 
     return run
 
 
 def _fuzzy(lexicon):
-    """Rows of each label with each part of a word that is close to a term, by that term."""
+    """Weights of the rows of each label with each part of a word that is close to a term, by that term."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
+        seen: dict[tuple, float] = defaultdict(float)
         close: dict[str, list] = {}
         for batch in batches:
-            for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
+            for text, toxic, weight in zip(batch["text"], batch["toxic"], batch["weight"], strict=True):
                 words = {c.strip(EDGE) for c in (text or "").lower().split()}
                 for w in words.difference(close):
                     near = lexicon.value.close(w)
                     close[w] = near if near and lexicon.value.kind(w) == FUZZY else ()
-                seen.update({(*x, toxic) for w in words for x in close[w]})
+                for found in {(*x, toxic) for w in words for x in close[w]}:
+                    seen[found] += weight
                 if len(close) > CACHE_ROWS:
                     close.clear()
-        yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["part", "term", "toxic", "rows"]).astype({"part": "object", "term": "object", "toxic": "int32", "rows": "int64"})
+        yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["part", "term", "toxic", "rows"]).astype({"part": "object", "term": "object", "toxic": "int32", "rows": "float64"})
 
     return run
 
 
 #: Bands of least hashes; two texts are taken as near copies if they agree in all hashes of a band.
 BANDS, BAND_HASHES = 4, 3
-#: With fewer groups of a label, all its rows count in learning: so few texts don't show which words only a copied text has.
-LEAST_GROUPS = 30
 
 
 def _marked(rows: DataFrame) -> DataFrame:
@@ -342,65 +347,128 @@ def _marked(rows: DataFrame) -> DataFrame:
     return rows.withColumn("words", words).withColumn("hashes", hashes).select("doc_id", "text", "toxic", *marks)
 
 
-def _apart(sample: DataFrame) -> DataFrame:
-    """One row of each group of copies and near copies of a label: a word is no term because many copies of one text have it."""
-    marks = [f"mark{b}" for b in range(BANDS)]
-    left = sample.select("doc_id", "toxic", *marks)
+def _groups(rows: pd.DataFrame, marks: list[str]) -> np.ndarray:
+    """The group of each row: rows that share a mark, and rows that share one with those."""
+    root = list(range(len(rows)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
     for mark in marks:
-        left = left.groupBy("toxic", mark).agg(F.min(F.struct("doc_id", *(m for m in marks if m != mark))).alias("row")).select("toxic", mark, "row.*")
-    left = stage(left.select("doc_id", "toxic").distinct(), "toxicity-groups")
-    groups = {r["toxic"]: r["count"] for r in left.groupBy("toxic").count().collect()}
-    few = F.col("toxic").isin([x for x in (0, 1) if groups.get(x, 0) < LEAST_GROUPS])
-    chosen = sample.where(~few).join(F.broadcast(left), ["doc_id", "toxic"], "left_semi").unionByName(sample.where(few))
-    return stage(chosen.select("text", "toxic"), "toxicity-learning")
+        first: dict[tuple, int] = {}
+        for i, key in enumerate(zip(rows["toxic"], rows[mark], strict=True)):
+            a, b = find(first.setdefault(key, i)), find(i)
+            root[max(a, b)] = min(a, b)
+    return np.array([find(i) for i in range(len(rows))], np.int64)
+
+
+def _weighed(sample: DataFrame) -> DataFrame:
+    """text, toxic and weight: one over the rows of the group of copies and near copies, within a label: a word is no term because many copies of one text have it, however many groups there are."""
+    marks = [f"mark{b}" for b in range(BANDS)]
+    rows = sample.select("doc_id", "toxic", *marks).toPandas()  # of the bounded sample
+    groups = _groups(rows, marks)
+    weights = rows[["doc_id"]].assign(weight=1.0 / np.bincount(groups, minlength=len(rows))[groups]).drop_duplicates("doc_id")
+    weights = sample.sparkSession.createDataFrame(weights, "doc_id long, weight double")
+    return stage(sample.join(F.broadcast(weights), "doc_id").select("text", "toxic", "weight"), "toxicity-learning")
+
 
+def evidence(a: np.ndarray, b: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """Log-likelihood ratios G^2 of terms that a of n1 toxic and b of n0 other rows have; 0 where toxic rows have them no more often."""
+    part = lambda o, e: np.where(o > 0, o * np.log(np.maximum(o, 1e-300) / np.maximum(e, 1e-300)), 0.0)
+    share = (a + b) / (n1 + n0)
+    g = 2 * (part(a, n1 * share) + part(b, n0 * share) + part(n1 - a, n1 * (1 - share)) + part(n0 - b, n0 * (1 - share)))
+    return np.where(a * n0 > b * n1, g, 0.0)
 
-def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 4000, other_rows: int = 12000, least_share: float = 0.005, purity: float = 50.0) -> Model:
+
+def chance(g: float) -> float:
+    """The chance that a term without any relation to the label has a G^2 of ``g`` or more with toxic rows ahead: half the chi-square law of one degree."""
+    return erfc(sqrt(g / 2)) / 2 if g > 0 else 1.0
+
+
+def told_apart(chances: dict[str, float], candidates: int, error: float) -> set[str]:
+    """The terms that a test of all ``candidates`` together accepts, of which a share of ``error`` at most is expected to be chance (Benjamini and Hochberg); ``chances`` has the candidates of small chance."""
+    ranked = sorted(chances, key=lambda t: (chances[t], t))
+    good = [k for k, t in enumerate(ranked, 1) if chances[t] <= k * error / max(candidates, 1)]
+    return set(ranked[: good[-1]]) if good else set()
+
+
+def lexicon_terms(often: dict[str, float], rare: dict[str, float], n1: float, n0: float, candidates: int, purity: float, error: float) -> tuple[list[str], list[str], list[str]]:
+    """(words, stems, members) from the weights of toxic and other rows with each word and each ``stem*``.
+
+    A term must be told from chance among all ``candidates``, with a share of ``error`` of wrong ones, and be ``purity`` times as
+    frequent in toxic rows. A stem also needs two words under it that are as pure and told from chance among those under it, and more evidence
+    than any of them. Words under a stem are its members.
+    """
+    names = sorted(often)
+    a, b = np.array([often[t] for t in names]), np.array([rare.get(t, 0.0) for t in names])
+    pure = {t for t, ok in zip(names, (a + 0.5) / (n1 + 1) >= purity * (b + 0.5) / (n0 + 1), strict=True) if ok}
+    score = dict(zip(names, evidence(a, b, n1, n0).tolist(), strict=True))
+    chances = {t: chance(g) for t, g in score.items()}
+    strong = told_apart(chances, candidates, error) & pure
+    below: dict[str, list[str]] = {t[:-1]: [] for t in strong if t.endswith("*")}
+    for w in names:
+        if not w.endswith("*"):
+            for n in range(STEM_LETTERS[0], min(STEM_LETTERS[1], len(w)) + 1):
+                if w[:n] in below:
+                    below[w[:n]].append(w)
+    several = {s for s, ws in below.items() if len(told_apart({w: chances[w] for w in ws}, len(ws), error) & pure) >= 2 and score[s + "*"] > max(score[w] for w in ws)}
+    stems = sorted(s for s in several if not any(s[:n] in several for n in range(STEM_LETTERS[0], len(s))))
+    words = {t for t in strong if not t.endswith("*")}
+    members = {w for s in stems for w in below[s] if w in words}
+    return sorted(words - members), stems, sorted(members)
+
+
+def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 4000, other_rows: int = 12000, least_share: float = 0.005, purity: float = 50.0, error: float = 0.05) -> Model:
     """Learn from labelled rows that aren't held out; of each label about so many rows, chosen by a hash of the id.
 
-    A term is kept if at least ``least_share`` of the toxic rows have it (5 at least) and, smoothed, ``purity`` times
-    the share of other rows; of copies and near copies in the sample one is used. Labels other than 0 and 1 are not used; of labels that repeat for an id, the greatest counts.
+    Each row weighs one over the size of its group of copies and near copies in the sample; where even a term that all groups of
+    toxic rows have and no other could not be told from chance, so few are they, rows weigh one each. Terms are what ``lexicon_terms`` tells from
+    chance, among those that at least ``least_share`` of the toxic weight has. Labels other than 0 and 1 are not used; of labels
+    that repeat for an id, the greatest counts.
     """
     spark = docs.sparkSession
     marked = labels.where(learning(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     totals = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
+    none = Model(Lexicon([], []), np.array([-3.0, 0.0, 0.0, 0.0]))
     if not totals.get(1) or not totals.get(0):
-        return Model(Lexicon([], []), np.array([-3.0, 0.0, 0.0, 0.0]))
+        return none
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     chosen = marked.where(share < F.when(F.col("toxic") == 1, toxic_rows / totals[1]).otherwise(other_rows / totals[0]))
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")  # bounded by toxic_rows + other_rows
-    sample = _apart(stage(_marked(sample), "toxicity-sample"))
-    sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    if not n1 or not n0:
-        return Model(Lexicon([], []), np.array([-3.0, 0.0, 0.0, 0.0]))
-    bad, good = sample.where("toxic = 1"), sample.where("toxic = 0")
-    total = lambda df, f, least: {r["term"]: r["n"] for r in df.select("text").mapInPandas(f, "term string, rows long").groupBy("term").agg(F.sum("rows").alias("n")).where(F.col("n") >= least).collect()}
-    often = total(bad, _count(None), max(5, int(least_share * n1)))
-    rare = total(good, _count(spark.sparkContext.broadcast(frozenset(often))), 1)
-    pure = {t for t, n in often.items() if (n + 0.5) / (n1 + 1) >= purity * (rare.get(t, 0) + 0.5) / (n0 + 1)}
-    words = sorted(t for t in pure if not t.endswith("*"))
-    stems = {t[:-1] for t in pure if t.endswith("*")}
-    # a stem is kept if it stands for several words, and no shorter stem stands for it
-    several = {s for s in stems if often[s + "*"] > 1.3 * max((often.get(w, 0) for w in words if w.startswith(s)), default=0)}
-    stems = sorted(s for s in several if not any(s[:n] in several for n in range(4, len(s))))
-    members = [w for w in words if any(w.startswith(s) for s in stems)]
-    words = sorted(set(words).difference(members))
+    sample = _weighed(stage(_marked(sample), "toxicity-sample"))
+    total = lambda df, f: df.select("text", "weight").mapInPandas(f, "term string, rows double").groupBy("term").agg(F.sum("rows").alias("n"))
+    while True:
+        sizes = {r["toxic"]: r["w"] for r in sample.groupBy("toxic").agg(F.sum("weight").alias("w")).collect()}
+        if len(sizes) < 2:
+            return none
+        n1, n0 = sizes[1], sizes[0]
+        found = stage(total(sample.where("toxic = 1"), _count(None)), "toxicity-terms")
+        candidates = found.count()
+        best = chance(float(evidence(np.array([n1]), np.array([0.0]), n1, n0)[0]))
+        if best <= error / max(candidates, 1) or sample.where("weight < 1").isEmpty():
+            break
+        sample = sample.withColumn("weight", F.lit(1.0))
+    often = {r["term"]: r["n"] for r in found.where(F.col("n") >= least_share * n1).collect()}
+    rare = {r["term"]: r["n"] for r in total(sample.where("toxic = 0"), _count(spark.sparkContext.broadcast(frozenset(often)))).collect()}
+    words, stems, members = lexicon_terms(often, rare, n1, n0, candidates, purity, error)
     lexicon = Lexicon(words, stems, members=members)
-    parts = sample.select("text", "toxic").mapInPandas(_fuzzy(spark.sparkContext.broadcast(lexicon)), "part string, term string, toxic int, rows long")
+    parts = sample.mapInPandas(_fuzzy(spark.sparkContext.broadcast(lexicon)), "part string, term string, toxic int, rows double")
     parts = parts.groupBy("part", "term", "toxic").agg(F.sum("rows").alias("n")).collect()  # of the bounded sample
-    benign = {r["part"] for r in parts if not r["toxic"] and r["n"] >= 2}
+    benign = {r["part"] for r in parts if not r["toxic"] and r["n"] > 1}
     # a term's misspellings count by how seldom other rows have them
-    by_label = (Counter(), Counter())
+    by_label: tuple[dict, dict] = (defaultdict(float), defaultdict(float))
     for r in parts:
         if r["part"] not in benign:
             by_label[r["toxic"]][r["term"]] += r["n"]
     weights = {t: WEIGHT[FUZZY] * (by_label[1][t] + 1) / (by_label[1][t] + by_label[0][t] + 1) for t in {r["term"] for r in parts}}
     lexicon = Lexicon(words, stems, benign, members, weights)
-    rows = sample.mapInPandas(_features(spark.sparkContext.broadcast(lexicon)), "toxic int, direct double, inside double").toPandas()
-    # the sample's rates back to those of all labelled rows
-    weights = logistic(design(rows["direct"].to_numpy(), rows["inside"].to_numpy()), rows["toxic"].to_numpy(float))
-    weights[0] += np.log(totals[1] / totals[0]) - np.log(max(n1, 1) / max(n0, 1))
+    rows = sample.mapInPandas(_features(spark.sparkContext.broadcast(lexicon)), "toxic int, weight double, direct double, inside double").toPandas()
+    weights = logistic(design(rows["direct"].to_numpy(), rows["inside"].to_numpy()), rows["toxic"].to_numpy(float), rows["weight"].to_numpy())
+    # the weights' rates back to those of all labelled rows
+    weights[0] += np.log(totals[1] / totals[0]) - np.log(n1 / n0)
     return Model(lexicon, weights)
 
 
@@ -409,7 +477,10 @@ _KINDS: dict[int, _Kinds] = {}
 
 def _score(model, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = _KINDS.setdefault(model.id, _Kinds(model.value.lexicon))
+        if model.id not in _KINDS:
+            _KINDS.clear()
+            _KINDS[model.id] = _Kinds(model.value.lexicon)
+        kinds = _KINDS[model.id]
         for batch in batches:
             both = np.array([features(t, kinds) for t in batch.column(1).to_pylist()]).reshape(-1, 2)
             score = 1 / (1 + np.exp(-np.clip(design(both[:, 0], both[:, 1]) @ model.value.weights, -30, 30)))
@@ -439,7 +510,8 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """doc_id, score (0 to 1), predicted (1 from the threshold on) of every whole text of ``docs(doc_id, text, ...)``, in one narrow pass.
 
     Null and empty texts have no hits and get the score of such a text. Repeated rows are scored each by itself, an empty table
-    gives no rows, and other columns are not read. Without labels of both kinds nothing is toxic.
+    gives no rows, and other columns are not read. Without labels of both kinds nothing is toxic. Of terms equally close to a word the
+    least one counts. Words are what stands between blanks: a text of a script without blanks is one long word, which no term is.
     """
     spark = docs.sparkSession
     small_batches(spark)
