@@ -64,24 +64,29 @@ def test_terms_by_plain_counts(spark):
     out = {r["doc_id"]: r for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     of = lambda t: {w.lower() for w in re.findall(r"[^\W\d_]{3,}", re.sub(PATTERNS["email"], " ", t or ""))}
     entity = lambda t: {x for m in re.finditer(PATTERNS["email"], t or "") for x in (m[0], m[0].split("@")[1])}
-    n, docs = len(rows), [(of(t), entity(t), t) for _, t in rows]
+    docs = [(of(t), entity(t), t) for _, t in rows]
+    n = len({d[2] for d in docs})
+    different = lambda at: len({docs[i][2] for i in at})
     n_e = {e: [i for i, d in enumerate(docs) if e in d[1]] for e in set().union(*(d[1] for d in docs))}
-    n_e = {e: at for e, at in n_e.items() if len({docs[i][2] for i in at}) > 1}
-    n_t = {t: sum(t in d[0] for d in docs) for t in set().union(*(d[0] for d in docs))}
-    most = {e: len(at) ** 0.75 * n**0.25 for e, at in n_e.items()}
+    n_e = {e: at for e, at in n_e.items() if different(at) > 1}
+    n_t = {t: different([i for i, d in enumerate(docs) if t in d[0]]) for t in set().union(*(d[0] for d in docs))}
+    most = {e: different(at) ** 0.75 * n**0.25 for e, at in n_e.items()}
     held = [d for d in docs if d[1]]
     candidates = {t for t in n_t if 2 <= n_t[t] <= max(most.values()) and len({d[2] for d in held if t in d[0]}) > 1}
-    told = {}
+    pairs = {}
     for e, at in n_e.items():
         for t in candidates:
-            both = [i for i in at if t in docs[i][0]]
-            if len({docs[i][2] for i in both}) < 2 or n_t[t] > most[e]:
-                continue
-            expected = n_t[t] * len(at) / n
-            bits = (len(both) * math.log(len(both) / expected) - len(both) + expected) / math.log(2)
-            ic, pmi = math.log2(n / len(at)), math.log2(n * len(both) / (n_t[t] * len(at)))
-            if len(both) > expected and bits >= math.log2(len(n_e) * len(candidates)) and pmi >= 0.75 * ic:
-                told[e, t] = pmi >= 0.95 * ic
+            both = different([i for i in at if t in docs[i][0]])
+            if both and n_t[t] <= most[e]:
+                expected = n_t[t] * different(at) / n
+                bits = (both * math.log(both / expected) - both + expected) / math.log(2) + math.log2(1 - math.exp(-expected))
+                pairs[e, t] = both, bits if both > 1 and both > expected else 0.0
+    good = [b for b in range(1, 1000) if 2.0**-b * len(pairs) <= 0.05 * sum(x >= b for _, x in pairs.values())]
+    told = {}
+    for (e, t), (both, bits) in pairs.items():
+        ic, pmi = math.log2(n / different(n_e[e])), math.log2(n * both / (n_t[t] * different(n_e[e])))
+        if good and bits >= min(good) and pmi >= 0.75 * ic:
+            told[e, t] = pmi >= 0.95 * ic
     assert ("rare.example.com", "merlin") in told
     for i, (_, text) in enumerate(rows):
         want = {t: max(told[e, t] for e in docs[i][1] if (e, t) in told) for t in docs[i][0] if any((e, t) in told for e in docs[i][1])}
@@ -89,3 +94,47 @@ def test_terms_by_plain_counts(spark):
         assert [(t["start"], t["end"], t["removed"]) for t in out[i]["terms"]] == spans
     shown = {r["doc_id"]: r["text"] for r in pii.mask(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert "erlin" not in shown[0] and shown[0].endswith("[EMAIL]") and shown[301] is None and shown[1] == rows[1][1]
+
+
+def planted(rng, disclosures, strength, holders=8, texts=1500):
+    """Texts of common words; each of some mail domains has a word of its own that ``strength`` of its texts have; below 1, so have three texts without an address."""
+    words = [f"w{''.join(rng.choices('abcdefghijk', k=6))}" for _ in range(2500)]
+    rows = []
+    name = lambda d: f"secret{'abcdefghijklmnopqrst'[d % 20]}{'abcdefghijklmnopqrst'[d // 20]}"
+    for i in range(texts):
+        text, d = rng.sample(words, 60), i // holders
+        if strength < 1 and 0 <= i - 2 * disclosures * holders < 3 * disclosures:
+            text.insert(7, name((i - 2 * disclosures * holders) // 3))
+        if d < disclosures:
+            text.insert(rng.randrange(30), f"person{i}@domain{d}.example.com")
+            if i % holders < strength * holders:
+                text.insert(40, name(d))
+        elif d < 2 * disclosures:
+            text.insert(rng.randrange(30), f"person{i}@domain{d}.example.com")  # nothing to tell
+        rows.append((i, " ".join(text)))
+    return rows
+
+
+@pytest.mark.parametrize("strength", [1.0, 0.75])
+def test_planted_disclosures(spark, strength):
+    rng = random.Random(int(100 * strength))
+    rows = planted(rng, 40, strength)
+    out = {r["doc_id"]: r["terms"] for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    hidden = {(i, m.start()) for i, t in rows if i < 320 for m in re.finditer("secret[a-t]{2}", t)}
+    found = {(i, t["start"]) for i, terms in out.items() for t in terms}
+    assert len(hidden & found) >= 0.9 * len(hidden) and len(found - hidden) <= 0.1 * len(found)
+    # the same spans with copies in the table, of texts with and without disclosures
+    copied = rows + [(10_000 + i, rows[j][1]) for i, j in enumerate([0] * 60 + [1, 2, 3, 330, 331] * 20 + list(range(700, 900)))]
+    again = {r["doc_id"]: r["terms"] for r in pii.sanitise(spark.createDataFrame(copied, "doc_id long, text string").repartition(4)).collect()}
+    assert all(again[i] == out[i] for i in out) and again[10_000] == out[0]
+    masked = {r["doc_id"]: r["text"] for r in pii.mask(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "secret" not in masked[0] and ("[TERM 2^3]" in masked[0]) == (strength < 1)  # nine texts have it: generalised; else removed
+    assert strength == 1 or "secret" in masked[640]
+
+
+def test_many_repeated_texts(spark):
+    texts = spark.createDataFrame([(i % 7, "alpha beta" if i % 7 < 3 else "beta gamma") for i in range(70)] + [(100, "alpha")], "text_hash long, text string")
+    copies = texts.groupBy("text_hash").count().selectExpr("text_hash", "count AS weight", "count AS copies").where("weight > 1")
+    for most in (100, 2):
+        out = {r["term"]: r["n"] for r in pii.weighed_words(texts, copies, most).groupBy("term").agg(pii._counted().alias("n")).collect()}
+        assert out == {"alpha": 4, "beta": 7, "gamma": 4}

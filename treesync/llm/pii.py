@@ -5,12 +5,16 @@ also at a coarser level that recurs where the exact value doesn't: mail domain,
 digits, dialling prefix.
 
 Terms: words of a text that holds an entity may reveal it after it is masked. From all documents come the number N, those
-with the entity n(e), with the term n(t), and with both n(t,e), anywhere in the whole text:
+with the entity n(e), with the term n(t), and with both n(t,e), anywhere in the whole text; all four count different
+texts, so copies prove nothing:
     PMI(t; e) = log2(N * n(t,e) / (n(t) * n(e)))      IC(e) = log2(N / n(e))
-A term discloses the share PMI / IC of what the entity says. Beyond one threshold it is generalised, beyond a higher one
-removed, wherever it occurs in the documents that hold the entity. Copies prove nothing: the two must meet in two
-different texts at least. Nor does chance: with L = n(t) n(e) / N documents expected, the Poisson (Chernoff) bound for as
-many as n(t,e) must lie below one over the number of pairs that are compared. Documents without an entity are left alone.
+A term discloses the share PMI / IC of what the entity says. Beyond one threshold it is generalised to its band of
+frequency, beyond a higher one removed, wherever it occurs in the documents that hold the entity. Documents without an
+entity are left alone.
+
+Nor does chance prove anything. With L = n(t) n(e) / N texts expected, the Poisson (Chernoff) bound for as many as n(t,e)
+is divided by the chance 1 - exp(-L) that the two meet at all: of all pairs that met, those are taken of which a share of
+at most ``error`` is expected to be chance (Benjamini and Hochberg, on whole bits).
 
 Work. A share s of PMI to IC needs n(t) <= n(e)^s N^(1-s), so frequent words drop out once the document frequencies are
 counted, before any pair is made.
@@ -21,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treesync.llm.common import bounded, stage, table, with_row_address
+from treesync.llm.common import bounded, join_classes, stage, table, with_row_address
 
 #: Possessive forms of the patterns: the same leftmost matches, without backtracking. A run is only tried from its start, or from the end of the match before it.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -33,7 +37,7 @@ KINDS = ("email", "ip", "card", "phone")
 TERM = r"\p{L}{3,}+"
 #: Elements of a block of prefix sums.
 BLOCK = 128
-TERMS = "array<struct<start int, end int, removed boolean>>"
+TERMS = "array<struct<start int, end int, removed boolean, band int>>"
 
 
 def let(value: Column, body) -> Column:
@@ -135,8 +139,20 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
-def sanitise(docs: DataFrame, generalise_at: float = 0.75, remove_at: float = 0.95) -> DataFrame:
-    """One row per row of ``docs(doc_id, text, ...)``: doc_id, text_hash (of the whole text), base (array of spans), terms (array of struct<start, end, removed>).
+def _counted(weight: str = "weight") -> Column:
+    """The number of different texts: rows weigh one over the copies of their text."""
+    return F.round(F.sum(weight)).cast("long")
+
+
+def _least_bits(bits: DataFrame, pairs: int, error: float) -> float:
+    """The bits from which on a share of ``error`` at most of the pairs is expected to be chance, of ``bits(bits)`` of all ``pairs``; infinite if none are."""
+    found = {r["b"]: r["n"] for r in bits.select(F.least(F.floor("bits"), F.lit(1000)).alias("b")).where("b > 0").groupBy("b").agg(F.count("*").alias("n")).collect()}  # 1,000 rows at most
+    good = [b for b in found if 2.0**-b * pairs <= error * sum(n for c, n in found.items() if c >= b)]
+    return float(min(good, default=float("inf")))
+
+
+def sanitise(docs: DataFrame, generalise_at: float = 0.75, remove_at: float = 0.95, error: float = 0.05) -> DataFrame:
+    """One row per row of ``docs(doc_id, text, ...)``: doc_id, text_hash (of the whole text), base (array of spans), terms (array of struct<start, end, removed, band>; at least 2^band different texts have the term, fewer than twice as many).
 
     Null text counts as empty and has no spans; null ids and repeated rows are rows like any other, but equal texts are
     evidence once. Terms never overlap base spans. Very long texts are one row, worked through in blocks of ``BLOCK`` matches.
@@ -146,50 +162,67 @@ def sanitise(docs: DataFrame, generalise_at: float = 0.75, remove_at: float = 0.
     rows = base_spans(rows, "text").withColumn("text_hash", F.xxhash64("text"))
     # of texts with an entity the rest, at its places, is kept for the terms
     rows = stage(rows.withColumn("rest", F.when(F.size("base") > 0, replaced(F.col("text"), F.col("base"), blank))).drop("text"), "spans")
-    total = rows.count()
+    copies = stage(rows.groupBy("text_hash").agg(F.count("*").alias("weight")).where("weight > 1").withColumn("copies", F.col("weight")), "copies")
+    repeated = copies.agg(F.sum("weight"), F.count("*")).first()
+    total = rows.count() - (repeated[0] or 0) + repeated[1]
     n = F.lit(float(max(total, 1)))
-    held = rows.where("rest is not null")
-    different = F.min("text_hash") != F.max("text_hash")
-    holders = held.select("block", "pos", "text_hash", F.explode(F.array_distinct(F.concat(F.transform("base", lambda s: s["entity"]), F.transform("base", lambda s: s["level"])))).alias("entity"))
-    entities = holders.groupBy("entity").agg(F.count("*").alias("n_e"), different.alias("different")).where("different").drop("different")
+    # each row weighs one over the copies of its text
+    weighed = lambda df: join_classes(df, copies, ["text_hash"]).withColumn("weight", 1.0 / F.coalesce("copies", F.lit(1))).drop("copies")
+    held = stage(weighed(rows.where("rest is not null").select("block", "pos", "text_hash", "base", "rest")), "holders")
+    holders = held.select("block", "pos", "weight", F.explode(F.array_distinct(F.concat(F.transform("base", lambda s: s["entity"]), F.transform("base", lambda s: s["level"])))).alias("entity"))
+    entities = holders.groupBy("entity").agg(_counted().alias("n_e")).where("n_e > 1")
     # a term of more documents can't disclose the share generalise_at
     entities = stage(entities.withColumn("most", F.pow("n_e", F.lit(generalise_at)) * F.pow(n, F.lit(1 - generalise_at))), "entities")
-    most, n_entities = entities.agg(F.max("most"), F.count("*")).first()
-    words = held.select("block", "pos", "text_hash", F.explode(_words(F.col("rest"))).alias("term"))
-    here = stage(words.groupBy("term").agg(different.alias("different")).where("different").select("term"), "terms-here")
-    n_t = docs.select(F.explode(_words(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t").between(2, most or 0))
+    most = entities.agg(F.max("most")).first()[0]
+    words = held.select("block", "pos", "weight", F.explode(_words(F.col("rest"))).alias("term"))
+    here = stage(words.groupBy("term").agg(_counted().alias("n")).where("n > 1").select("term"), "terms-here")
+    everywhere = docs.select(F.col("text").cast("string").alias("text")).select(F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
+    n_t = weighed_words(everywhere, copies).groupBy("term").agg(_counted().alias("n_t")).where(F.col("n_t").between(2, most or 0))
     terms = stage(n_t.join(bounded(here), "term", "left_semi"), "terms")
     met = (
-        words.join(bounded(terms), "term")
-        .join(holders.drop("text_hash").join(bounded(entities), "entity"), ["block", "pos"])
-        .where("n_t <= most").select("block", "pos", "text_hash", "entity", "term", "n_t", "n_e")
+        words.join(bounded(terms), "term").join(holders.drop("weight").join(bounded(entities), "entity"), ["block", "pos"])
+        .where("n_t <= most").select("block", "pos", "weight", "entity", "term", "n_t", "n_e")
     )
-    pairs = met.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.max("n_t").alias("n_t"), F.max("n_e").alias("n_e"), different.alias("different")).where("different")
-    compared = max(1, n_entities * terms.count())
     expected = F.col("n_t") * F.col("n_e") / n
-    bits = (F.col("n_te") * F.log(F.col("n_te") / expected) - F.col("n_te") + expected) / F.log(F.lit(2.0))
+    pairs = met.groupBy("entity", "term").agg(_counted().alias("n_te"), F.max("n_t").alias("n_t"), F.max("n_e").alias("n_e"))
+    tail = (F.col("n_te") * F.log(F.col("n_te") / expected) - F.col("n_te") + expected) / F.log(F.lit(2.0))
+    bits = F.when((F.col("n_te") > 1) & (F.col("n_te") > expected), tail + F.log2(-F.expm1(-expected))).otherwise(0.0)
+    pairs = stage(pairs.withColumn("bits", bits), "pairs")
+    least = _least_bits(pairs, pairs.count(), error)
     ic, pmi = F.log2(n / F.col("n_e")), F.log2(n * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    disclosed = pairs.where((ic > 0) & (F.col("n_te") > expected) & (bits >= F.log2(F.lit(float(compared)))) & (pmi >= generalise_at * ic))
-    disclosed = stage(disclosed.select("entity", "term", (pmi >= remove_at * ic).alias("removed")), "disclosed")
-    hit = met.join(bounded(disclosed), ["entity", "term"]).groupBy("block", "pos", "term").agg(F.max("removed").alias("removed"))
-    hit = stage(hit.groupBy("block", "pos").agg(F.map_from_entries(F.collect_list(F.struct("term", "removed"))).alias("hit")), "hit")  # of one document's words
+    disclosed = pairs.where((ic > 0) & (F.col("bits") >= least) & (pmi >= generalise_at * ic))
+    disclosed = stage(disclosed.select("entity", "term", (pmi >= remove_at * ic).alias("removed"), F.floor(F.log2("n_t")).cast("int").alias("band")), "disclosed")
+    hit = met.select("block", "pos", "entity", "term").join(bounded(disclosed), ["entity", "term"]).groupBy("block", "pos", "term").agg(F.max(F.struct("removed", "band")).alias("how"))
+    hit = stage(hit.groupBy("block", "pos").agg(F.map_from_entries(F.collect_list(F.struct("term", "how"))).alias("hit")), "hit")  # of one document's words
     out = rows.join(bounded(hit), ["block", "pos"], "left")
     matches, starts = located(F.col("rest"), TERM)
-    places = F.zip_with(matches, starts, lambda m, start: F.struct(start.alias("start"), (start + F.length(m)).alias("end"), F.try_element_at("hit", F.lower(m)).alias("removed")))
-    found = F.when(F.col("hit").isNotNull(), F.filter(places, lambda t: t["removed"].isNotNull()))
+    places = F.zip_with(matches, starts, lambda m, start: F.struct(start.alias("start"), (start + F.length(m)).alias("end"), F.try_element_at("hit", F.lower(m)).alias("how")))
+    found = F.when(F.col("hit").isNotNull(), F.filter(places, lambda t: t["how"].isNotNull()))
+    found = F.transform(found, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["how"]["removed"].alias("removed"), t["how"]["band"].alias("band")))
     return out.select("doc_id", "text_hash", "base", F.coalesce(found, F.array().cast(TERMS)).alias("terms"))
 
 
+def weighed_words(texts: DataFrame, copies: DataFrame, most: int = 400_000) -> DataFrame:
+    """term, weight of the distinct words of ``texts(text_hash, text)``; a row weighs one over the copies of its text.
+
+    Up to ``most`` repeated texts are a broadcast list. With more, texts of which there are copies are shuffled by their
+    hash as distinct words, very frequent ones apart.
+    """
+    slim = lambda df: df.select(F.explode(_words(F.col("text"))).alias("term"), (1.0 / F.coalesce("copies", F.lit(1))).alias("weight"))
+    few = copies.limit(most + 1).count() <= most
+    return slim(texts.join(F.broadcast(copies.drop("weight")), "text_hash", "left") if few else join_classes(texts, copies, ["text_hash"]))
+
+
 def listed(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
 
 
 def all_spans() -> Column:
-    """Base spans and terms as struct<start, rank, kind, end>, by start, then kind."""
-    base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end")))
+    """Base spans and terms as struct<start, rank, kind, end, band>, by start, then kind."""
+    base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(None).cast("int").alias("band")))
     terms = F.transform(
         "terms",
-        lambda t: F.struct(t["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), F.when(t["removed"], "removed").otherwise("term").alias("kind"), t["end"].alias("end")),
+        lambda t: F.struct(t["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), F.when(t["removed"], "removed").otherwise("term").alias("kind"), t["end"].alias("end"), t["band"].alias("band")),
     )
     return F.array_sort(F.concat(base, terms))
 
@@ -200,8 +233,9 @@ def blank(span: Column, begin: Column, first: Column) -> Column:
 
 
 def label(span: Column, begin: Column, first: Column) -> Column:
-    """The kind in brackets, nothing for removed terms; overlapping spans are one."""
-    return F.when(first & (span["kind"] != "removed"), F.concat(F.lit("["), F.upper(span["kind"]), F.lit("]"))).otherwise(F.lit(""))
+    """The kind in brackets, for a term with its band: all words that about as many texts have read alike. Nothing for removed terms; overlapping spans are one."""
+    band = F.coalesce(F.concat(F.lit(" 2^"), span["band"].cast("string")), F.lit(""))
+    return F.when(first & (span["kind"] != "removed"), F.concat(F.lit("["), F.upper(span["kind"]), band, F.lit("]"))).otherwise(F.lit(""))
 
 
 def replaced(text: Column, spans: Column, by) -> Column:
