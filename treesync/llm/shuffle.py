@@ -1,10 +1,10 @@
 """Uniform shuffle into shards of exact size by a hypergeometric communication matrix.
 
-Every shard is a run of bins of known size. How many rows partition p sends to bin b is drawn from the multivariate
-hypergeometric law given all partition counts: the matrix is drawn by halving the range of partitions, so a task
-draws its own row in log2(partitions) steps from seeds alone and nothing but the counts is broadcast. Inside a
-partition the labels are permuted, rows go to their bins, and each bin is permuted again. Bin sizes are known
-before, so slots are gapless without another pass.
+How many rows partition p sends to shard s is drawn from the multivariate hypergeometric law given all partition counts:
+the matrix is drawn by halving the range of partitions, so a task draws its own row, one number a shard, in
+log2(partitions) steps from seeds alone, and nothing but the counts is broadcast. Inside a partition the labels are
+permuted. A shard is permuted again by random keys: ranges of keys are its bins, whose counts, summed up, say where the
+slots of each begin.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from treesync.llm.common import small_batches, stage, table, with_row_address
+from treesync.llm.common import bounded, small_batches, stage, table, with_row_address
 
 #: Below this size of population numpy samples; from it on its factorials lose precision, and ``hypergeometric`` rejects by ratios.
 NUMPY_BELOW = 10**9
@@ -93,7 +93,7 @@ def uniform_shuffle(df: DataFrame, shards: int = 16, seed: int = 7, rows_per_bin
 
     Every assignment with the exact shard sizes is equally likely; sizes differ by one row at most. Values are not
     looked at: nulls, ties, very long texts and repeated rows are rows like any other. An empty table stays empty. Columns of ``df`` named
-    shard or slot are replaced. ``rows_per_bin`` bounds what one task sorts.
+    shard or slot are replaced. About ``rows_per_bin`` rows are sorted at once.
     """
     spark = df.sparkSession
     small_batches(spark)
@@ -103,33 +103,33 @@ def uniform_shuffle(df: DataFrame, shards: int = 16, seed: int = 7, rows_per_bin
     blocks = sorted(counts)
     before = np.concatenate([[0], np.cumsum([counts[b] for b in blocks])]).astype(np.int64)
     n = int(before[-1])
-    per_shard = max(4, -(-n // (shards * rows_per_bin)))
-    sizes = bin_sizes(n, shards, per_shard)
-    starts = (np.cumsum(sizes) - sizes) - np.repeat(np.cumsum(sizes.reshape(shards, -1).sum(1)) - sizes.reshape(shards, -1).sum(1), per_shard)
-    shared = spark.sparkContext.broadcast((np.asarray(blocks), before, sizes, starts))
+    shared = spark.sparkContext.broadcast((np.asarray(blocks), before, bin_sizes(n, shards, 1)))
     labels: dict[int, np.ndarray] = {}
 
-    @F.pandas_udf("struct<bin long, start long>")
-    def place(block: pd.Series, pos: pd.Series) -> pd.DataFrame:
-        numbers, cum, all_sizes, first = shared.value
-        out = np.empty(len(block), np.int64)
+    @F.pandas_udf("int")
+    def place(block: pd.Series, pos: pd.Series) -> pd.Series:
+        numbers, cum, sizes = shared.value
+        out = np.empty(len(block), np.int32)
         for b in np.unique(block.to_numpy()):
             if b not in labels:
                 labels.clear()
                 p = int(np.searchsorted(numbers, b))
-                mine = np.repeat(np.arange(len(all_sizes)), matrix_row(p, cum, all_sizes, seed))
+                mine = np.repeat(np.arange(len(sizes), dtype=np.int32), matrix_row(p, cum, sizes, seed))
                 labels[b] = np.random.default_rng([seed, p]).permutation(mine)
             at = (block == b).to_numpy()
             out[at] = labels[b][pos.to_numpy()[at]]
-        return pd.DataFrame({"bin": out, "start": first[out]})
-
-    rows = rows.withColumn("__to", place("__block", "__pos"))
-    w = Window.partitionBy("__bin").orderBy(F.xxhash64(F.lit(seed), "__block", "__pos"), "__block", "__pos")
-    return (
-        rows.withColumns({"__bin": F.col("__to.bin"), "__start": F.col("__to.start")})
-        .withColumns({"shard": F.floor(F.col("__bin") / per_shard).cast("int"), "slot": (F.col("__start") + F.row_number().over(w) - 1).cast("long")})
-        .drop("__to", "__bin", "__start", "__block", "__pos")
-    )
+        return pd.Series(out)
+
+    bits = max(2, math.ceil(math.log2(max(1, n / (shards * rows_per_bin)))))
+    key = F.xxhash64(F.lit(seed), "__block", "__pos")
+    dealt = lambda df: df.withColumns({"shard": place("__block", "__pos"), "__bin": F.shiftrightunsigned(key, 64 - bits).cast("long")})
+    filled = dealt(rows.select("__block", "__pos")).groupBy("shard", "__bin").agg(F.count("*").alias("n"))
+    so_far = Window.partitionBy("shard").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)  # a row a bin
+    first = stage(filled.select("shard", "__bin", F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("__first")), "bins")
+    inside = Window.partitionBy("shard", "__bin").orderBy(key, "__block", "__pos")
+    numbered = dealt(rows).withColumn("__in", F.row_number().over(inside) - 1)
+    out = numbered.join(bounded(first), ["shard", "__bin"]).withColumn("slot", (F.col("__first") + F.col("__in")).cast("long"))
+    return out.select(*df.columns, "shard", "slot")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
