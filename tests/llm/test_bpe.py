@@ -51,3 +51,71 @@ def test_bytes_behind_the_names():
     for text in ("naïve café", "中文 \U0001f600"):
         ids = bpe.model().encode(text)
         assert "".join(machine.blocks([[i] for i in ids])).split() == text.split()
+
+
+def early(machine, word):
+    """(tokens that leave before the last symbol is read, all tokens)"""
+    read = 0
+
+    def symbols():
+        nonlocal read
+        for x in word:
+            read += 1
+            yield x
+
+    left = [read for _ in machine.encode(symbols())]
+    return sum(x < len(word) for x in left), len(left)
+
+
+def test_random_merge_lists():
+    """Also lists that no training gives: rules before those that make their halves, and several rules for one token."""
+    rng, ordered = random.Random(3), 0
+    for n in range(300):
+        suffix, pieces, merges = rng.choice(["", "</w>"]), list("ab"), []
+        ends = [x + suffix for x in "ab"] if suffix else []
+        for _ in range(rng.randint(1, 14)):
+            u, v = rng.choice(pieces), rng.choice(pieces + ends)
+            if (u, v) not in merges:
+                merges.append((u, v))
+                (ends if suffix and v.endswith(suffix) else pieces).append(u + v)
+        if n % 3 == 0:
+            rng.shuffle(merges)
+        machine = bpe.Transducer(merges, suffix)
+        ordered += machine.ordered
+        for _ in range(30):
+            word = "".join(rng.choices("ab", k=rng.randint(1, 40)))
+            cut = rng.randint(0, len(word))
+            assert list(machine.encode([word[:cut], "", word[cut:]])) == machine.merge([*word[:-1], word[-1] + suffix]), (merges, word)
+    assert 30 < ordered < 270
+
+
+def test_borders_like_plain_merges():
+    machine, rng = bpe.model().machine, random.Random(7)
+    tokens = [t for t in machine.rule if not t.endswith("</w>")]
+    joined = 0
+    for before, token in zip(rng.choices(tokens, k=4000), rng.choices(list(machine.rule), k=4000)):
+        if machine.fits("", before):
+            want = machine.merge([*before, *machine._symbols(token)]) == [before, token]
+            assert machine.fits(before, token) == want, (before, token)
+            joined += not want
+    assert 300 < joined < 3700
+
+
+def test_tokens_leave_inside_words(spark):
+    machine = bpe.model().machine
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    words = {w for t in texts for w in t.lower().split() if w.isascii() and w.isalpha()}
+    counts = [early(machine, w) for w in sorted(words)]
+    share = sum(x for x, _ in counts) / sum(n for _, n in counts)
+    print(f"{share:.3f} of the tokens of {len(words)} words left early")
+    assert share > 0.15  # 0.199 when written
+    assert max(len(held) for held, *_ in machine.facts) <= machine.window
+
+
+def test_states_are_made_anew_when_there_are_too_many(monkeypatch):
+    monkeypatch.setattr(bpe, "STATES", 20)
+    machine, rng = bpe.Transducer(list(bpe.model().machine.ranks), "</w>"), random.Random(9)
+    for _ in range(200):
+        word = "".join(rng.choices("theinrsx", k=rng.randint(1, 60)))
+        assert list(machine.encode([word])) == machine.merge([*word[:-1], word[-1] + "</w>"])
+        assert len(machine.facts) <= 20

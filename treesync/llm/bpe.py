@@ -1,11 +1,19 @@
 """BPE encoding as a bounded-lookahead streaming transducer, and decoding as an incremental state machine.
 
-Lookahead. Run the merges in rank order over a prefix w and over w followed by anything. Both agree up to a frontier,
-at first the end of w. It moves left only when a rule (u, v) merges across it: u is then the last agreed token, and v
-begins right behind it. After that the token behind the frontier begins with u. So a run of moves is a chain of rules
-of growing rank in which each u lies on the left spine of the next rule's v, and no chain can move the frontier by more
-than the greatest sum of len(u) along one. ``lookahead`` computes that number from the merge list alone; tokens that
-end so far before the end of what has been read are final, whatever follows.
+States. Merges run in rank order and, among equals, from the left, so whether a merge crosses the border between two
+tokens depends on these two alone: tokens are the encoding of what they spell if and only if each neighbouring pair is
+the encoding of what the pair spells. So every prefix of a pre-token has one last token, which is known as soon as the
+prefix is read, and the encoding of the prefix is the chain of last tokens that leads there. What follows can only add
+tokens that begin at the end of a *live* prefix: the one just read, or one behind which stands the beginning of a longer
+token. Live prefixes are the transducer's state, and the tokens that their chains share are final, whatever follows.
+
+Lookahead. How far the shared part may lag behind has a bound that the merge list alone decides. Run the merges in rank
+order over a prefix w and over w followed by anything. Both agree up to a frontier, at first the end of w. It moves left
+only when a rule (u, v) merges across it: u is then the last agreed token, and v begins right behind it. After that the
+token behind the frontier begins with u. So a run of moves is a chain of rules of growing rank in which each u lies on
+the left spine of the next rule's v, and no chain can move the frontier by more than the greatest sum of len(u) along
+one. ``lookahead`` computes that number. A live prefix ends less than the longest token before what has been read, so no
+more than both lengths together is ever held.
 """
 
 from __future__ import annotations
@@ -28,6 +36,8 @@ from treesync.llm.common import small_batches, table
 
 #: Most entries of a worker's cache of encoded chunks, and the longest chunk that it keeps.
 CACHE_ROWS, CACHE_LENGTH = 250_000, 24
+#: States of the transducer that a worker keeps; when there are more, all are made anew.
+STATES = 100_000
 #: Chunks lie between white space; ``str.split`` agrees with the tokenizer but for four control characters.
 SPACE, CONTROL = regex.compile(r"\s+"), re.compile(r"[\x1c-\x1f]")
 #: Code points of a part of a text, and where it may be cut; longer chunks than LONG are encoded in blocks.
@@ -61,14 +71,42 @@ def lookahead(merges: list[tuple[str, str]], suffix: str = "") -> int:
 
 
 class Transducer:
-    """Encodes one pre-token given in parts, with at most window + one part of symbols in memory."""
+    """Encodes one pre-token given in parts.
+
+    A state depends on the token that left last and on what was read since, at most ``window`` symbols. States and moves
+    are made when first met and kept up to a bound; they are tuples, which garbage collection passes over.
+    """
 
     def __init__(self, merges: list[tuple[str, str]], suffix: str = "") -> None:
         self.ranks = {m: i for i, m in enumerate(merges)}
         self.suffix = suffix
-        self.longest = max((len((u + v).removesuffix(suffix) if suffix else u + v) for u, v in merges), default=1)
+        self.rule = {u + v: (u, v, i) for i, (u, v) in enumerate(merges)}
+        made = lambda t: self.rule.get(t, (t, t, -1))[2]
+        #: One rule makes each token, after those that make its halves: so merges run in order of rank.
+        self.ordered = len(self.rule) == len(merges) and all(max(made(u), made(v)) < i for i, (u, v) in enumerate(merges))
+        spelt = [t.removesuffix(suffix) if suffix else t for t in self.rule]
+        self.known = dict.fromkeys((t[:k] for t in spelt for k in range(1, len(t))), 1)  # what a longer token begins with
+        for t in self.rule:
+            self.known[t] = self.known.get(t, 0) + 2
+        self.partners: dict[str, dict[str, int]] = {}  # ranks by left and right side
+        for (u, v), i in self.ranks.items():
+            self.partners.setdefault(u, {})[v] = i
+        self.whole: dict[str, bool] = {}  # whether a token is the encoding of what it spells
+        self.rims: dict[tuple[str, int], tuple[tuple[str, int], ...]] = {}
+        self.longest = max(map(len, spelt), default=1)
         self.ahead = lookahead(merges, suffix)
-        self.window = self.ahead + 4 * self.longest
+        self.window = self.ahead + self.longest
+        self._forget()
+
+    def _forget(self) -> None:
+        """Begin with the first state only: (held, last, back, live).
+
+        ``last[i]`` is the last token of the first i symbols held (of none: the token that left last), ``back[i]`` where it
+        begins, and ``live`` has the ends of the live prefixes.
+        """
+        self.facts, self.states = [("", ("",), (0,), (0,))], {("", ""): 0}
+        self.moves: dict[tuple[int, str], tuple[int, tuple[str, ...]]] = {}  # by state and next symbol: state, tokens that leave
+        self.ends: dict[tuple[int, str], tuple[str, ...]] = {}  # by state and last symbol
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Plain BPE: the pair of lowest rank first, leftmost among equals."""
@@ -87,21 +125,116 @@ class Transducer:
                 ranks[i] = get((symbols[i], symbols[i + 1]), none)
         return symbols
 
+    def _symbols(self, token: str) -> list[str]:
+        if not self.suffix or not token.endswith(self.suffix):
+            return list(token)
+        spelt = token.removesuffix(self.suffix)
+        return [*spelt[:-1], spelt[-1:] + self.suffix]
+
+    def fits(self, before: str, token: str) -> bool:
+        """Whether the two are the encoding of what they spell (behind nothing: whether the token is); ``before`` is one of itself.
+
+        A rule merges across the border if both its sides stand there when its turn comes: among the right ends of ``before``
+        and the left beginnings of ``token``, neither yet merged away from the border. Of equal rules the left one is first.
+        """
+        if token not in self.whole:
+            self.whole[token] = self.merge(self._symbols(token)) == [token]
+        if not self.whole[token]:
+            return False
+        if not self.ordered:
+            return not before or self.merge([*before, *self._symbols(token)]) == [before, token]
+        begins = self.rims.get((token, 0)) or self._rim(token, 0)
+        for u, u_until in (self.rims.get((before, 1)) or self._rim(before, 1)) if before else ():
+            ranks = self.partners.get(u)
+            if ranks:
+                for v, v_until in begins:
+                    rank = ranks.get(v)
+                    if rank is not None and rank < u_until and rank <= v_until:
+                        return False
+        return True
+
+    def _rim(self, token: str, side: int) -> tuple[tuple[str, int], ...]:
+        """What stands at an end of a token while it is made (side 0: its beginning), and the rank of the rule that merges it away."""
+        out, part, until = [], token, len(self.ranks)
+        while part:
+            out.append((part, until))
+            rule = self.rule.get(part)
+            part, until = (rule[side], rule[2]) if rule else ("", 0)
+        self.rims[token, side] = tuple(out)
+        return self.rims[token, side]
+
+    def _step(self, state: int, symbol: str) -> tuple[int, tuple[str, ...]]:
+        """The state after one more symbol, and the tokens that are stable then."""
+        held, last, back, live = self.facts[state]
+        held += symbol
+        size, known = len(held), self.known.get
+        token, begin, kept = symbol, size - 1, []
+        for start in live:
+            piece = held[start:]
+            kind = known(piece)
+            if kind:
+                if kind != 2:
+                    kept.append(start)
+                if kind > 1 and token is symbol and self.fits(last[start], piece):  # no other does
+                    token, begin = piece, start
+        kept.append(size)
+        last, back, shared, out = (*last, token), (*back, begin), kept[0], ()
+        if shared:
+            for x in kept:  # where the part that the chains of all live prefixes share ends
+                while x != shared:
+                    if x > shared:
+                        x = back[x]
+                    else:
+                        shared = back[shared]
+            if shared:
+                out, held, last = _chain(last, back, shared), held[shared:], last[shared:]
+                back, kept = tuple([x - shared for x in back[shared:]]), [x - shared for x in kept]
+        live = tuple(kept)
+        if len(self.facts) >= STATES:
+            self._forget()  # the state left behind is gone, so this move isn't kept
+            state = -1
+        following = self.states.setdefault((last[0], held), len(self.facts))
+        if following == len(self.facts):
+            self.facts.append((held, last, back, live))
+        if state >= 0:
+            self.moves[state, symbol] = following, out
+        return following, out
+
+    def _end(self, state: int, symbol: str) -> tuple[str, ...]:
+        """The tokens that are left when the symbol is the last one."""
+        held, last, back, live = self.facts[state]
+        held += symbol
+        token, begin = symbol + self.suffix, len(held) - 1
+        for start in live:
+            piece = held[start:] + self.suffix
+            if self.known.get(piece, 0) > 1 and self.fits(last[start], piece):
+                token, begin = piece, start
+                break
+        out = self.ends[state, symbol] = (*_chain(last, back, begin), token)
+        return out
+
     def encode(self, parts: Iterable[str]) -> Iterator[str]:
-        """Tokens of the concatenated parts, each as soon as it is stable; the last symbol carries the suffix."""
-        held = ""
-        for part in parts:
-            held += part
-            while len(held) > self.window:
-                end = 0
-                for token in self.merge(list(held[: self.window])):
-                    if end + len(token) > self.window - self.ahead:
-                        break
-                    end += len(token)
-                    yield token
-                held = held[end:]
-        if held:
-            yield from self.merge([*held[:-1], held[-1] + self.suffix])
+        """Tokens of the concatenated parts, each as soon as it is stable; the last symbol carries the suffix. One at a time."""
+        if len(self.ends) >= STATES:
+            self._forget()
+        state, waiting = 0, ""
+        for part in filter(None, parts):
+            for symbol in waiting + part[:-1]:
+                state, out = self.moves.get((state, symbol)) or self._step(state, symbol)
+                if out:
+                    yield from out
+            waiting = part[-1]
+        if waiting:
+            yield from self.ends.get((state, waiting)) or self._end(state, waiting)
+
+
+def _chain(last: tuple[str, ...], back: tuple[int, ...], end: int) -> tuple[str, ...]:
+    """The tokens of the prefix that ends there."""
+    out = []
+    while end > 0:
+        out.append(last[end])
+        end = back[end]
+    return tuple(out[::-1])
 
 
 class _Memo(dict):
@@ -177,10 +310,8 @@ class WordBpe:
 
     def _ids(self, piece: str) -> Iterator[int]:
         """The ids of one pre-token, each as soon as it is stable."""
-        if len(piece) <= CACHE_LENGTH:  # shorter than the lookahead: nothing is stable before the end
-            letters = piece if piece.isascii() and piece.isprintable() else "".join(self._letters(piece))
-            return map(self.vocab.__getitem__, self.machine.merge([*letters[:-1], letters[-1] + self.suffix]))
-        return map(self.vocab.__getitem__, self.machine.encode(self._letters(piece)))
+        plain = len(piece) <= CACHE_LENGTH and piece.isascii() and piece.isprintable()  # its own byte letters, in one part
+        return map(self.vocab.__getitem__, self.machine.encode([piece] if plain else self._letters(piece)))
 
     def _split(self, chunk: str) -> Iterator[str]:
         shape = chunk if chunk.isascii() or not self.late.search(chunk) else chunk.translate(self.unknown)
