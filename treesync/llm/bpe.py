@@ -37,7 +37,7 @@ from treesync.llm.common import small_batches, table
 #: Most entries of a worker's cache of encoded chunks, and the longest chunk that it keeps.
 CACHE_ROWS, CACHE_LENGTH = 250_000, 24
 #: States of the transducer that a worker keeps; when there are more, all are made anew.
-STATES = 100_000
+STATES = 400_000
 #: Chunks lie between white space; ``str.split`` agrees with the tokenizer but for four control characters.
 SPACE, CONTROL = regex.compile(r"\s+"), re.compile(r"[\x1c-\x1f]")
 #: Code points of a part of a text, and where it may be cut; longer chunks than LONG are encoded in blocks.
@@ -91,8 +91,7 @@ class Transducer:
         self.partners: dict[str, dict[str, int]] = {}  # ranks by left and right side
         for (u, v), i in self.ranks.items():
             self.partners.setdefault(u, {})[v] = i
-        self.whole: dict[str, bool] = {}  # whether a token is the encoding of what it spells
-        self.rims: dict[tuple[str, int], tuple[tuple[str, int], ...]] = {}
+        self.rims: tuple[dict[str, tuple[tuple[str, int], ...]], ...] = ({}, {})  # of beginnings and of ends, see ``_rim``
         self.longest = max(map(len, spelt), default=1)
         self.ahead = lookahead(merges, suffix)
         self.window = self.ahead + self.longest
@@ -137,14 +136,17 @@ class Transducer:
         A rule merges across the border if both its sides stand there when its turn comes: among the right ends of ``before``
         and the left beginnings of ``token``, neither yet merged away from the border. Of equal rules the left one is first.
         """
-        if token not in self.whole:
-            self.whole[token] = self.merge(self._symbols(token)) == [token]
-        if not self.whole[token]:
-            return False
+        begins = self.rims[0].get(token)
+        if begins is None:
+            begins = self.rims[0][token] = self._rim(token, 0) if self.merge(self._symbols(token)) == [token] else ()
+        if not begins or not before:
+            return bool(begins)
         if not self.ordered:
-            return not before or self.merge([*before, *self._symbols(token)]) == [before, token]
-        begins = self.rims.get((token, 0)) or self._rim(token, 0)
-        for u, u_until in (self.rims.get((before, 1)) or self._rim(before, 1)) if before else ():
+            return self.merge([*before, *self._symbols(token)]) == [before, token]
+        ends = self.rims[1].get(before)
+        if ends is None:
+            ends = self.rims[1][before] = self._rim(before, 1)
+        for u, u_until in ends:
             ranks = self.partners.get(u)
             if ranks:
                 for v, v_until in begins:
@@ -160,8 +162,7 @@ class Transducer:
             out.append((part, until))
             rule = self.rule.get(part)
             part, until = (rule[side], rule[2]) if rule else ("", 0)
-        self.rims[token, side] = tuple(out)
-        return self.rims[token, side]
+        return tuple(out)
 
     def _step(self, state: int, symbol: str) -> tuple[int, tuple[str, ...]]:
         """The state after one more symbol, and the tokens that are stable then."""
