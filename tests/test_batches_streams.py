@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from treesync.operators import batches, delta, verify
+from treesync.sources import runlog
 from treesync.streaming import streams
 
 
@@ -95,3 +96,46 @@ def test_merged_parts(spark, tmp_path):
     assert {r["path"]: r["seq"] for r in state.collect()} == {f"/s/{i % 9}": i for i in range(36, 45)}
     have = sorted(str(p.relative_to(tmp_path / "cache")) for p in (tmp_path / "cache").rglob("_SUCCESS"))
     assert have == sorted(f"{p}/_SUCCESS" for p in ("batch=44", "of=16/part=0", "of=16/part=1", "of=4/part=10", "of=4/part=8", "of=4/part=9"))  # 0-15, 16-31, 32-43, 44
+
+
+def log_lines(spark, rows):
+    stamp = F.date_format(F.timestamp_seconds(1_700_000_000 + F.col("minute") * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    df = spark.createDataFrame(rows, "run long, seq long, minute long, action string, size long, n int")
+    return df.withColumn("timestamp", F.when(F.col("minute").isNull(), "no time").otherwise(stamp)).drop("minute")
+
+
+def test_log_in_windows(spark, tmp_path):
+    """Lines out of order and repeated within the delay equal the batch; ones beyond it are counted as late."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(600):
+        minute, action = i * 2, rng.choice(["copied", "linked", "skipped", "error"])
+        row = (i % 3, i, minute, action, rng.choice([None, i]))
+        arrives = i // 20
+        rows.append((*row, min(arrives + rng.choice([0, 0, 0, 1, 2]), 29)))  # up to two batches, 80 minutes, late
+        if i % 4 == 0:
+            rows.append((*row, min(arrives + 2, 29)))
+    log = log_lines(spark, [*rows, (0, 9000, None, "copied", 1, 3), (1, 9001, 1, "copied", 7, 29), (1, 9002, 1, "copied", 7, 29)])
+    stream = arrivals(spark, tmp_path / "in", log, 30)
+    query = streams.log_windows(stream(), str(tmp_path / "table"), str(tmp_path / "state"), late="4 hours", every=4)
+    query.awaitTermination()
+    got = {tuple(r) for r in streams.window_state(spark, str(tmp_path / "table")).collect()}
+    in_time = runlog.windows(log.where("seq not in (9001, 9002)"))
+    assert got == {tuple(r) for r in in_time.collect()} and len(got) > 50
+    assert streams.late_lines(query) == 2
+    assert {tuple(r) for r in runlog.windows(log).collect()} - got  # the batch has the late ones too
+    kept = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    assert max(kept) < 400  # lines of some hours, not of all the time
+
+
+def test_windows_of_a_batch_that_runs_again(spark, tmp_path):
+    log = log_lines(spark, [(i % 2, i, i, "copied", i, i // 10) for i in range(40)])
+    stream = arrivals(spark, tmp_path / "in", log, 4)
+    table, state = str(tmp_path / "table"), str(tmp_path / "state")
+    streams.log_windows(stream(), table, state).awaitTermination()
+    want = {tuple(r) for r in runlog.windows(log).collect()}
+    last = max(int(p.name) for p in (tmp_path / "state" / "commits").glob("[0-9]*"))
+    for name in (str(last), f".{last}.crc"):
+        (tmp_path / "state" / "commits" / name).unlink(missing_ok=True)
+    streams.log_windows(stream(), table, state).awaitTermination()
+    assert {tuple(r) for r in streams.window_state(spark, table).collect()} == want

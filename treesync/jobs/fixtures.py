@@ -34,6 +34,10 @@ SELECT substring(path, 6) AS rel_path, size + CASE WHEN doc_id % 28 = 5 THEN 1 E
     "run_log": """
 SELECT user_id AS run, event_id AS seq, CASE event_type WHEN 'view' THEN 'copied' WHEN 'click' THEN 'linked' WHEN 'purchase' THEN 'skipped' WHEN 'error' THEN 'error' ELSE 'progress' END AS action,
   concat('/src/', cast(user_id AS string), '/', cast(event_id AS string)) AS path, cast(floor(value * 100) AS bigint) AS size FROM events""",
+    "timed_log": """
+SELECT user_id AS run, event_id AS seq, concat(replace(cast(ts AS string), ' ', 'T'), 'Z') AS timestamp, to_timestamp(concat(cast(ts AS string), 'Z')) AS at,
+  CASE event_type WHEN 'view' THEN 'copied' WHEN 'click' THEN 'linked' WHEN 'purchase' THEN 'skipped' WHEN 'error' THEN 'error' ELSE 'progress' END AS action,
+  cast(floor(value * 100) AS bigint) AS size FROM events""",
     "listing": """
 SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN concat(hash, ' *', substring(path, 6)) WHEN doc_id % 10 = 1 THEN concat(substring(hash, 1, 63), '  ', path) WHEN doc_id % 10 = 2 THEN ''
   WHEN doc_id % 10 = 3 THEN concat('zz', substring(hash, 3, 62), '  ', path) ELSE concat(hash, '  ', substring(path, 6)) END AS value FROM src_files""",
@@ -52,7 +56,7 @@ SELECT concat('/lake/', cast(l_orderkey AS string), '/', cast(l_linenumber AS st
   unix_timestamp(cast(l_shipdate AS timestamp)) AS modified_epoch FROM lineitem""",
 }
 NEEDS = {"hash_cache": ["src_files"], "manifest": ["src_files"], "listing": ["src_files"], "old_tree": ["tree_files"]}
-TABLE = {"src_files": "documents", "dst_files": "documents", "run_log": "events", "volumes": "documents", "tree_files": "documents", "src_objects": "lineitem"}
+TABLE = {"src_files": "documents", "dst_files": "documents", "run_log": "events", "timed_log": "events", "volumes": "documents", "tree_files": "documents", "src_objects": "lineitem"}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

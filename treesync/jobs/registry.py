@@ -410,6 +410,25 @@ def stream_progress(spark: SparkSession, d: str) -> DataFrame:
     return _summed(spark, streams.progress(_arrive(spark, rows, "half")), "progress")
 
 
+@query(
+    "stream_log_windows",
+    """SELECT cast(floor(epoch(ts) / 3600) AS bigint) * 3600 AS start, user_id AS run, count(*) FILTER (event_type = 'view') AS files_copied, count(*) FILTER (event_type = 'click') AS files_linked,
+  count(*) FILTER (event_type = 'purchase') AS files_skipped, count(*) FILTER (event_type = 'error') AS files_errored,
+  coalesce(cast(sum(cast(floor(value * 100) AS bigint)) FILTER (event_type = 'view') AS bigint), 0) AS bytes_written FROM events GROUP BY 1, 2""",
+)
+def stream_log_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The log in hours of its lines' own times. A fifth of the lines come twice, and those of the last twelve hours before the middle of the time come again in the second half."""
+    log = view(spark, d, "timed_log")
+    first, last = log.agg(F.min(F.unix_micros("at")), F.max(F.unix_micros("at"))).first()
+    at, middle = F.unix_micros("at"), ((first or 0) + (last or 0)) // 2
+    half = (at >= middle).cast("int")
+    again = F.when(F.col("seq") % 5 == 0, F.array(half, half)).otherwise(F.array(half))
+    overlap = F.when((half == 0) & (at > middle - 12 * 3600 * 10**6), F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+    rows, folder = log.withColumn("half", F.explode(F.concat(again, overlap))).drop("at"), new_folder(spark, "log-windows")
+    streams.log_windows(_arrive(spark, rows, "half"), f"{folder}/table", f"{folder}/state", late="12 hours").awaitTermination()
+    return streams.window_state(spark, f"{folder}/table").withColumn("start", F.unix_timestamp("start"))
+
+
 @query("stream_cache_upsert", UPSERT)
 def stream_cache_upsert(spark: SparkSession, d: str) -> DataFrame:
     rows, folder = view(spark, d, "hash_cache"), new_folder(spark, "cache")

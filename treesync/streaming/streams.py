@@ -27,6 +27,41 @@ def progress(stream: DataFrame) -> DataFrame:
     return stream.groupBy("run", "phase").agg(F.max("progress.files_done").alias("files_done"), F.max("progress.bytes_done").alias("bytes_done"))
 
 
+#: What ``log_windows`` writes: the counters of a window as they were after a batch.
+WINDOWS = "key struct<start: timestamp, run: bigint>, " + "".join(f"{c} long, " for c in runlog.COUNTERS) + "batch long"
+
+
+def log_windows(stream: DataFrame, table: str, checkpoint: str, width: str = "1 hour", late: str = "1 day", every: int = 20) -> StreamingQuery:
+    """The counters of each run in tumbling windows of its lines' own times, as ``runlog.windows`` has them, while lines arrive in any order.
+
+    Lines may be ``late`` behind the newest one and come again within that time: each counts once. What arrives later than that is not
+    counted, as its window's state is gone; ``late_lines`` says how many those were, and ``runlog.windows`` over the files of the log
+    has them all. So state is bounded by the lines of that time. A batch writes the windows it changed, open ones too;
+    ``window_state`` gives the newest of each. Batches that run again overwrite what they wrote.
+    """
+    lines = runlog.timed(stream).where("at is not null").withWatermark("at", late).dropDuplicatesWithinWatermark(["run", "seq"])
+
+    def put(rows: DataFrame, batch: int) -> None:
+        changed = rows.select(F.struct("start", "run").alias("key"), *runlog.COUNTERS, F.lit(batch).cast("long").alias("batch"))
+        _merge(rows.sparkSession, table, batch, every, changed.schema, lambda parts: _newest_rows(parts, "key", ("batch",)).select(*changed.columns))
+        changed.write.mode("overwrite").parquet(f"{table}/batch={batch}")
+
+    windows = runlog.by_window(lines, width)
+    start = lambda: windows.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return _start_on_rocksdb(stream.sparkSession, start)
+
+
+def window_state(spark: SparkSession, table: str) -> DataFrame:
+    """start, run and counters of all windows after the last batch whose writing ended."""
+    newest = _newest_rows(_rows(spark, _parts(spark, table), StructType.fromDDL(WINDOWS)), "key", ("batch",))
+    return newest.select("key.start", "key.run", *runlog.COUNTERS)
+
+
+def late_lines(query: StreamingQuery) -> int:
+    """How many lines were too late to count, over the progress that the query still has."""
+    return sum(s.numRowsDroppedByWatermark for p in query.recentProgress for s in p.stateOperators)
+
+
 #: Keeps a stream's state on disk, a look-up a key, with a log of changes as its checkpoint.
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
