@@ -3,16 +3,18 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_pii import PATTERNS, valid
-from treesync.llm import langid
+from treesync.llm import langid, packing
 from treesync.llm.common import stage
 from treesync.llm.ngrams import DIMS
 
@@ -175,6 +177,30 @@ def test_stage_pii(stages):
         assert r.asDict() == {**before[r["doc_id"]].asDict(), "text": text, "n_chars": len(text)}
 
 
+def test_language_holds_few_vectors(spark):
+    """Vectors of 32 KB a text are made for some texts at a time, not for a whole Arrow batch."""
+    docs = spark.createDataFrame(made(), SCHEMA)
+    predict = langid.predictor(spark, langid.fit(docs)).func
+    texts = pd.Series([r[1] for r in made() if len(r[1] or "") < 5_000] * 3)[:500]
+    want = pd.concat([predict(texts[:1]), predict(texts[1:130]), predict(texts[130:])], ignore_index=True)
+    tracemalloc.start()
+    got = predict(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(texts) == 500 and peak < 500 * DIMS * 4 / 2
+    assert (got["lang"] == want["lang"]).all() and (got["rejected"] == want["rejected"]).all() and np.allclose(got["score"], want["score"], atol=1e-6)
+    assert len(predict(texts[:0])) == 0
+
+
+def test_packing_starts_no_second_pool(spark, monkeypatch):
+    """A list of rows given to createDataFrame is an RDD of Python objects, for which executors start a daemon and workers beside those of SQL."""
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, None)], "doc_id long, text string")
+    with monkeypatch.context() as m:
+        m.setattr(type(spark.sparkContext), "parallelize", None)
+        pieces = packing.pack(docs).collect()
+    assert sorted((r["doc_id"], r["start"], r["sequence_id"]) for r in pieces) == [(1, 0, 0), (2, 0, 0)]
+
+
 def check_packed(pieces, docs, tokens):
     """All ids of all documents once, in gapless sequences that are full but for the last."""
     ids = {i: tokens(t) for i, t in docs.items()}

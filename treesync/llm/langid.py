@@ -20,6 +20,8 @@ from treesync.llm.common import small_batches, stage, sum_vectors, table
 from treesync.llm.ngrams import DIMS, counts, tfidf
 
 UNKNOWN = "und"
+#: Texts whose vectors are held at once: 2 MB of them, where a whole Arrow batch has 16 MB.
+ROWS = 64
 
 
 @dataclass
@@ -61,9 +63,11 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
 def _vectors(idf):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x, sizes = tfidf(batch["text"].tolist(), idf.value)
-            on = sizes > 0
-            yield pd.DataFrame({"lang": batch["lang"][on], "size": sizes[on], "x": [v.tobytes() for v in x[on]]})
+            for at in range(0, len(batch), ROWS):
+                part = batch.iloc[at : at + ROWS]
+                x, sizes = tfidf(part["text"].tolist(), idf.value)
+                on = sizes > 0
+                yield pd.DataFrame({"lang": part["lang"][on], "size": sizes[on], "x": [v.tobytes() for v in x[on]]})
 
     return run
 
@@ -126,15 +130,19 @@ def predictor(spark: SparkSession, model: Model):
     def predict(texts: pd.Series) -> pd.DataFrame:
         m: Model = shared.value
         n = len(texts)
-        x, sizes = tfidf(texts.tolist(), m.idf)
+        best, score, sizes = np.zeros(n, int), np.zeros(n), np.zeros(n, np.int64)
+        for at in range(0, n, ROWS):
+            part = slice(at, at + ROWS)
+            x, sizes[part] = tfidf(texts.iloc[part].tolist(), m.idf)
+            if m.langs:
+                cos = x @ m.centroids.T
+                best[part] = cos.argmax(1)
+                score[part] = np.clip(cos.max(1), 0, 1)
         if m.langs:
-            cos = x @ m.centroids.T
-            best = cos.argmax(1) if n else np.zeros(0, int)
-            score = np.clip(cos[np.arange(n), best], 0, 1).astype(float)
             lang = [m.langs[b] if s else UNKNOWN for b, s in zip(best, sizes, strict=True)]
             no = (sizes == 0) | (score < m.floors[np.log2(np.maximum(sizes, 1)).astype(int)])
         else:
-            score, lang, no = np.zeros(n), [UNKNOWN] * n, np.ones(n, bool)
+            lang, no = [UNKNOWN] * n, np.ones(n, bool)
         return pd.DataFrame({"lang": lang, "score": np.where(sizes == 0, 0.0, score), "rejected": no})
 
     return predict.asNondeterministic()  # a filter on the result must not make Spark evaluate it once more

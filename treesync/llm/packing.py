@@ -142,11 +142,13 @@ def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, with_ids: bool =
         "tokens",
         "zstd",
     )
-    base, offsets = 0, []
+    base, offsets = 0, {"block": [], "base": []}
     for r in sorted(tokens.groupBy("block").agg(F.sum("doc_tokens").alias("n")).collect()):  # one number per block
-        offsets.append((r["block"], base))
+        offsets["block"].append(r["block"])
+        offsets["base"].append(base)
         base += r["n"]
-    offsets = spark.createDataFrame(offsets, "block int, base long")
+    # an Arrow table: a list of rows would be an RDD of Python objects, for which every executor starts a second pool of workers
+    offsets = spark.createDataFrame(pa.table(offsets, pa.schema([("block", pa.int32()), ("base", pa.int64())])))
     placed = tokens.join(F.broadcast(offsets), "block").select("doc_id", (F.col("base") + F.col("start")).alias("at"), "doc_tokens", "ids")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return placed.mapInArrow(_cut(window, with_ids), schema + ", ids binary" * with_ids)
